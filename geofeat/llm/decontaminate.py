@@ -13,6 +13,7 @@ An empty benchmark: nothing is hit. Extra columns: ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -183,8 +184,8 @@ class Windows:
         return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
-    """Per document: doc_id, n_words, spans (merged hit spans of words), items (ids with an occurrence).
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32 << 20, shard_bytes: int = 4 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, text, the ``keep`` columns, n_words, spans (merged hit spans of words), items (ids with an occurrence).
 
     The benchmark is sent to tasks in blocks of at most ``block_bytes`` (one longer item makes a block); several blocks are scanned one
     after another and their spans merged, so that a benchmark of any size keeps memory bounded.
@@ -194,10 +195,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     need = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).head()["n"]
     blocks = max(1, -(-need // block_bytes))
     parts = [items] if blocks == 1 else [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) for k in range(blocks)]
-    found = docs
+    found = require(docs, "doc_id", "text", *keep)
     for k, part in enumerate(parts):
         told = spark.sparkContext.broadcast(Windows([(r["item_id"], r["text"]) for r in part.toLocalIterator()], window))
-        found = _scan(found, told, shard_bytes, first=k == 0)
+        found = _scan(found, told, shard_bytes, k == 0)
     return found
 
 
@@ -205,7 +206,8 @@ _RESULT = "n_words long, spans array<struct<first:long,end:long>>, items array<s
 
 
 def _scan(docs: DataFrame, told, shard_bytes: int, first: bool) -> DataFrame:
-    given = require(docs, "doc_id", "text") if first else docs
+    given = docs if first else docs.drop("n_words")
+    names = [c for c in docs.columns if first or c not in ("n_words", "spans", "items")]
 
     def run(batches):
         windows = told.value
@@ -220,12 +222,36 @@ def _scan(docs: DataFrame, told, shard_bytes: int, first: bool) -> DataFrame:
                     old = zip(piece.column("spans").to_pylist(), piece.column("items").to_pylist())
                     spans, items = map(list, zip(*[(merge_spans(s + [[x["first"], x["end"]] for x in a]), i | set(b)) for s, i, (a, b) in zip(spans, items, old)]))
                 yield pa.record_batch(
-                    [piece.column("doc_id"), piece.column("text"), pa.array([n for n, _, _ in found], pa.int64())]
-                    + [pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(i) for i in items], pa.list_(pa.string()))],
-                    ["doc_id", "text", "n_words", "spans", "items"],
+                    [piece.column(c) for c in names]
+                    + [pa.array([n for n, _, _ in found], pa.int64()), pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(i) for i in items], pa.list_(pa.string()))],
+                    [*names, "n_words", "spans", "items"],
                 )
 
-    return given.mapInArrow(run, f"doc_id {dict(given.dtypes)['doc_id']}, text string, {_RESULT}")
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in names)
+    return given.mapInArrow(run, f"{schema}, {_RESULT}")
+
+
+def cut_spans(found: DataFrame) -> DataFrame:
+    """The texts without their hit spans, from the first word's start to the last word's end; other columns as they are."""
+    names = found.columns
+    word = re.compile(rb"[^ ]+")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+                if spans:
+                    raw = text.encode()
+                    at = [m.span() for m in word.finditer(raw.translate(_WORD))]
+                    kept, done = [], 0
+                    for s in spans:
+                        kept.append(raw[done : at[s["first"]][0]])
+                        done = at[s["end"] - 1][1]
+                    text = b"".join([*kept, raw[done:]]).decode()
+                out.append(text)
+            yield batch.set_column(names.index("text"), "text", pa.array(out, batch.schema.field("text").type))
+
+    return found.mapInArrow(run, found.schema)
 
 
 def merge_spans(spans: list[list[int]]) -> list[list[int]]:

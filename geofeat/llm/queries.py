@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geofeat.llm import decontaminate as decon
-from geofeat.llm import jaccard, langid, token_output
+from geofeat.llm import jaccard, langid, line_dedup, mixing, pii, token_output
 from geofeat.llm.common import held_out
 
 
@@ -20,6 +20,21 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), repetition=2.0)
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents"))
+    n = lambda k: F.size(k).cast("long").alias(f"n_{k}")
+    base = ("email", "ip", "card", "phone")
+    return found.select("doc_id", *[n(k) for k in (*base, "iban")], F.sha2(pii.joined(*base), 256).alias("base_sha256"), pii.joined(*base, "iban").alias("spans"))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -48,8 +63,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_token_output, op7_benchmark_decontamination, op8_ngram_jaccard_join, op10_language_id)}
+    every = (
+        op1_source_mixing,
+        op2_line_dedup,
+        op6_token_output,
+        op7_benchmark_decontamination,
+        op8_ngram_jaccard_join,
+        op9_pii,
+        op10_language_id,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": line_dedup.ORACLE}
