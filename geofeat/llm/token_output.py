@@ -1,9 +1,9 @@
 """Token-ID / binary output: Arrow files of fixed-size-list batches.
 
 Documents are range-partitioned by id, encoded, and packed one after another into sequences of equal length.
-A shard (one partition) is one Arrow IPC file whose record batches hold ``ids`` (fixed-size list of uint32) and ``mask``
-(fixed-size list of uint8: 1 token, 2 last token of a document, 0 padding), so that sequence k of a shard is found by
-arithmetic and read without a copy through a memory map. A second small file lists (doc_id, start, n_tokens) of the shard.
+A shard (one partition) is one Arrow IPC file whose record batches hold ``ids`` (fixed-size list of uint16, or of uint32 for larger
+vocabularies) and ``mask`` (fixed-size list of bits: token or padding), so that sequence k of a shard is found by arithmetic and
+read without a copy through a memory map. A second small file lists (doc_id, start, n_tokens) of the shard.
 
 Defined results. Null text: empty, only the end id. Null doc_id: sorted first. Repeated doc_ids: all kept, ordered by a hash of
 the text; equal rows are interchangeable. Empty table: no files, no rows. Extra columns: ignored. Very long texts: encoded whole.
@@ -11,7 +11,6 @@ the text; equal rows are interchangeable. Empty table: no files, no rows. Extra
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 import zlib
@@ -29,15 +28,16 @@ from geofeat.llm.common import materialize, require, scratch_path, slices
 MANIFEST = "shard int, ids_path string, docs_path string, n_docs long, n_ids long, n_sequences long"
 
 
-class UnitEncoder:
+class UnitEncoder(dict):
     """A tokenizers-library encoder that meets each distinct blank-separated piece once a worker.
 
     The byte-level pre-tokenizer always breaks before a blank that is followed by a non-blank, so ids of a text are those of
-    its pieces in order. Pieces for which this does not hold (a blank next to other white space) and texts with an added token
-    are encoded whole. The two tables are caches of bounded size; they are emptied when full and never change a result.
+    its pieces in order: ``self[piece]`` is the ids of the piece after a blank. Pieces for which this does not hold (a blank next to
+    other white space) and texts with an added token are encoded whole. The dictionary is a cache of bounded size; it is
+    emptied when full and never changes a result.
     """
 
-    UNITS, PARTS, RUN = 600_000, 400_000, 128
+    SIZE = 1_200_000
 
     def __init__(self, path: str):
         import regex
@@ -45,59 +45,61 @@ class UnitEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.units: dict[str, bytes | None] = {}
-        self.parts: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.id_bytes = [k.to_bytes(self.dtype.itemsize, "little") for k in range(size)]
         # The pattern of the byte-level pre-tokenizer.
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         # Byte-level alphabet: printable bytes stand for themselves, the others follow from code point 256.
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
-        self.alphabet = {b: chr(b if b in shown else next(rest)) for b in range(256)}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.alphabet = [chr(b if b in shown else next(rest)) for b in range(256)]
+        self.signs = {chr(c): self.part(chr(c)) for c in range(0x250)}
+        self.starts: dict[str, bytes] = {}  # words at the start of a line
 
     def part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            if len(self.parts) >= self.PARTS:
-                self.parts.clear()
-            chars = part.encode().decode("latin-1").translate(self.alphabet)
-            got = self.parts[part] = np.array([t.id for t in self.model.tokenize(chars)], "<u4").tobytes()
-        return got
-
-    def learn(self, unit: str) -> None:
-        if unit.isalpha():
-            self.units[unit] = self.part(" " + unit)
-        elif not unit or unit[0].isspace():
-            self.units[unit] = None  # what it becomes hangs on its neighbours
-        else:
-            self.units[unit] = b"".join(map(self.part, self.split(" " + unit)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), self.RUN):
-            run = [t.split(" ") for t in texts[at : at + self.RUN]]
-            new = set(itertools.chain.from_iterable(x[1:] for x in run)).difference(self.units)
-            if len(self.units) + len(new) > self.UNITS:
-                self.units.clear()
-                new = set(itertools.chain.from_iterable(x[1:] for x in run))
-            for unit in new:
-                self.learn(unit)
-            get = self.units.__getitem__
-            for text, pieces in zip(texts[at : at + self.RUN], run):
-                if any(a in text for a in self.added):
-                    out.append(self.whole(text))
-                    continue
-                try:
-                    tail = b"".join(map(get, pieces[1:]))
-                except TypeError:
-                    out.append(self.whole(text))
-                    continue
-                out.append(b"".join(map(self.part, self.split(pieces[0]))) + tail)
-        return out
+        """Ids of one piece of the pre-tokenizer, from the library's model."""
+        ids = self.id_bytes
+        return b"".join([ids[t.id] for t in self.tokenize("".join(map(self.alphabet.__getitem__, part.encode())))])
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def __missing__(self, unit: str) -> bytes | None:
+        """Letters, or letters and one other sign, need no pattern; beyond the Latin blocks the pattern decides."""
+        if not unit or unit[0].isspace():
+            return None
+        if unit.isascii() or max(unit) < "\u0250":
+            if unit.isalpha():
+                return self.keep(unit, self.part(" " + unit))
+            if unit[:-1].isalpha() and not unit[-1].isspace():
+                return self[unit[:-1]] + self.signs[unit[-1]]
+            head, line, tail = unit.partition("\n")
+            if tail.isalpha() and not head[-1].isspace():
+                ids = self.starts.get(tail)
+                if ids is None:
+                    if len(self.starts) >= self.SIZE // 8:
+                        self.starts.clear()
+                    ids = self.starts[tail] = self.part(tail)
+                return self[head] + self.signs[line] + ids
+        return self.keep(unit, b"".join(map(self.part, self.split(" " + unit))))
+
+    def keep(self, unit: str, ids: bytes) -> bytes:
+        if len(self) >= self.SIZE:
+            self.clear()
+        self[unit] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        pieces = text.split(" ")
+        if not any(a in text for a in self.added):
+            try:
+                return b"".join(map(self.part, self.split(pieces[0]))) + b"".join(map(self.__getitem__, pieces[1:]))
+            except TypeError:
+                pass
+        return self.whole(text)
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -109,8 +111,8 @@ def encoder(path: str) -> UnitEncoder:
     return _ENCODERS[path]
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def _schema(length: int, dtype: np.dtype) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -119,8 +121,9 @@ _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 class ShardWriter:
     """Packs ids into sequences; a file appears under its final name only when it is whole, so that repeated tasks do no harm."""
 
-    def __init__(self, folder: str, shard: int, length: int, rows: int):
+    def __init__(self, folder: str, shard: int, length: int, rows: int, dtype: np.dtype):
         self.length, self.rows, self.pending, self.held = length, rows, [], 0
+        self.schema = _schema(length, dtype)
         self.docs: list[tuple] = []
         self.n_ids = self.n_sequences = 0
         self.fs, root = pafs.FileSystem.from_uri(folder)
@@ -130,13 +133,11 @@ class ShardWriter:
         mark = f"-{TaskContext.get().taskAttemptId()}.part" if TaskContext.get() else ".part"
         self.temp = [x + mark for x in self.final]
         self.sink = self.fs.open_output_stream(self.temp[0])
-        self.out = ipc.new_file(self.sink, _schema(length))
+        self.out = ipc.new_file(self.sink, self.schema)
 
     def add(self, doc_id, ids: np.ndarray) -> None:
-        mask = np.ones(len(ids), np.uint8)
-        mask[-1] = 2
         self.docs.append((doc_id, self.n_ids, len(ids)))
-        self.pending.append((ids, mask))
+        self.pending.append(ids)
         self.n_ids += len(ids)
         self.held += len(ids)
         if self.held >= self.length * self.rows:
@@ -145,17 +146,18 @@ class ShardWriter:
     def flush(self, last: bool) -> None:
         if not self.pending:
             return
-        ids, mask = (np.concatenate(x) for x in zip(*self.pending))
+        ids = np.concatenate(self.pending)
+        mask = np.ones(-(-len(ids) // self.length) * self.length, bool)
+        mask[len(ids) :] = False
         n = len(ids) // self.length
         if last and len(ids) % self.length:
-            pad = self.length - len(ids) % self.length
-            ids, mask, n = np.pad(ids, (0, pad)), np.pad(mask, (0, pad)), n + 1
+            ids, n = np.pad(ids, (0, len(mask) - len(ids))), n + 1
         cut = n * self.length
         if n:
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[:cut]), self.length) for x in (ids, mask)]
-            self.out.write_batch(pa.record_batch(lists, schema=_schema(self.length)))
+            self.out.write_batch(pa.record_batch(lists, schema=self.schema))
         self.n_sequences += n
-        self.pending = [(ids[cut:], mask[cut:])] if cut < len(ids) else []
+        self.pending = [ids[cut:]] if cut < len(ids) else []
         self.held = len(ids) - cut
 
     def close(self) -> dict:
@@ -177,13 +179,14 @@ def open_file(uri: str) -> ipc.RecordBatchFileReader:
 
 
 def sequence(reader: ipc.RecordBatchFileReader, k: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence k and its mask, views into the file. All batches but the last of a shard hold at least ``rows`` sequences."""
+    """Sequence k, a view into the file, and its mask. All batches but the last of a shard hold at least ``rows`` sequences."""
     at = 0
     while at < reader.num_record_batches:
         batch = reader.get_batch(at)
         if k < batch.num_rows:
             size = batch.schema.field("ids").type.list_size
-            return tuple(batch.column(c).flatten().to_numpy()[k * size : (k + 1) * size] for c in ("ids", "mask"))
+            ids, mask = batch.column("ids").flatten(), batch.column("mask").flatten()
+            return ids.to_numpy()[k * size : (k + 1) * size], mask.slice(k * size, size).to_numpy(zero_copy_only=False)
         k, at = k - batch.num_rows, at + 1
     raise IndexError(k)
 
@@ -194,13 +197,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
     def write(batches):
         shard = TaskContext.get().partitionId()
-        writer, end = None, np.array([end_id], "<u4").tobytes()
+        coder, writer = encoder(tokenizer_path), None
+        end = np.array([end_id], coder.dtype).tobytes()
         for batch in batches:
             for piece in slices(batch, "text", 8 << 20):
-                writer = writer or ShardWriter(folder, shard, length, rows)
+                writer = writer or ShardWriter(folder, shard, length, rows, coder.dtype)
                 texts = piece.column("text").fill_null("").to_pylist()
-                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), encoder(tokenizer_path).encode(texts)):
-                    writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
+                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), map(coder.encode, texts)):
+                    writer.add(doc_id, np.frombuffer(ids + end, coder.dtype))
         if writer:
             row = {"shard": shard} | writer.close()
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("ids_path", pa.string()), ("docs_path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_sequences", pa.int64())]))
@@ -225,7 +229,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 for k in range(docs.num_record_batches):
                     part = docs.get_batch(k)
                     start, n = part.column("start").to_numpy(), part.column("n_tokens").to_numpy()
-                    crc = [zlib.crc32(np.ascontiguousarray(flat[a : a + m])) for a, m in zip(start.tolist(), n.tolist())]
+                    crc = [zlib.crc32(flat[a : a + m].astype("<u4")) for a, m in zip(start.tolist(), n.tolist())]
                     yield pa.record_batch([part.column("doc_id"), pa.array(start + row["base"]), part.column("n_tokens"), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = shards.repartition(F.col("shard"))
