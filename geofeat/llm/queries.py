@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geofeat.llm import decontaminate as decon
-from geofeat.llm import ann, jaccard, langid, line_dedup, mixing, pii, token_output
+from geofeat.llm import ann, html_text, jaccard, langid, line_dedup, mixing, pii, token_output
 from geofeat.llm.common import held_out
 
 
@@ -35,6 +35,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[n(k) for k in (*base, "iban")], F.sha2(pii.joined(*base), 256).alias("base_sha256"), pii.joined(*base, "iban").alias("spans"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -70,6 +74,7 @@ def queries() -> dict:
     every = (
         op1_source_mixing,
         op2_line_dedup,
+        op3_html_extraction,
         op5_additive_quantisation,
         op6_token_output,
         op7_benchmark_decontamination,
