@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geofeat.llm import decontaminate as decon
-from geofeat.llm import ann, html_text, jaccard, langid, line_dedup, mixing, pii, token_output
+from geofeat.llm import ann, html_text, jaccard, langid, line_dedup, lm_score, mixing, pii, token_output
 from geofeat.llm.common import held_out
 
 
@@ -39,6 +39,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2))
+
+
 def op5_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -75,6 +79,7 @@ def queries() -> dict:
         op1_source_mixing,
         op2_line_dedup,
         op3_html_extraction,
+        op4_lm_scoring,
         op5_additive_quantisation,
         op6_token_output,
         op7_benchmark_decontamination,
