@@ -68,7 +68,7 @@ def scaling_done(chunks: DataFrame, done: DataFrame, keys: list[str]) -> DataFra
 def area_state(chunks: DataFrame, by: list[str]) -> DataFrame:
     """Rows (.., expected, has_features, state): how far an area has come."""
     n = F.count("*")
-    done = chunks.groupBy(*by).agg(F.max("expected").alias("e"), n.alias("n"), F.count_if("has_features").alias("f"), F.bool_and(F.col("state") == "ready").alias("ready"))
+    done = chunks.groupBy(*by).agg(F.max("expected").alias("e"), n.alias("n"), F.count_if(F.col("has_features")).alias("f"), F.bool_and(F.col("state") == "ready").alias("ready"))
     full = F.col("n") == F.col("e")
     ladder = F.when(full & F.col("ready"), STATES[3]).when(full & (F.col("f") == F.col("e")), STATES[2]).when(full, STATES[1]).otherwise(STATES[0])
     return done.select(*by, ladder.alias("area_state"))

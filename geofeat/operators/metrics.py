@@ -154,7 +154,7 @@ def dataset_profile(df: DataFrame, by: list[str], n: int, value: str = "v", triv
 def day_selection_stats(days: DataFrame, by: list[str]) -> DataFrame:
     """Rows (.., selected, has_inputs, has_labels): selected percentage, generated and missing days."""
     made = F.col("selected") & F.col("has_inputs") & F.col("has_labels")
-    return days.groupBy(*by).agg((F.count_if("selected") * 100.0 / F.count("*")).alias("selected_percent"), F.count_if(made).alias("generated"), F.count_if(F.col("selected") & ~made).alias("missing"))
+    return days.groupBy(*by).agg((F.count_if(F.col("selected")) * 100.0 / F.count("*")).alias("selected_percent"), F.count_if(made).alias("generated"), F.count_if(F.col("selected") & ~made).alias("missing"))
 
 
 def tables_equal(a: DataFrame, b: DataFrame) -> bool:
