@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,8 +170,6 @@ def difference_map(df: DataFrame, lo: float, hi: float) -> DataFrame:
 
 def metric_udaf(fn: Callable, by: list[str], df: DataFrame) -> DataFrame:
     """A user's metric of two numpy arrays per group; groups must fit a task."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(p: pd.Series, t: pd.Series) -> float:
         return float(fn(p.to_numpy(), t.to_numpy()))

@@ -175,7 +175,7 @@ def split_chunks(v):
     return rc(grid.split_chunks(v.cells, v.headers, 10))
 
 
-@query("SELECT g.area, (g.c // 10)::int AS x_index, (g.r // 10)::int AS y_index, (g.r % 10)::int AS r, (g.c % 10)::int AS c, k.z, (g.c // 10) * 10.0 AS x_ll, 54.0 - (g.r // 10) * 10 AS y_ll FROM (SELECT a.area, r.r, c.c FROM (VALUES ('A'), ('N'), ('R')) a(area), range(70) r(r), range(70) c(c)) g LEFT JOIN v_cells k ON g.area = k.area AND g.r = k.r AND g.c = k.c")
+@query("SELECT g.area, (g.c // 10)::int AS x_index, (g.r // 10)::int AS y_index, (g.r % 10)::int AS r, (g.c % 10)::int AS c, k.z, ((g.c // 10) * 10)::double AS x_ll, (54 - (g.r // 10) * 10)::double AS y_ll FROM (SELECT a.area, r.r, c.c FROM (VALUES ('A'), ('N'), ('R')) a(area), range(70) r(r), range(70) c(c)) g LEFT JOIN v_cells k ON g.area = k.area AND g.r = k.r AND g.c = k.c")
 def chunk_elevation(v):
     cells, heads = grid.chunk_elevation(v.cells, v.headers, 10)
     return rc(cells.join(F.broadcast(heads.select("area", "x_index", "y_index", "x_ll", "y_ll")), ["area", "x_index", "y_index"]))
@@ -231,10 +231,10 @@ def chunk_polygons(v):
     return geometry.chunk_polygons(v.polygons, v.headers, 10, 3).select("area", "x_index", "y_index", "ord", "mask")
 
 
-@query(f"WITH k AS ({_COVER}) SELECT a.area, a.ord, b.ord AS part, a.mask, a.r, a.c FROM k a JOIN k b ON a.area = b.area AND a.r = b.r AND a.c = b.c WHERE a.ord % 2 = 0 AND b.ord % 2 = 1".replace("WITH k AS", "SELECT * FROM (WITH k AS", 1) + ")")
+@query(f"WITH k AS ({_COVER}) SELECT a.area, a.ord, b.ord AS part, a.mask, a.r, a.c FROM k a JOIN k b ON a.area = b.area AND a.r = b.r AND a.c = b.c WHERE b.ord % 2 = 1".replace("WITH k AS", "SELECT * FROM (WITH k AS", 1) + ")")
 def intersect_cells(v):
     p = v.polygons
-    return rc(geometry.intersect_cells(p.filter("ord % 2 = 0"), p.filter("ord % 2 = 1"), v.headers))
+    return rc(geometry.intersect_cells(p, p.filter("ord % 2 = 1"), v.headers))
 
 
 @query("SELECT ord, greatest(x0, 10) AS x0, greatest(y0, 10) AS y0, least(x1, 40) AS x1, least(y1, 30) AS y1, mask FROM v_rects WHERE x0 < 40 AND x1 > 10 AND y0 < 30 AND y1 > 10")
@@ -250,7 +250,7 @@ def fill_nearest(v):
     return rc(features.fill_nearest(cells, v.polygons, v.headers))
 
 
-@query("SELECT area, r, c, CAST(c AS double) AS x0, CAST(63 - r AS double) AS y0, c + 1.0 AS x1, 64.0 - r AS y1 FROM v_cells")
+@query("SELECT area, r, c, CAST(c AS double) AS x0, CAST(63 - r AS double) AS y0, (c + 1)::double AS x1, (64 - r)::double AS y1 FROM v_cells")
 def cell_polygon(v):
     d = geometry.cell_polygon(v.cells.select("area", "row", "col"), v.headers)
     return rc(d.select("area", "row", "col", *[x.alias(n) for x, n in zip(geometry.bbox(), ("x0", "y0", "x1", "y1"))]))
@@ -306,10 +306,10 @@ def build_flood_features(v):
     return rc(d.select("area", "row", "col", F.round(F.coalesce("z", F.col("elevation").cast("double")), 2).alias("elevation"), F.col("elevation_mask").cast("int").alias("elevation_mask"), F.col("building").cast("int").alias("building")))
 
 
-@query(f"SELECT k.area, k.r, k.c, coalesce(arg_max(s.mask, s.ord), 0) AS soil FROM (SELECT DISTINCT area, r, c FROM ({_COVER}) WHERE ord % 2 = 0) k JOIN (SELECT * FROM ({_COVER}) WHERE ord % 2 = 1) s USING (area, r, c) GROUP BY 1, 2, 3")
+@query(f"SELECT k.area, k.r, k.c, coalesce(arg_max(s.mask, s.ord), 0) AS soil FROM (SELECT DISTINCT area, r, c FROM ({_COVER})) k JOIN (SELECT * FROM ({_COVER}) WHERE ord % 2 = 1) s USING (area, r, c) GROUP BY 1, 2, 3")
 def soil_as_green(v):
     p = v.polygons
-    d = features.soil_as_green(p.filter("ord % 2 = 0"), p.filter("ord % 2 = 1"), v.headers, [])
+    d = features.soil_as_green(p, p.filter("ord % 2 = 1"), v.headers, [])
     under = geometry.covered(p.filter("ord % 2 = 1"), v.headers).select("area", "row", "col")
     return rc(d.join(under, ["area", "row", "col"], "left_semi"))
 
@@ -350,14 +350,10 @@ def wind_speed_direction(v):
     return v.met.select("event_id", F.round(w["WSPD"], 6).alias("wspd"), (F.round(w["WDIR_SIN"], 6) + 0.0).alias("s"), (F.round(w["WDIR_COS"], 6) + 0.0).alias("k"))
 
 
-@query("SELECT t, r, c, round((label + nu) / 2, 6) AS u FROM (SELECT t, r, c, example, label, lead(label) OVER (PARTITION BY t, r, example ORDER BY c) AS nu, lead(label) OVER (PARTITION BY t, c, example ORDER BY r) AS nv FROM v_pred WHERE example = 'click') WHERE nu IS NOT NULL AND nv IS NOT NULL")
+@query("SELECT area, r, c, round(sqrt(((z + nu) / 2) ** 2 + ((r + nr) / 2.0) ** 2), 4) AS wspd FROM (SELECT area, r, c, z, lead(z) OVER (PARTITION BY area, r ORDER BY c) AS nu, lead(r) OVER (PARTITION BY area, c ORDER BY r) AS nr FROM v_cells WHERE z IS NOT NULL) WHERE nu IS NOT NULL AND nr IS NOT NULL")
 def wind_components(v):
-    d = v.pred.filter("example = 'click'").select(F.col("example").alias("sim"), F.col("t").alias("ts"), F.col("row").alias("sn"), F.col("col").alias("we"), F.col("label").alias("UU"), F.lit(0.0).alias("VV"))
-    out = weather.wind_components(d)
-    return out.select(F.col("ts").alias("t"), F.col("sn").alias("r"), F.col("we").alias("c"), F.round("WSPD", 6).alias("u"))
-
-
-ORACLES["wind_components"] = ORACLES["wind_components"].replace("(label + nu) / 2", "abs(label + nu) / 2")
+    d = v.cells.filter("z is not null").select(F.col("area").alias("sim"), F.lit(0).alias("ts"), F.col("row").alias("sn"), F.col("col").alias("we"), F.col("z").alias("UU"), F.col("row").cast("double").alias("VV"))
+    return weather.wind_components(d).select(F.col("sim").alias("area"), F.col("sn").alias("r"), F.col("we").alias("c"), F.round("WSPD", 4).alias("wspd"))
 
 
 @query("SELECT event_id, round(h, 6) AS h, round(sin(h * pi() / 12), 6) + 0.0 AS s, round(cos(h * pi() / 12), 6) + 0.0 AS k FROM (SELECT event_id, (((hour(ts) + minute(ts) / 60.0 + lon / 15.0) % 24) + 24) % 24 AS h FROM v_met)")
@@ -458,14 +454,12 @@ def boundary_pairs(v):
     return windows.boundary_pairs(v.series, ["cell"]).select("cell", "t", rd("first"), rd("second"))
 
 
-@query("SELECT cell, step, round(v, 6) AS value FROM (SELECT cell, 2 * t AS step, v, t, max(t) OVER (PARTITION BY cell) AS m FROM v_series) WHERE t < m AND t > 0 UNION ALL SELECT cell, step, round(v, 6) FROM (SELECT cell, 2 * t - 1 AS step, v, t, max(t) OVER (PARTITION BY cell) AS m FROM v_series) WHERE t > 0 AND t < m")
+@query("SELECT cell, (2 * t - 2)::bigint AS step, round(v, 6) AS value FROM v_series WHERE t BETWEEN 1 AND 28 UNION ALL SELECT cell, (2 * t - 1)::bigint, round(v, 6) FROM v_series WHERE t BETWEEN 1 AND 28")
 def split_pairs(v):
     out = windows.split_pairs(windows.boundary_pairs(v.series, ["cell"]), ["cell"])
     return out.select("cell", "step", rd("value"))
 
 
-ORACLES["split_pairs"] = duck("SELECT cell, (2 * t - 1)::bigint AS step, round(v, 6) AS value FROM v_series WHERE t BETWEEN 1 AND 28 UNION ALL SELECT cell, (2 * t)::bigint, round(v, 6) FROM v_series WHERE t BETWEEN 1 AND 28")
-
 
 @query("SELECT d.cell, d.day, k.k::int AS k, round(s.v, 6) AS v FROM (SELECT c.cell, x.day::int AS day FROM (SELECT DISTINCT cell FROM v_series) c, range(7) x(day)) d CROSS JOIN range(6) k(k) JOIN v_series s ON s.cell = d.cell AND s.t = least(greatest(d.day * 4 + k.k - 1, 0), 29)")
 def divide_into_days(v):
@@ -560,9 +554,10 @@ def common_keys(v):
     return examples.common_keys(*_stems(v))
 
 
-@query("SELECT c_custkey AS stem FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS stem FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0")
 def missing_keys(v):
-    return examples.missing_keys(*_stems(v))
+    few = v.table("orders").filter("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("stem"))
+    return examples.missing_keys(_stems(v)[0], few)
 
 
 @query("SELECT r, c, 'missing' AS side FROM (SELECT r, c FROM v_grid WHERE area = 'A' EXCEPT SELECT r, c FROM v_cells WHERE area = 'A')")
@@ -644,7 +639,7 @@ def shuffle(v):
     return examples.shuffle(v.feature_chunks, 3, ["x_index", "y_index"])
 
 
-@query("SELECT x_index, y_index, sim AS study_area, 'c1' AS config, CASE WHEN at <= floor(n * 0.6) THEN 'train' WHEN at <= floor(n * 0.8) THEN 'val' ELSE 'test' END AS dataset FROM (SELECT *, row_number() OVER (PARTITION BY sim ORDER BY sha256(concat_ws('|', sim, 'c1', x_index::varchar, y_index::varchar))) AS at, count(*) OVER (PARTITION BY sim) AS n FROM v_label_chunks)")
+@query("SELECT x_index, y_index, sim AS study_area, 'c1' AS config, CASE WHEN nth <= floor(n * 0.6) THEN 'train' WHEN nth <= floor(n * 0.8) THEN 'val' ELSE 'test' END AS dataset FROM (SELECT *, row_number() OVER (PARTITION BY sim ORDER BY sha256(concat_ws('|', sim, 'c1', x_index::varchar, y_index::varchar))) AS nth, count(*) OVER (PARTITION BY sim) AS n FROM v_label_chunks)")
 def dataset_split(v):
     return examples.dataset_split(v.label_chunks.select(F.col("sim").alias("study_area"), F.lit("c1").alias("config"), "x_index", "y_index"))
 
@@ -655,7 +650,7 @@ def collapse_timesteps(v):
     return d.select("cell", "steps", F.round(F.aggregate("series", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query("SELECT c.cell * 1.0 AS x, 0.5 AS y, s.t, round(s.v, 6) AS depth FROM (SELECT DISTINCT cell FROM v_series) c JOIN v_series s USING (cell)")
+@query("SELECT c.cell::double AS x, 0.5::double AS y, s.t, round(s.v, 6) AS depth FROM (SELECT DISTINCT cell FROM v_series) c JOIN v_series s USING (cell)")
 def depth_matrix_to_long(v):
     m = examples.collapse_timesteps(v.series, ["cell"], 30).select(F.col("cell").alias("cell_id"), F.col("series").alias("depths"))
     centers = v.series.select(F.col("cell").alias("cell_id")).distinct().select("cell_id", F.col("cell_id").cast("double").alias("x"), F.lit(0.5).alias("y"))
@@ -688,9 +683,9 @@ def sim_name(v):
 # ------------------------------------------------------------------ metrics
 
 
-def _metric(name, fn, by, sql_by, select, out):
+def _metric(name, fn, by, sql_by, select, out, digits=6):
     sql = f"SELECT {', '.join([*sql_by, select])} FROM v_pred" + (f" GROUP BY {', '.join(sql_by)}" if sql_by else "")
-    query(sql, name=name)(lambda v: rc(fn(v.pred, by).select(*by, *[rd(o) for o in out])))
+    query(sql, name=name)(lambda v: rc(fn(v.pred, by).select(*by, *[rd(o, digits) for o in out])))
 
 
 _E = "(prediction - label)"
@@ -700,14 +695,14 @@ _metric("temporal_rmse", metrics.temporal_rmse, ["t"], ["t"], f"round(sqrt(avg({
 _metric("regression_metrics", metrics.regression_metrics, ["example"], ["example"], f"round(avg(abs({_E})), 6) AS mae, round(sqrt(avg({_E} ** 2)), 6) AS rmse, round(avg({_E} ** 2), 6) AS mse, round(avg((ln(1 + greatest(prediction, 0)) - ln(1 + greatest(label, 0))) ** 2), 6) AS msle", ["mae", "rmse", "mse", "msle"])
 _metric("nrmse", metrics.nrmse, ["t"], ["t"], f"round(sqrt(avg({_E} ** 2)) / (max(label) - min(label)), 6) AS nrmse", ["nrmse"])
 _metric("mse_by_variable", metrics.mse_by_variable, ["example"], ["example"], f"round(avg({_E} ** 2), 6) AS mse", ["mse"])
-_metric("max_depth", metrics.max_depth, ["row", "col"], ["r", "c"], "round(max(prediction), 6) AS max_depth", ["max_depth"])
+_metric("max_depth", metrics.max_depth, ["row", "col"], ["r", "c"], "round(max(prediction), 3) AS max_depth", ["max_depth"], 3)
 _metric("weighted_mse", metrics.weighted_mse, ["t"], ["t"], f"round(sum({_E} ** 2 / (1 + 100 * label)) / sum(1 / (1 + 100 * label)), 6) AS weighted_mse", ["weighted_mse"])
 _metric("flood_weighted_mse", metrics.flood_weighted_mse, ["t"], ["t"], f"round(avg((1 + 30 / (1 + exp(-10 * (label - 0.05)))) * {_E} ** 2), 6) AS flood_weighted_mse", ["flood_weighted_mse"])
 _metric("log_cosh", metrics.log_cosh, ["t"], ["t"], f"round(avg(ln((exp({_E}) + exp(-{_E})) / 2)), 6) AS log_cosh", ["log_cosh"])
 _metric("flood_skill", lambda d, by: metrics.flood_skill(d, by, 10.0, 5.0), ["t"], ["t"], f"round(avg({_E}), 6) AS bias, round(count(*) FILTER (prediction > 10 AND label > 10) / greatest(count(*) FILTER (prediction > 10 OR label > 10), 1), 6) AS iou, round(avg(((prediction > 5) = (label > 5))::int), 6) AS accuracy", ["bias", "iou", "accuracy"])
 _metric("depth_percentiles", lambda d, by: metrics.depth_percentiles(d, by, value="label"), ["example"], ["example"], "round(quantile_cont(label, 0.02), 6) AS p20, round(quantile_cont(label, 0.98), 6) AS p980, round(quantile_cont(label, 0.995), 6) AS p995", ["p20", "p980", "p995"])
-_metric("map_stats", lambda d, by: metrics.map_stats(d, by, "label"), ["example"], ["example"], "round(min(label), 6) AS min, round(max(label), 6) AS max, round(avg(label), 6) AS mean, count(DISTINCT label) * 1.0 AS distinct_".replace("distinct_", '"distinct"'), ["min", "max", "mean", "distinct"])
-_metric("summarize_metrics", lambda d, by: metrics.summarize_metrics(d, "label"), [], [], "count(label) * 1.0 AS count, round(avg(label), 6) AS mean, round(stddev_samp(label), 6) AS std, round(min(label), 6) AS min, round(quantile_cont(label, 0.25), 6) AS q25, round(quantile_cont(label, 0.5), 6) AS q50, round(quantile_cont(label, 0.75), 6) AS q75, round(max(label), 6) AS max", ["count", "mean", "std", "min", "q25", "q50", "q75", "max"])
+_metric("map_stats", lambda d, by: metrics.map_stats(d, by, "label"), ["example"], ["example"], "round(min(label), 6) AS min, round(max(label), 6) AS max, round(avg(label), 6) AS mean, count(DISTINCT label)::double AS distinct_".replace("distinct_", '"distinct"'), ["min", "max", "mean", "distinct"])
+_metric("summarize_metrics", lambda d, by: metrics.summarize_metrics(d, "label"), [], [], "count(label)::double AS count, round(avg(label), 6) AS mean, round(stddev_samp(label), 6) AS std, round(min(label), 6) AS min, round(quantile_cont(label, 0.25), 6) AS q25, round(quantile_cont(label, 0.5), 6) AS q50, round(quantile_cont(label, 0.75), 6) AS q75, round(max(label), 6) AS max", ["count", "mean", "std", "min", "q25", "q50", "q75", "max"])
 
 
 @query("SELECT r, c, round(avg(nse), 6) AS nse FROM (SELECT p.r, p.c, p.example, 1 - sum((label - prediction) ** 2) / (sum((label - m) ** 2) + 1e-9) AS nse FROM v_pred p JOIN (SELECT r, c, example, avg(label) AS m FROM v_pred GROUP BY 1, 2, 3) a ON p.r = a.r AND p.c = a.c AND p.example = a.example GROUP BY 1, 2, 3) GROUP BY 1, 2")
@@ -845,7 +840,7 @@ def simulation_inventory(v):
     return catalog.simulation_inventory(v.label_chunks.select("sim").distinct(), v.label_chunks.select("sim", "x_index"))
 
 
-@query("SELECT n_name AS area, 200::int AS col_count, n_nationkey * 1.0 AS x_ll FROM nation")
+@query("SELECT n_name AS area, 200::int AS col_count, n_nationkey::double AS x_ll FROM nation")
 def register_weather(v):
     d = v.table("nation").select(F.col("n_name").alias("area"), F.col("n_nationkey").cast("double").alias("x_ll"), F.lit(0.0).alias("y_ll"), F.lit(500.0).alias("cell_size"))
     return catalog.register_weather(d).select("area", "col_count", "x_ll")
