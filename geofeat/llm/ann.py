@@ -122,7 +122,7 @@ def fit(rows: DataFrame, sample: int, **sizes) -> AdditiveQuantiser:
     return AdditiveQuantiser(**sizes).fit(x) if len(x) else AdditiveQuantiser(**sizes)
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, shortlist: int = 800, sample: int = 6144, block_rows: int = 8192, query_rows: int = 256, **sizes) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 10, shortlist: int = 800, sample: int = 6144, block_rows: int = 65536, query_rows: int = 64, **sizes) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance) of each query's k nearest found."""
     spark = vectors.sparkSession
     rows = materialize(usable(vectors), "vectors")
