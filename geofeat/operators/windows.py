@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 
 def label_windows(labels: DataFrame, n: int, by: list[str], value: str = "v") -> DataFrame:
-    """(by, t, k, value, label): for each step t from n on the n values before it (k from 0), and its own value."""
+    """(by, t, k, value, label): for each step t with all n steps before it their values (k from 0), and its own value."""
     w = Window.partitionBy(*by).orderBy("t")
-    past = labels.withColumn("past", F.collect_list(value).over(w.rowsBetween(-n, -1))).filter(F.size("past") == n)
+    past = labels.withColumn("past", F.collect_list(value).over(w.rangeBetween(-n, -1))).filter(F.size("past") == n)
     return past.select(*by, "t", F.col(value).alias("label"), F.posexplode("past").alias("k", value))
 
 
 def label_windows_compact(labels: DataFrame, n: int, by: list[str], value: str = "v") -> DataFrame:
     w = Window.partitionBy(*by).orderBy("t")
-    return labels.withColumn("past", F.collect_list(value).over(w.rowsBetween(-n, -1))).filter(F.size("past") == n)
+    return labels.withColumn("past", F.collect_list(value).over(w.rangeBetween(-n, -1))).filter(F.size("past") == n)
 
 
 def rain_windows(rain: DataFrame, n: int) -> DataFrame:

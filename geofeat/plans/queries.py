@@ -418,12 +418,12 @@ def build_heat_features(v):
 # ------------------------------------------------------------------ windows
 
 
-@query("SELECT a.cell, a.t, b.t - a.t + 5 AS k, round(b.v, 6) AS v, round(a.v, 6) AS label FROM v_series a JOIN v_series b ON a.cell = b.cell AND b.t BETWEEN a.t - 5 AND a.t - 1 WHERE a.t >= 5")
+@query("SELECT a.cell, a.t, b.t - a.t + 5 AS k, round(b.v, 6) AS v, round(a.v, 6) AS label FROM v_series a JOIN v_series b ON a.cell = b.cell AND b.t BETWEEN a.t - 5 AND a.t - 1 QUALIFY count(*) OVER (PARTITION BY a.cell, a.t) = 5")
 def label_windows(v):
     return windows.label_windows(v.series, 5, ["cell"]).select("cell", "t", "k", rd("v"), rd("label"))
 
 
-@query("SELECT a.cell, a.t, round(sum(b.v), 6) AS s FROM v_series a JOIN v_series b ON a.cell = b.cell AND b.t BETWEEN a.t - 5 AND a.t - 1 WHERE a.t >= 5 GROUP BY 1, 2")
+@query("SELECT a.cell, a.t, round(sum(b.v), 6) AS s FROM v_series a JOIN v_series b ON a.cell = b.cell AND b.t BETWEEN a.t - 5 AND a.t - 1 GROUP BY 1, 2 HAVING count(*) = 5")
 def label_windows_compact(v):
     d = windows.label_windows_compact(v.series, 5, ["cell"])
     return d.select("cell", "t", F.round(F.aggregate("past", F.lit(0.0), lambda a, x: a + x), 6).alias("s"))

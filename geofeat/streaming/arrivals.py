@@ -24,7 +24,7 @@ def route(name: Column) -> Column:
 
 def arrivals(spark: SparkSession, root: str) -> DataFrame:
     """A stream of files with their route."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(root)
     return files.select("path", F.col("modificationTime").alias("event_time"), "content", route(F.col("path")).alias("route"))
 
 
