@@ -45,14 +45,33 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete what ``materialize`` wrote; call it when no result that reads it is in use any more."""
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
 
 
+def settled(df: DataFrame, name: str, mark: int) -> DataFrame:
+    """``df`` as a written table; the scratch tables made since ``mark`` (from ``scratch_mark``), which only it needed, are deleted."""
+    inner = _WRITTEN[mark:]
+    out = materialize(df, name)
+    del _WRITTEN[mark : mark + len(inner)]
+    _delete(df.sparkSession, inner)
+    return out
+
+
+def scratch_mark() -> int:
+    return len(_WRITTEN)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what ``materialize`` wrote; call it when no result that reads it is in use any more."""
+    paths = _WRITTEN[:]
+    _WRITTEN.clear()
+    _delete(spark, paths)
+
+
 def held_out(doc_id, modulus: int, remainder: int):
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == remainder

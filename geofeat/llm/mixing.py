@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geofeat.llm.common import materialize
+from geofeat.llm.common import materialize, scratch_mark, settled
 
 HALVINGS = 5
 
@@ -30,10 +30,12 @@ def row_hash(seed: int = 17):
 
 def mixed_documents(docs: DataFrame, **target) -> DataFrame:
     """The documents in their own columns, one row per use; texts are shuffled once, by the hash that the narrow plan carries."""
-    uses = mix(docs, **target).select(F.col("order").alias("use"), F.col("doc_id").alias("of"))
+    mark = scratch_mark()
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("of")
+    uses = settled(mix(docs, **target).select(F.col("order").alias("use"), key), "mix-uses", mark)
     # Equal rows share one hash and stand for each other, so each hash keeps one row and takes all uses.
-    rows = docs.withColumn("use", row_hash()).dropDuplicates(["use"])
-    return rows.join(uses, (rows.use == uses.use) & rows.doc_id.eqNullSafe(uses.of)).select(*[rows[c] for c in docs.columns])
+    rows = docs.select(*docs.columns, row_hash().alias("use"), key).dropDuplicates(["use", "of"])
+    return rows.join(uses, ["use", "of"]).select(*[rows[c] for c in docs.columns])
 
 
 def source_tokens(docs: DataFrame) -> DataFrame:
