@@ -83,7 +83,11 @@ def read_depth_points(spark: SparkSession, paths) -> DataFrame:
 
 def read_npy_cells(spark: SparkSession, paths, strict: bool = True) -> DataFrame:
     """(path, idx array<int>, value) of .npy arrays; without ``strict``, files that don't decode are left out."""
-    blobs = spark.read.format("binaryFile").option("ignoreMissingFiles", not strict).load(paths).select("path", "content")
+    return npy_cells(spark.read.format("binaryFile").option("ignoreMissingFiles", not strict).load(paths), strict)
+
+
+def npy_cells(blobs: DataFrame, strict: bool = True) -> DataFrame:
+    """The same of any table (path, content)."""
 
     def run(frames):
         import numpy as np
@@ -97,12 +101,11 @@ def read_npy_cells(spark: SparkSession, paths, strict: bool = True) -> DataFrame
                     if strict:
                         raise
                     continue
-                at = np.indices(a.shape).reshape(a.ndim, -1).T
                 for k in range(0, a.size, 1 << 16):
-                    part = a.ravel()[k : k + (1 << 16)]
-                    yield pd.DataFrame({"path": path, "idx": list(at[k : k + (1 << 16)].astype("int32")), "value": part.astype("float64")})
+                    at = np.stack(np.unravel_index(np.arange(k, min(k + (1 << 16), a.size)), a.shape), 1).astype("int32")
+                    yield pd.DataFrame({"path": path, "idx": list(at), "value": a.ravel()[k : k + (1 << 16)].astype("float64")})
 
-    return blobs.mapInPandas(run, "path string, idx array<int>, value double")
+    return blobs.select("path", "content").mapInPandas(run, "path string, idx array<int>, value double")
 
 
 MEMBERS = ("elevation", "boundaries", "buildings", "green_areas", "soil_classes")

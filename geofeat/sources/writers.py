@@ -72,7 +72,7 @@ def materialize_flood(features: DataFrame, labels: DataFrame, path: str) -> None
     """Training layout: sim and split folders of features and labels."""
     keys = ["sim", "x_index", "y_index"]
     split = labels.select(*keys, "dataset").distinct()
-    features.join(split, keys).write.partitionBy("sim", "dataset").parquet(f"{path}/features")
+    features.join(split, [k for k in keys if k in features.columns]).write.partitionBy("sim", "dataset").parquet(f"{path}/features")
     labels.write.partitionBy("sim", "dataset").parquet(f"{path}/labels")
 
 
