@@ -119,9 +119,10 @@ def infer(ll: np.ndarray, penalty: float) -> tuple[int, float, dict[int, float]]
 
 
 def identify(docs: DataFrame, labelled: DataFrame, penalty: float = 2.0) -> DataFrame:
-    """Per document: the given columns, then lang_pred, score (0 to 1), langs (kept languages and their proportions)."""
+    """Per document: the given columns (but for those of the names that follow), then lang_pred, score (0 to 1), langs (kept languages and their proportions)."""
     counts = train(require(labelled, "text", "lang").filter("text is not null and lang is not null").selectExpr("text", "cast(lang as string) lang"))
     told = docs.sparkSession.sparkContext.broadcast(Model([tuple(r) for r in counts.toLocalIterator()]))
+    docs = docs.drop("lang_pred", "score", "langs")
     names = docs.columns
 
     def run(batches):

@@ -31,11 +31,11 @@ def row_hash(seed: int = 17):
 def mixed_documents(docs: DataFrame, **target) -> DataFrame:
     """The documents in their own columns, one row per use; texts are shuffled once, by the hash that the narrow plan carries."""
     mark = scratch_mark()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("of")
-    uses = settled(mix(docs, **target).select(F.col("order").alias("use"), key), "mix-uses", mark)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__of")
+    uses = settled(mix(docs, **target).select(F.col("order").alias("__use"), key), "mix-uses", mark)
     # Equal rows share one hash and stand for each other, so each hash keeps one row and takes all uses.
-    rows = docs.select(*docs.columns, row_hash().alias("use"), key).dropDuplicates(["use", "of"])
-    return rows.join(uses, ["use", "of"]).select(*[rows[c] for c in docs.columns])
+    rows = docs.select(*docs.columns, row_hash().alias("__use"), key).dropDuplicates(["__use", "__of"])
+    return rows.join(uses, ["__use", "__of"]).select(*[rows[c] for c in docs.columns])
 
 
 def source_tokens(docs: DataFrame) -> DataFrame:
