@@ -66,10 +66,10 @@ def settings_roundtrip(v):
     return back.select(F.url_decode(F.regexp_extract("path", r"name=([^/]+)", 1)).alias("name"), F.col("settings")["value"].alias("value"))
 
 
-@query("SELECT cell, t, round(v, 2) AS depth FROM v_series")
+@query("SELECT cell, t, floor(v) AS depth FROM v_series")
 def depth_csv_roundtrip(v):
     path = scratch(v.spark, "depth")
-    s = v.series.select("t", F.col("cell").alias("x"), F.lit(0).alias("y"), F.round("v", 2).alias("depth"))
+    s = v.series.select("t", F.col("cell").alias("x"), F.lit(0).alias("y"), F.floor("v").cast("double").alias("depth"))
     writers.write_depth_csv(s, path)
     back = v.spark.read.schema("x int, y int, value double, t int").option("header", True).csv(path)
     return back.select(F.col("x").alias("cell"), "t", F.col("value").alias("depth"))
