@@ -20,7 +20,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-_AREA = F.regexp_extract("path", r"area=([^/]+)", 1)
+def _area():
+    return F.regexp_extract("path", r"area=([^/]+)", 1)
 
 
 @query("SELECT area, r, c, floor(z) AS z FROM v_grid LEFT JOIN v_cells USING (area, r, c)")
@@ -29,7 +30,7 @@ def ascii_grid_roundtrip(v):
     cells = grid.dense_grid(v.headers).join(v.cells.withColumn("z", F.floor("z").cast("double")), ["area", "row", "col"], "left")
     writers.write_ascii_grid(cells, v.headers, path)
     _, back = readers.read_ascii_grid(v.spark, f"{path}/*/*")
-    return rc(back.select(_AREA.alias("area"), "row", "col", "z"))
+    return rc(back.select(_area().alias("area"), "row", "col", "z"))
 
 
 @query("SELECT 'A' AS area, 64::int AS col_count, 64::int AS row_count, 1.0::double AS cell_size UNION ALL SELECT 'N', 64, 64, 1 UNION ALL SELECT 'R', 64, 64, 1")
@@ -45,7 +46,7 @@ def polygon_roundtrip(v):
     path = scratch(v.spark, "polygons")
     writers.write_polygons(v.polygons, path, ["area"])
     back = readers.read_polygons(v.spark, f"{path}/*/*")
-    return back.select(_AREA.alias("area"), "mask", F.array_min("xs").alias("x0"), F.array_min("ys").alias("y0"), F.array_max("xs").alias("x1"), F.array_max("ys").alias("y1"))
+    return back.select(_area().alias("area"), "mask", F.array_min("xs").alias("x0"), F.array_min("ys").alias("y0"), F.array_max("xs").alias("x1"), F.array_max("ys").alias("y1"))
 
 
 @query("SELECT config, t, amount FROM (SELECT config, (row_number() OVER (PARTITION BY config ORDER BY t) - 1)::int AS t, amount FROM v_rain)")
