@@ -55,7 +55,7 @@ def train(docs: DataFrame) -> DataFrame:
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for piece in slices(batch, "text", 2 << 20):
+            for piece in slices(batch, "text", 1 << 20):
                 bins, owner, first = word_grams(piece)
                 langs = piece.column("lang").to_pylist()
                 doc = np.searchsorted(first, owner, "right") - 1
@@ -128,7 +128,7 @@ def identify(docs: DataFrame, labelled: DataFrame, penalty: float = 2.0) -> Data
     def run(batches):
         model = told.value
         for batch in batches:
-            for piece in slices(batch, "text", 2 << 20):
+            for piece in slices(batch, "text", 1 << 20):
                 pred, score, langs = [], [], []
                 ll, first = model.word_likelihoods(piece)
                 texts = piece.column("text").to_pylist()

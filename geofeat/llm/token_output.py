@@ -29,7 +29,7 @@ MANIFEST = "shard int, ids_path string, docs_path string, n_docs long, n_ids lon
 
 
 class UnitEncoder(dict):
-    """A tokenizers-library encoder that meets each distinct blank-separated piece once a worker.
+    """A tokenizers-library encoder that meets each distinct blank-separated piece once a task.
 
     The byte-level pre-tokenizer always breaks before a blank that is followed by a non-blank, so ids of a text are those of
     its pieces in order: ``self[piece]`` is the ids of the piece after a blank. Pieces for which this does not hold (a blank next to
@@ -37,7 +37,7 @@ class UnitEncoder(dict):
     emptied when full and never changes a result.
     """
 
-    SIZE = 1_200_000
+    SIZE = 800_000
 
     def __init__(self, path: str):
         import regex
@@ -205,6 +205,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                 texts = piece.column("text").fill_null("").to_pylist()
                 for doc_id, ids in zip(piece.column("doc_id").to_pylist(), map(coder.encode, texts)):
                     writer.add(doc_id, np.frombuffer(ids + end, coder.dtype))
+        coder.clear()  # a worker outlives its task, and its memory is wanted by others
+        coder.starts.clear()
         if writer:
             row = {"shard": shard} | writer.close()
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("ids_path", pa.string()), ("docs_path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_sequences", pa.int64())]))
