@@ -856,7 +856,7 @@ def route_arrivals(v):
 
 @query("SELECT event_id FROM events WHERE event_id % 3 <> 0")
 def drop_temporary(v):
-    name = F.when(F.col("event_id") % 3 == 0, "gsutil/tmp/parallel_composite_uploads/x").otherwise("chunks/x")
+    name = F.when(F.col("event_id") % 3 == 0, arrivals.TEMPORARY + "/x").otherwise("chunks/x")
     return arrivals.drop_temporary(v.table("events").withColumn("name", name)).select("event_id")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from geofeat.operators import catalog, grid
 
 # Name patterns and their routes, first match counts.
-ROUTES = [(r"/chunks/.*\.tar$", "elevation_chunk"), (r"/met_em\.[^/]*$", "weather_input"), (r"/wrfout[^/]*$", "weather_output"), (r"R\d+_C\d+_T\d+\.rsl$", "depth"), (r"(Rainfall_Data|CityCat_Config)[^/]*\.txt$", "config")]
+ROUTES = [(r"/chunks/.*\.tar$", "elevation_chunk"), (r"/met_em\.[^/]*$", "weather_input"), (r"/wrfout[^/]*$", "weather_output"), (r"R\d+_C\d+_T\d+[^/]*\.rsl$", "depth"), (r"(^|/)Rainfall_Data_[^/]*$", "config")]
 
 
 def route(name: Column) -> Column:
@@ -28,9 +28,13 @@ def arrivals(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.col("modificationTime").alias("event_time"), "content", route(F.col("path")).alias("route"))
 
 
-def drop_temporary(df: DataFrame, name: str = "name") -> DataFrame:
-    """Parts of composite uploads."""
-    return df.filter(~F.col(name).startswith("gsutil/tmp/parallel_composite_uploads/"))
+#: Fixed value: the folder of unfinished uploads.
+TEMPORARY = "gcloud/tmp/parallel_composite_uploads"
+
+
+def drop_temporary(df: DataFrame, name: str = "name", prefix: str = TEMPORARY) -> DataFrame:
+    """Without the parts of unfinished uploads."""
+    return df.filter(~F.col(name).startswith(prefix))
 
 
 def drop_stale(df: DataFrame, now: Column, seconds: int = 3600, time: str = "event_time") -> DataFrame:
