@@ -201,6 +201,14 @@ def test_lm_score(docs, rows):
         assert r["score"] < 0 and math.isfinite(r["score"])
 
 
+def test_lm_score_predicts_from_earlier_words(spark):
+    """Two held-out texts of equally frequent words: the one in the order of the training texts scores higher."""
+    rows = [(k, "red apple" if k % 2 else "old house") for k in range(200)] + [(1000, "red apple"), (1001, "red house")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(d, F.col("doc_id") >= 1000).filter("held_out").collect()}
+    assert got[1000] > got[1001] + 1
+
+
 def test_lm_score_of_nothing(empty):
     assert lm_score.score(empty, held_out(F.col("doc_id"), 7, 2)).count() == 0
 
