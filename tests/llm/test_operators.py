@@ -209,6 +209,20 @@ def test_lm_score_predicts_from_earlier_words(spark):
     assert got[1000] > got[1001] + 1
 
 
+def test_mixer_counts_keep_their_ratio(spark):
+    """Counts of millions stay in proportion, rare cells stay known, and the tables grow with the vocabulary."""
+    cells = np.zeros(32, np.uint32)
+    cells[[3, 9, 12, 20]] = 283_015, 189_164, 1, 7
+    got = lm_score.halved(cells).astype(float)
+    assert got[3] / got[9] == pytest.approx(283_015 / 189_164, rel=1e-3)
+    assert got[12] == 1 and got[20] == 7 and got.sum() < 2**16
+    assert lm_score.row_bits(100) < lm_score.row_bits(50_000) < lm_score.row_bits(400_000)
+    d = spark.createDataFrame([("xaxaxaxbxb" * 30_000, False)], "text string, held_out boolean")
+    first = lm_score._table_counts(d, 300_000, 12)[0]
+    a, b = (first[:, ord(x) & 15].astype(float).max() for x in "ab")
+    assert a / b == pytest.approx(1.5, rel=0.01)
+
+
 def test_lm_score_of_nothing(empty):
     assert lm_score.score(empty, held_out(F.col("doc_id"), 7, 2)).count() == 0
 
