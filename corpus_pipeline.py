@@ -12,18 +12,22 @@ from geofeat.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language (no text, no letter) go; an unknown lang is filled with the prediction."""
-    known = langid.identify(docs, docs).filter("lang_pred <> 'und'")
+    """Documents of no text or no letter go; an unknown lang is filled with the prediction ('und' where no language can be learned)."""
+    known = langid.identify(docs, docs).filter((F.col("lang_pred") != "und") | F.col("text").rlike(r"\p{L}"))
     return known.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles at 0.8: of each group the document with the least id stays. Rows that share an id are one document."""
-    groups = jaccard.jaccard_join(docs, n=5, percent=80)
-    stay = materialize(groups.filter("doc_id = component_id or component_id is null").select("doc_id").distinct(), "stay")
-    kept = docs.join(stay.withColumnRenamed("doc_id", "stays"), docs.doc_id.eqNullSafe(F.col("stays")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select(*docs.columns)
+    """Five-word shingles at 0.8: of each group the document with the least id stays, one without an id last. A document is an id and a text."""
+    name = F.xxhash64(docs["doc_id"], docs["text"])
+    groups = jaccard.jaccard_join(docs.select(name.alias("doc_id"), "text"), n=5, percent=80)
+    groups = groups.select(F.col("doc_id").alias("name"), "component_id").distinct()
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("name"))
+    least = docs.select(docs["doc_id"], name.alias("name")).join(groups, "name").groupBy("component_id").agg(F.min(rank)["name"].alias("__stays"))
+    stay = materialize(least.select("__stays"), "stay")
+    kept = docs.withColumn("__name", name).join(stay, F.col("__name") == F.col("__stays"), "left_semi")
+    first = Window.partitionBy("__name").orderBy(F.xxhash64(*docs.columns))
+    return kept.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,15 @@ def test_stages(spark, tmp_path):
             assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in after) == brute.tokens(rows, tokenizer_path())
         seen.append(len(after))
     assert seen[-1] == seen[-2] > 0
+
+
+def test_only_near_duplicates_go(spark):
+    """Rows without an id, or of one id and several texts, stay unless they are copies; so do all texts where no language is known."""
+    text = {k: " ".join(f"{k}{j}word" for j in range(12)) for k in "abcd"}
+    rows = [(None, text["a"]), (None, text["b"]), (7, text["c"]), (7, text["d"]), (8, text["c"]), (None, text["d"]), (7, text["d"]), (9, "12 34"), (10, None)]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = corpus_pipeline.language_id(spark, docs, SF)
+    assert docs.count() == 7
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == [(0, text["a"]), (0, text["b"]), (7, text["c"]), (7, text["d"])]
