@@ -41,8 +41,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The exponent that reads the smallest source 1.25 times while each is read once; a document used twice is two rows."""
-    return mixing.mixed_documents(docs, repetition=1.25)
+    """The exponent that reads no source more than twice while each is read once, as in op1; a document used twice is two rows."""
+    return mixing.mixed_documents(docs, repetition=2.0)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,10 @@ def test_only_near_duplicates_go(spark):
     got = corpus_pipeline.near_duplicates(spark, docs, SF)
     assert got.columns == docs.columns
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == [(0, text["a"]), (0, text["b"]), (7, text["c"]), (7, text["d"])]
+
+
+def test_mixing_repeats_the_smallest_source_twice(spark):
+    docs = spark.createDataFrame([(k, f"w{k} w w w", "en", "small" if k < 40 else "big", 1) for k in range(440)], "doc_id long, text string, lang string, source string, n_chars long")
+    uses = corpus_pipeline.source_mixing(spark, docs, SF).groupBy("source").count().collect()
+    uses = {r["source"]: r["count"] for r in uses}
+    assert uses["big"] == 400 and 76 <= uses["small"] <= 80
