@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import time
@@ -82,6 +84,23 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[df[c] for c in columns])
 
 
+def freed(run):
+    """``run`` (over Arrow batches), and at the task's end its memory back to the system: a Python worker outlives its task, and others want it."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 # ---------------------------------------------------------------- Arrow text
 
 _LOWER = np.arange(256, dtype=np.uint8)
