@@ -2,7 +2,7 @@
 
 Documents are range-partitioned by id, encoded, and packed one after another into sequences of equal length.
 A shard (one partition) is one Arrow IPC file whose record batches hold ``ids`` (fixed-size list of uint16, or of uint32 for larger
-vocabularies) and ``mask`` (fixed-size list of bits: token or padding), so that sequence k of a shard is found by arithmetic and
+vocabularies) and ``mask`` (fixed-size list of bits: token or padding), so that sequence k of a shard is row k % rows of batch k // rows, and is
 read without a copy through a memory map. A second small file lists (doc_id, start, n_tokens) of the shard.
 
 Defined results. Null text: empty, only the end id. Null doc_id: sorted first. Repeated doc_ids: all kept, ordered by a hash of
@@ -11,6 +11,7 @@ the text; equal rows are interchangeable. Empty table: no files, no rows. Extra
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -23,15 +24,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geofeat.llm.common import materialize, require, scratch_path, slices
+from geofeat.llm.common import freed, materialize, require, scratch_path, slices
 
 MANIFEST = "shard int, ids_path string, docs_path string, n_docs long, n_ids long, n_sequences long"
 
 
+def plain_byte_level(path: str) -> bool:
+    """Whether a tokenizer file is one that ``UnitEncoder`` may take apart: byte-level, with nothing before, around or after it."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    wanted = before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", True)
+    after = (spec.get("post_processor") or {"type": "ByteLevel"}).get("type") == "ByteLevel"  # touches offsets only
+    odd = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    added = any(t.get(k) for t in spec.get("added_tokens") or () for k in ("lstrip", "rstrip", "normalized", "single_word"))
+    cut = spec.get("truncation") or spec.get("padding")
+    return wanted and after and spec.get("normalizer") is None and model.get("type") == "BPE" and not odd and not added and not cut
+
+
 class UnitEncoder(dict):
     """A tokenizers-library encoder that meets each distinct blank-separated piece once a task.
 
-    The byte-level pre-tokenizer always breaks before a blank that is followed by a non-blank, so ids of a text are those of
+    Files other than ``plain_byte_level`` ones are not taken apart: each text is encoded whole by the library. The byte-level pre-tokenizer always breaks before a blank that is followed by a non-blank, so ids of a text are those of
     its pieces in order: ``self[piece]`` is the ids of the piece after a blank. Pieces for which this does not hold (a blank next to
     other white space) and texts with an added token are encoded whole. The dictionary is a cache of bounded size; it is
     emptied when full and never changes a result.
@@ -45,6 +59,7 @@ class UnitEncoder(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.apart = plain_byte_level(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -56,7 +71,7 @@ class UnitEncoder(dict):
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
         self.alphabet = [chr(b if b in shown else next(rest)) for b in range(256)]
-        self.signs = {chr(c): self.part(chr(c)) for c in range(0x250)}
+        self.signs = {chr(c): self.part(chr(c)) for c in range(0x250)} if self.apart else {}
         self.starts: dict[str, bytes] = {}  # words at the start of a line
 
     def part(self, part: str) -> bytes:
@@ -94,7 +109,7 @@ class UnitEncoder(dict):
 
     def encode(self, text: str) -> bytes:
         pieces = text.split(" ")
-        if not any(a in text for a in self.added):
+        if self.apart and not any(a in text for a in self.added):
             try:
                 return b"".join(map(self.part, self.split(pieces[0]))) + b"".join(map(self.__getitem__, pieces[1:]))
             except TypeError:
@@ -102,15 +117,6 @@ class UnitEncoder(dict):
         return self.whole(text)
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
-def encoder(path: str) -> UnitEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
-
-
 def _schema(length: int, dtype: np.dtype) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
 
@@ -122,7 +128,7 @@ class ShardWriter:
     """Packs ids into sequences; a file appears under its final name only when it is whole, so that repeated tasks do no harm."""
 
     def __init__(self, folder: str, shard: int, length: int, rows: int, dtype: np.dtype):
-        self.length, self.rows, self.pending, self.held = length, rows, [], 0
+        self.length, self.rows, self.dtype, self.pending, self.held = length, rows, dtype, [], 0
         self.schema = _schema(length, dtype)
         self.docs: list[tuple] = []
         self.n_ids = self.n_sequences = 0
@@ -140,21 +146,18 @@ class ShardWriter:
         self.pending.append(ids)
         self.n_ids += len(ids)
         self.held += len(ids)
-        if self.held >= self.length * self.rows:
+        while self.held >= self.length * self.rows:
             self.flush(False)
 
     def flush(self, last: bool) -> None:
-        if not self.pending:
-            return
-        ids = np.concatenate(self.pending)
-        mask = np.ones(-(-len(ids) // self.length) * self.length, bool)
-        mask[len(ids) :] = False
-        n = len(ids) // self.length
-        if last and len(ids) % self.length:
-            ids, n = np.pad(ids, (0, len(mask) - len(ids))), n + 1
-        cut = n * self.length
+        """One batch of exactly ``rows`` sequences; the last one of a file may be shorter, and its last sequence padded."""
+        ids = np.concatenate(self.pending) if self.pending else np.zeros(0, self.dtype)
+        n = -(-len(ids) // self.length) if last else self.rows
+        cut = min(len(ids), n * self.length)
         if n:
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[:cut]), self.length) for x in (ids, mask)]
+            mask = np.arange(n * self.length) < cut
+            whole = np.pad(ids[:cut], (0, n * self.length - cut))
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (whole, mask)]
             self.out.write_batch(pa.record_batch(lists, schema=self.schema))
         self.n_sequences += n
         self.pending = [ids[cut:]] if cut < len(ids) else []
@@ -179,16 +182,13 @@ def open_file(uri: str) -> ipc.RecordBatchFileReader:
 
 
 def sequence(reader: ipc.RecordBatchFileReader, k: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence k, a view into the file, and its mask. All batches but the last of a shard hold at least ``rows`` sequences."""
-    at = 0
-    while at < reader.num_record_batches:
-        batch = reader.get_batch(at)
-        if k < batch.num_rows:
-            size = batch.schema.field("ids").type.list_size
-            ids, mask = batch.column("ids").flatten(), batch.column("mask").flatten()
-            return ids.to_numpy()[k * size : (k + 1) * size], mask.slice(k * size, size).to_numpy(zero_copy_only=False)
-        k, at = k - batch.num_rows, at + 1
-    raise IndexError(k)
+    """Sequence k, a view into the file, and its mask: row k % rows of batch k // rows, as every batch but a file's last holds ``rows``."""
+    if not 0 <= k // rows < reader.num_record_batches or k % rows >= (batch := reader.get_batch(k // rows)).num_rows:
+        raise IndexError(k)
+    size = batch.schema.field("ids").type.list_size
+    part = slice(k % rows * size, (k % rows + 1) * size)
+    mask = batch.column("mask").flatten()
+    return batch.column("ids").flatten().to_numpy()[part], mask.slice(part.start, size).to_numpy(zero_copy_only=False)
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, length: int = 2048, rows: int = 64) -> DataFrame:
@@ -197,7 +197,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
     def write(batches):
         shard = TaskContext.get().partitionId()
-        coder, writer = encoder(tokenizer_path), None
+        coder, writer = UnitEncoder(tokenizer_path), None
         end = np.array([end_id], coder.dtype).tobytes()
         for batch in batches:
             for piece in slices(batch, "text", 8 << 20):
@@ -205,19 +205,18 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                 texts = piece.column("text").fill_null("").to_pylist()
                 for doc_id, ids in zip(piece.column("doc_id").to_pylist(), map(coder.encode, texts)):
                     writer.add(doc_id, np.frombuffer(ids + end, coder.dtype))
-        coder.clear()  # a worker outlives its task, and its memory is wanted by others
-        coder.starts.clear()
         if writer:
             row = {"shard": shard} | writer.close()
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("ids_path", pa.string()), ("docs_path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_sequences", pa.int64())]))
 
     order = [F.col("doc_id").cast("long").asc_nulls_first(), F.xxhash64("text")]
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    return materialize(dealt.mapInArrow(write, MANIFEST), "token-manifest")
+    return materialize(dealt.mapInArrow(freed(write), MANIFEST), "token-manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32; ``start`` counts the ids of all documents before it."""
+    # The manifest has one short row a file, so the running sum over all of them is one small task.
     base = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shards = manifest.withColumn("base", base)
 
@@ -235,7 +234,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     yield pa.record_batch([part.column("doc_id"), pa.array(start + row["base"]), part.column("n_tokens"), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = shards.repartition(F.col("shard"))
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(freed(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = 2048) -> DataFrame:
