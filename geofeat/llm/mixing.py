@@ -24,17 +24,22 @@ from geofeat.llm.common import materialize, scratch_mark, settled
 HALVINGS = 5
 
 
-def row_hash(seed: int = 17):
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+SEED = 17
 
 
-def mixed_documents(docs: DataFrame, **target) -> DataFrame:
+def row_hash(seed: int = SEED):
+    """Rows alike in id, source and text share it; nulls are marked, as the hash itself skips them."""
+    nulls = F.concat(*[F.when(F.col(c).isNull(), F.lit("1")).otherwise(F.lit("0")) for c in ("doc_id", "source", "text")])
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text"), nulls)
+
+
+def mixed_documents(docs: DataFrame, seed: int = SEED, **target) -> DataFrame:
     """The documents in their own columns, one row per use; texts are shuffled once, by the hash that the narrow plan carries."""
     mark = scratch_mark()
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__of")
-    uses = settled(mix(docs, **target).select(F.col("order").alias("__use"), key), "mix-uses", mark)
+    uses = settled(mix(docs, seed=seed, **target).select(F.col("order").alias("__use"), key), "mix-uses", mark)
     # Equal rows share one hash and stand for each other, so each hash keeps one row and takes all uses.
-    rows = docs.select(*docs.columns, row_hash().alias("__use"), key).dropDuplicates(["__use", "__of"])
+    rows = docs.select(*docs.columns, row_hash(seed).alias("__use"), key).dropDuplicates(["__use", "__of"])
     return rows.join(uses, ["__use", "__of"]).select(*[rows[c] for c in docs.columns])
 
 
@@ -87,7 +92,7 @@ def weights(sources: DataFrame, exponent: float, budget: int | None = None) -> D
     return raised.select("source", "tokens", "docs", (F.col("raised") / z).alias("weight"), F.ceil(exact).cast("long").alias("budget"))
 
 
-def mix(docs: DataFrame, entropy: float | None = None, repetition: float | None = None, budget: int | None = None, block_tokens: int = 1 << 20, bucket_docs: int = 4096, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, entropy: float | None = None, repetition: float | None = None, budget: int | None = None, block_tokens: int = 1 << 20, bucket_docs: int = 4096, seed: int = SEED) -> DataFrame:
     """One row per use of a document: doc_id, source, tokens, pass, block, place (within the block), order (its row's hash)."""
     tokens = F.greatest(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)), F.lit(1)).cast("long")
     docs = docs.select("doc_id", "source", tokens.alias("tokens"), row_hash(seed).alias("order"))
