@@ -123,3 +123,8 @@ def joined(*kinds: str) -> Column:
     """All spans of the kinds as kind:start:end, comma-joined."""
     parts = F.concat(*[F.col(k) for k in kinds])
     return F.array_join(F.transform(parts, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def scores(*kinds: str) -> Column:
+    """The scores of all spans of the kinds, with two decimals, in the order of ``joined``."""
+    return F.array_join(F.transform(F.concat(*[F.col(k) for k in kinds]), lambda x: F.format_number(x["score"], 2)), ",")

@@ -32,7 +32,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_table(spark, sf_dir, "documents"))
     n = lambda k: F.size(k).cast("long").alias(f"n_{k}")
     base = ("email", "ip", "card", "phone")
-    return found.select("doc_id", *[n(k) for k in (*base, "iban")], F.sha2(pii.joined(*base), 256).alias("base_sha256"), pii.joined(*base, "iban").alias("spans"))
+    return found.select("doc_id", *[n(k) for k in (*base, "iban")], F.sha2(pii.joined(*base), 256).alias("base_sha256"), pii.joined(*base, "iban").alias("spans"), pii.scores(*base, "iban").alias("scores"))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
