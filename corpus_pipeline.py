@@ -33,10 +33,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut from the texts; a document of nothing else goes."""
     keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = decon.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=keep)
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
-    cut = decon.cut_spans(found.filter((F.size("spans") == 0) | (hit < F.col("n_words"))))
-    length = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    found = decon.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=keep, prefix="__hit_")
+    hit = F.aggregate("__hit_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
+    cut = decon.cut_spans(found.filter((F.size("__hit_spans") == 0) | (hit < F.col("__hit_n_words"))), "__hit_spans")
+    length = F.when(F.size("__hit_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.select(*[length.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

@@ -20,14 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geofeat.llm.common import require, slices, utf8
+from geofeat.llm.common import freed, materialize, mix64, require, slices, utf8, word_hashes, words
 
 #: Other bytes than digits, letters and those of multi-byte characters part words; A-Z are folded.
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def text_words(text: bytes) -> list[bytes]:
-    return text.translate(_WORD).split()
+_FOLDED = np.frombuffer(_WORD, np.uint8)
 
 
 class WaveletTree:
@@ -91,13 +90,13 @@ class FMIndex:
         self.places = order[self.sampled]
         self.n, self.symbols = n, len(counts)
 
-    def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix ranges [lo, hi) of all patterns at once; row i holds its words at the right end."""
-        live = np.arange(len(patterns))
-        lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        for k in range(patterns.shape[1]):
+    def search(self, sequence: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix ranges [lo, hi) of all patterns at once: pattern i is the ``lengths[i]`` numbers of ``sequence`` before ``ends[i]``."""
+        live = np.arange(len(ends))
+        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
+        for k in range(int(lengths.max(initial=0))):
             live = live[(lengths[live] > k) & (lo[live] < hi[live])]
-            c = patterns[live, patterns.shape[1] - 1 - k]
+            c = sequence[ends[live] - 1 - k].astype(np.int64)
             known = c < self.symbols
             hi[live[~known]] = lo[live[~known]]
             at, c = live[known], c[known]
@@ -119,119 +118,134 @@ class FMIndex:
 
 
 class Windows:
-    """The benchmark's windows as rows of word numbers, for use in tasks."""
-
-    def __init__(self, items: list[tuple], size: int):
-        self.size, self.vocabulary, rows, owners = size, {}, {}, []
-        for item_id, text in items:
-            w = text_words((text or "").encode())
-            numbers = [self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w]
-            for k in range(max(0, len(w) - size) + 1 if w else 0):
-                row = tuple(numbers[k : k + size])
-                if row not in rows:
-                    rows[row] = len(owners)
-                    owners.append(set())
-                if item_id is not None:
-                    owners[rows[row]].add(str(item_id))
-        self.owners = owners
-        self.lengths = np.array([len(r) for r in rows], np.int64)
-        self.patterns = np.zeros((len(rows), size), np.int64)
-        for i, r in enumerate(rows):
-            self.patterns[i, size - len(r) :] = r
-        self.least = int(self.lengths.min()) if len(rows) else 0
-
-    def scan(self, texts: list[bytes]) -> list[tuple[int, np.ndarray, set]]:
-        """For each text: word count, merged hit spans as rows (first word, end), items with an occurrence."""
-        get, counts, numbers = self.vocabulary.get, [], []
-        for t in texts:
-            w = text_words(t)
-            counts.append(len(w))
-            numbers.extend([get(x, 0) for x in w])
-            numbers.append(0)
-        none = np.zeros((0, 2), np.int64)
-        out = [(c, none, set()) for c in counts]
-        if not self.least:
-            return out
-        flat = np.array(numbers, np.int64)
+    """The benchmark's distinct windows, for use in tasks: places in one sequence of word numbers, and the items of each, all in arrays.
+
+    Words and windows are told apart by 64-bit hashes.
+    """
+
+    def __init__(self, item_ids: pa.Array, texts: pa.Array, size: int):
+        off, data = utf8(texts)
+        folded = _FOLDED[data]
+        starts, lengths, first = words(off, folded)
+        h = word_hashes(folded, starts, lengths)
+        self.vocabulary = np.unique(h)
+        self.sequence = (np.searchsorted(self.vocabulary, h) + 1).astype(np.int32)
+        n = np.diff(first)
+        many = np.where(n >= size, n - size + 1, n > 0)
+        item = np.repeat(np.arange(len(n), dtype=np.int32), many)
+        start = np.repeat(first[:-1] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        length = np.minimum(n, size)[item]
+        name = length.astype(np.uint64)
+        for k in range(int(length.max(initial=0))):
+            at = np.flatnonzero(length > k)
+            name[at] = mix64(name[at] * np.uint64(0x9E3779B97F4A7C15) + self.sequence[start[at] + k].astype(np.uint64))
+        _, one, of = np.unique(name, return_index=True, return_inverse=True)
+        self.lengths = length[one]
+        self.ends = start[one] + self.lengths
+        self.owners = item[np.argsort(of.ravel(), kind="stable")]
+        self.first_owner = np.concatenate([[0], np.cumsum(np.bincount(of.ravel(), minlength=len(one)))])
+        self.item_ids = item_ids
+        self.least = int(self.lengths.min()) if len(one) else 0
+
+    def items(self, windows: np.ndarray) -> set[str]:
+        owners = np.concatenate([self.owners[self.first_owner[w] : self.first_owner[w + 1]] for w in windows])
+        return {x for x in self.item_ids.take(pa.array(np.unique(owners))).to_pylist() if x is not None}
+
+    def scan(self, column: pa.Array) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, set[str]]]]:
+        """The texts' word counts, and for each text with a hit its merged spans as rows (first word, end) and its items."""
+        off, data = utf8(column)
+        folded = _FOLDED[data]
+        starts, lengths, first = words(off, folded)
+        counts = np.diff(first)
+        if not self.least or not len(starts):
+            return counts, {}
+        h = word_hashes(folded, starts, lengths)
+        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        numbers = np.where(self.vocabulary[at] == h, at + 1, 0)
+        flat = np.insert(numbers, first[1:], 0)  # a 0 after each text
         ends = np.flatnonzero(flat == 0)
-        begins = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+        begins = np.concatenate([[0], ends[:-1] + 1])
         keep = ends - begins >= self.least
         begins, ends = begins[keep], ends[keep]
         if not len(begins):
-            return out
+            return counts, {}
         size = ends - begins + 1  # with the 0 that closes each stretch
         index_at = np.cumsum(size) - size
-        text = flat[np.repeat(begins - index_at, size) + np.arange(int(size.sum()))]
-        fm = FMIndex(text)
-        lo, hi = fm.search(self.patterns, self.lengths)
+        fm = FMIndex(flat[np.repeat(begins - index_at, size) + np.arange(int(size.sum()))])
+        lo, hi = fm.search(self.sequence, self.ends, self.lengths)
         hits = hi - lo
         which = np.repeat(np.arange(len(hits)), hits)
-        rows = np.repeat(lo - (np.cumsum(hits) - hits), hits) + np.arange(int(hits.sum()))
-        place = fm.locate(rows)
+        place = fm.locate(np.repeat(lo - (np.cumsum(hits) - hits), hits) + np.arange(int(hits.sum())))
         stretch = np.searchsorted(index_at, place, "right") - 1
         place = place - index_at[stretch] + begins[stretch]  # back to ``flat``
-        doc_at = np.cumsum(np.array(counts, np.int64) + 1) - np.array(counts, np.int64) - 1
+        doc_at = first[:-1] + np.arange(len(counts))
         doc = np.searchsorted(doc_at, place, "right") - 1
         order = np.lexsort((place, doc))
         doc, place, which = doc[order], place[order], which[order]
-        for a, b in zip(*(lambda c: (c[:-1], c[1:]))(np.concatenate([np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])), [len(doc)]]).tolist())) if len(doc) else ():
-            d, first = doc[a], place[a:b] - doc_at[doc[a]]
-            end = np.maximum.accumulate(first + self.lengths[which[a:b]])
-            new = np.concatenate([[True], first[1:] > end[:-1]])
+        out = {}
+        edges = np.concatenate([np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])), [len(doc)]]).tolist() if len(doc) else []
+        for a, b in zip(edges[:-1], edges[1:]):
+            begin = place[a:b] - doc_at[doc[a]]
+            end = np.maximum.accumulate(begin + self.lengths[which[a:b]])
+            new = np.concatenate([[True], begin[1:] > end[:-1]])
             last = np.concatenate([np.flatnonzero(new)[1:] - 1, [b - a - 1]])
-            items = set().union(*(self.owners[w] for w in set(which[a:b].tolist())))
-            out[d] = (counts[d], np.stack([first[new], end[last]], 1), items)
-        return out
+            out[int(doc[a])] = np.stack([begin[new], end[last]], 1), self.items(np.unique(which[a:b]))
+        return counts, out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32 << 20, shard_bytes: int = 4 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20, shard_bytes: int = 4 << 20, keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
     """Per document: doc_id, text, the ``keep`` columns, n_words, spans (merged hit spans of words), items (ids with an occurrence).
 
-    The benchmark is sent to tasks in blocks of at most ``block_bytes`` (one longer item makes a block); several blocks are scanned one
-    after another and their spans merged, so that a benchmark of any size keeps memory bounded.
+    ``prefix`` goes before the names of the last three; a kept column of such a name gives way to the result. The benchmark is sent to tasks in
+    blocks of at most ``block_bytes`` (one longer item makes a block). Several blocks are scanned in passes, each of which is written before
+    the next begins, so that one block at a time is held by the driver and by a task; spans and items are merged from pass to pass.
     """
-    items = require(benchmark, "item_id", "text")
+    items = require(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), "text")
     spark = docs.sparkSession
     need = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).head()["n"]
     blocks = max(1, -(-need // block_bytes))
-    parts = [items] if blocks == 1 else [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) for k in range(blocks)]
-    found = require(docs, "doc_id", "text", *keep)
-    for k, part in enumerate(parts):
-        told = spark.sparkContext.broadcast(Windows([(r["item_id"], r["text"]) for r in part.toLocalIterator()], window))
-        found = _scan(found, told, shard_bytes, k == 0)
+    results = [prefix + x for x in ("n_words", "spans", "items")]
+    found = require(docs, "doc_id", "text", *(c for c in keep if c not in (*results, "doc_id", "text")))
+    for k in range(blocks):
+        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        table = part.toArrow().combine_chunks()
+        told = spark.sparkContext.broadcast(Windows(*(table.column(c).combine_chunks() for c in ("item_id", "text")), window))
+        del table
+        found = _scan(found, told, shard_bytes, results, k == 0)
+        if blocks > 1:
+            found = materialize(found, "decontaminated")
+            told.destroy()
     return found
 
 
-_RESULT = "n_words long, spans array<struct<first:long,end:long>>, items array<string>"
-
-
-def _scan(docs: DataFrame, told, shard_bytes: int, first: bool) -> DataFrame:
-    given = docs if first else docs.drop("n_words")
-    names = [c for c in docs.columns if first or c not in ("n_words", "spans", "items")]
+def _scan(docs: DataFrame, told, shard_bytes: int, results: list[str], first: bool) -> DataFrame:
+    names = [c for c in docs.columns if c not in results]
+    n_words, spans_name, items_name = results
+    span = pa.struct([("first", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
         windows = told.value
         for batch in batches:
             for piece in slices(batch, "text", shard_bytes):
-                off, data = utf8(piece.column("text"))
-                raw = data.tobytes()
-                found = windows.scan([raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())])
-                spans = [s.tolist() for _, s, _ in found]
-                items = [i for _, _, i in found]
+                counts, hit = windows.scan(piece.column("text"))
+                spans, items = [[] for _ in counts], [[] for _ in counts]
+                for d, (s, i) in hit.items():
+                    spans[d], items[d] = s.tolist(), sorted(i)
                 if not first:
-                    old = zip(piece.column("spans").to_pylist(), piece.column("items").to_pylist())
-                    spans, items = map(list, zip(*[(merge_spans(s + [[x["first"], x["end"]] for x in a]), i | set(b)) for s, i, (a, b) in zip(spans, items, old)]))
-                yield pa.record_batch(
-                    [piece.column(c) for c in names]
-                    + [pa.array([n for n, _, _ in found], pa.int64()), pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(i) for i in items], pa.list_(pa.string()))],
-                    [*names, "n_words", "spans", "items"],
-                )
+                    for d, (s, i) in enumerate(zip(piece.column(spans_name).to_pylist(), piece.column(items_name).to_pylist())):
+                        spans[d], items[d] = merge_spans(spans[d] + [[x["first"], x["end"]] for x in s]), sorted({*items[d], *i})
+                made = [
+                    pa.array(counts, pa.int64()),
+                    pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], pa.list_(span)),
+                    pa.array(items, pa.list_(pa.string())),
+                ]
+                yield pa.record_batch([piece.column(c) for c in names] + made, [*names, *results])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in names)
-    return given.mapInArrow(run, f"{schema}, {_RESULT}")
+    schema = "".join(f"`{c}` {t}, " for c, t in docs.dtypes if c in names)
+    return docs.mapInArrow(freed(run), f"{schema}`{n_words}` long, `{spans_name}` array<struct<first:long,end:long>>, `{items_name}` array<string>")
 
 
-def cut_spans(found: DataFrame) -> DataFrame:
+def cut_spans(found: DataFrame, spans: str = "spans") -> DataFrame:
     """The texts without their hit spans, from the first word's start to the last word's end; other columns as they are."""
     names = found.columns
     word = re.compile(rb"[^ ]+")
@@ -239,19 +253,19 @@ def cut_spans(found: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                if spans:
+            for text, hit in zip(batch.column("text").to_pylist(), batch.column(spans).to_pylist()):
+                if hit:
                     raw = text.encode()
                     at = [m.span() for m in word.finditer(raw.translate(_WORD))]
                     kept, done = [], 0
-                    for s in spans:
+                    for s in hit:
                         kept.append(raw[done : at[s["first"]][0]])
                         done = at[s["end"] - 1][1]
                     text = b"".join([*kept, raw[done:]]).decode()
                 out.append(text)
             yield batch.set_column(names.index("text"), "text", pa.array(out, batch.schema.field("text").type))
 
-    return found.mapInArrow(run, found.schema)
+    return found.mapInArrow(freed(run), found.schema)
 
 
 def merge_spans(spans: list[list[int]]) -> list[list[int]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geofeat.llm.common import FOLD_SPACE, materialize, mix64, release, require, scratch_mark, settled, signed, slices, utf8, word_hashes, words
+from geofeat.llm.common import FOLD_SPACE, freed, materialize, mix64, release, require, scratch_mark, settled, signed, slices, utf8, word_hashes, words
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 
@@ -78,7 +78,7 @@ def sketch(docs: DataFrame, n: int, percent: int, window: float, small: int) ->
     def run(batches):
         met = set()
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", 1 << 20):
                 size, cls, inside, emit = [], [], [], []
                 for s in shingle_sets(piece, n):
                     key = _class(s)
@@ -98,7 +98,7 @@ def sketch(docs: DataFrame, n: int, percent: int, window: float, small: int) ->
                     ["doc_id", "n_shingles", "cls", "inside", "emit"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long, inside long, emit array<long>")
+    return docs.mapInArrow(freed(run), "doc_id long, n_shingles long, cls long, inside long, emit array<long>")
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def _sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", 1 << 20):
                 cls, sets, bits = [], [], []
                 for s in shingle_sets(piece, n):
                     cls.append(_class(s))
@@ -255,5 +255,5 @@ def _sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
                 columns = [pa.array([b[k] for b in bits], pa.int64()) for k in range(4)]
                 yield pa.record_batch([pa.array(cls, pa.int64()), pa.array(sets, pa.list_(pa.int64())), *columns], ["cls", "set", *BITS])
 
-    made = text.mapInArrow(run, "cls long, set array<long>, " + ", ".join(f"{b} long" for b in BITS)).join(wanted.select("cls"), "cls", "left_semi")
+    made = text.mapInArrow(freed(run), "cls long, set array<long>, " + ", ".join(f"{b} long" for b in BITS)).join(wanted.select("cls"), "cls", "left_semi")
     return made.dropDuplicates(["cls"])
