@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geofeat.operators.examples import _fail
+from geofeat.operators.examples import _fail, area_split
 
 STATES = ("init", "chunks-uploaded", "feature-matrices-created", "rescaling-done")
 CHUNK_STATES = ("processing", "ready")
@@ -54,9 +54,14 @@ def delete_rows(table: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def set_state(table: DataFrame, keys: DataFrame, state: str, allowed: tuple[str, ...] = STATES + CHUNK_STATES) -> DataFrame:
+    """An update: a key that the table lacks is an error, raised when the rows are computed."""
     if state not in allowed:
         raise ValueError(f"unknown state {state}")
-    return merge_fields(table, keys.withColumn("state", F.lit(state)), keys.columns)
+    there = table.withColumn("__there", F.lit(True))
+    both = there.join(keys.distinct().withColumn("__set", F.lit(True)), keys.columns, "full_outer")
+    absent = F.raise_error(F.concat(F.lit("no such row: "), F.concat_ws(", ", *[F.col(c).cast("string") for c in keys.columns]))).cast("string")
+    new = F.when(F.col("__there").isNull(), absent).when(F.col("__set"), F.lit(state)).otherwise(F.col("state"))
+    return both.select(*[new.alias(c) if c == "state" else F.col(c) for c in table.columns])
 
 
 def scaling_done(chunks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,11 +88,38 @@ def register_areas(headers: DataFrame, chunk_size: int) -> DataFrame:
     return headers.select("*", F.lit(STATES[0]).alias("state"), F.lit(chunk_size).alias("chunk_size"), F.ceil(F.col("col_count") / chunk_size).cast("int").alias("chunk_x_count"), F.ceil(F.col("row_count") / chunk_size).cast("int").alias("chunk_y_count"))
 
 
-def insert_simulation(sims: DataFrame, rows: DataFrame, areas: DataFrame, configs: DataFrame) -> DataFrame:
-    """Parents must exist."""
-    _fail(rows.join(areas, rows.study_area == areas.name, "left_anti"), "unknown study area", "study_area")
-    _fail(rows.join(configs, rows.configuration == configs.name, "left_anti"), "unknown configuration", "configuration")
-    return upsert(sims, rows, ["gcs_prefix_uri"])
+def reset_chunks(chunks: DataFrame, areas: DataFrame, key: str = "study_area") -> DataFrame:
+    """The chunk table without the chunks of areas that are registered (again): their chunks start anew."""
+    return delete_rows(chunks, areas.select(F.col("area").alias(key)))
+
+
+def _of_parents(rows: DataFrame, areas: DataFrame, configs: DataFrame) -> DataFrame:
+    """The rows, in which an unknown study area or configuration is an error that is raised when they are computed."""
+    known = lambda parents, key: parents.select(F.col("name").alias(key)).distinct().withColumn(f"__{key}", F.lit(True))
+    for parents, key in ((areas, "study_area"), (configs, "configuration")):
+        missing = F.raise_error(F.concat(F.lit(f"unknown {key}: "), F.coalesce(F.col(key), F.lit("null")))).cast("string")
+        rows = rows.join(known(parents, key), key, "left").withColumn(key, F.when(F.col(f"__{key}"), F.col(key)).otherwise(missing)).drop(f"__{key}")
+    return rows
+
+
+def insert_simulation(sims: DataFrame, rows: DataFrame, areas: DataFrame, configs: DataFrame, key: str = "path") -> DataFrame:
+    """Simulations by their storage path; parents must exist."""
+    return upsert(sims, _of_parents(rows, areas, configs), [key])
+
+
+def register_label_chunks(table: DataFrame, rows: DataFrame, areas: DataFrame, configs: DataFrame, mode: str = "hash") -> DataFrame:
+    """The label-chunk table with new rows (study_area, configuration, and x_index, y_index for spatial chunks or time for temporal ones; path).
+
+    Parents must exist. Spatial chunks get their split: of all chunks of the area (``chunk_x_count`` x ``chunk_y_count`` in ``areas``),
+    not of those present, so that it never changes as chunks arrive.
+    """
+    rows = _of_parents(rows, areas, configs)
+    by = ["study_area", "configuration"]
+    if "time" in rows.columns:
+        return upsert(table, rows, [*by, "time"])
+    pairs = rows.select(*by).distinct().join(areas.select(F.col("name").alias("study_area"), "chunk_x_count", "chunk_y_count"), "study_area")
+    split = area_split(pairs.withColumnRenamed("configuration", "config"), mode).withColumnRenamed("config", "configuration")
+    return upsert(table, rows.join(split, [*by, "x_index", "y_index"], "left"), [*by, "x_index", "y_index"])
 
 
 def orphans(rows: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:

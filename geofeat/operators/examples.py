@@ -33,7 +33,7 @@ def temporal_metadata(sims: DataFrame, configs: DataFrame, check: bool = True) -
     a, b = sims.withColumn("key", normal_name(F.col("configuration"))), configs.withColumn("key", normal_name(F.col("name")))
     if check:
         _fail(a.join(b, "key", "left_anti"), "unknown configuration", "configuration")
-    return a.join(F.broadcast(b), "key").drop("key")
+    return a.join(b, "key").drop("key")
 
 
 def chunk_metadata(sims: DataFrame, chunks: DataFrame, check: bool = True) -> DataFrame:
@@ -45,8 +45,8 @@ def chunk_metadata(sims: DataFrame, chunks: DataFrame, check: bool = True) -> Da
 
 
 def prediction_inputs(chunks: DataFrame, rainfall: DataFrame) -> DataFrame:
-    """Every chunk with every step of one rainfall configuration (at most 864 rows, so it is sent whole)."""
-    return chunks.crossJoin(F.broadcast(rainfall))
+    """Every chunk with every step of its rainfall: by ``config`` where both have it, else all of one configuration (at most 864 rows)."""
+    return chunks.join(rainfall, "config") if "config" in chunks.columns and "config" in rainfall.columns else chunks.crossJoin(rainfall)
 
 
 def common_chunks(features: DataFrame, labels: DataFrame) -> DataFrame:
@@ -89,11 +89,11 @@ def attach_static(cells: DataFrame, static: DataFrame, keys: list[str]) -> DataF
 
 
 def attach_rainfall(cells: DataFrame, rainfall: DataFrame, keys: list[str]) -> DataFrame:
-    return cells.join(F.broadcast(rainfall), keys)
+    return cells.join(rainfall, keys)
 
 
 def sim_dates(sims: DataFrame, dates: DataFrame) -> DataFrame:
-    return sims.crossJoin(F.broadcast(dates))
+    return sims.crossJoin(dates)
 
 
 def chunk_metadata_rows(predictions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def flood_examples(labels: DataFrame, features: DataFrame, rainfall: DataFrame,
     """
     chosen = labels if split is None else labels.filter(F.col("dataset") == split)
     known = temporal_metadata(sims, rainfall.select(F.col("config").alias("name")).distinct(), check=False)
-    keyed = chosen.join(F.broadcast(known.select("sim", "study_area", F.col("name").alias("config"))), "sim")
+    keyed = chosen.join(known.select("sim", "study_area", F.col("name").alias("config")), "sim")
     chunks = keyed.select("sim", "study_area", *XY).distinct()
     return {
         "spatiotemporal": windows.label_windows(keyed, n, ["sim", *XY, "row", "col"]),
@@ -153,41 +153,80 @@ def with_batch_id(df: DataFrame, size: int, order: list[str]) -> DataFrame:
     return df.withColumn("batch_id", F.floor(_positions(df, order) / size).cast("long"))
 
 
-def shard(df: DataFrame, n: int, k: int, order: list[str]) -> DataFrame:
-    """Every n-th row within a simulation, from row k on."""
-    return df.withColumn("at", _positions(df, order)).filter(F.pmod("at", F.lit(n)) == k).drop("at")
+def shard(df: DataFrame, n: int, k: int, by: str = "sim") -> DataFrame:
+    """All rows of every n-th simulation of the sorted list, from simulation k on. The list has one short row a simulation."""
+    listed = df.select(by).distinct().withColumn("at", F.row_number().over(Window.orderBy(by)) - 1)
+    return df.join(listed.filter(F.pmod("at", F.lit(n)) == k).select(by), by, "left_semi")
+
+
+def stable_order(features: DataFrame, labels: DataFrame | None = None, key: str = "stem") -> DataFrame:
+    """Examples in the order of their keys, whatever order the files were listed in; given labels, only keys that both have."""
+    both = features if labels is None else features.join(labels.select(key).distinct(), key, "left_semi")
+    return both.orderBy(key)
 
 
 def dataset_split(chunks: DataFrame, mode: str = "hash") -> DataFrame:
-    """Exact 60/20/20 per (study_area, config): cuts at int(0.6 N) and int(0.8 N) of a repeatable order.
+    """Exact 60/20/20 per (study_area, config): cuts at int(0.6 N) and int(0.8 N) of a repeatable order of the chunks given.
 
-    ``hash`` orders by sha256 of area, config and indices; ``compat`` shuffles each area's sorted chunks in Python.
+    ``hash`` orders by sha256 of area, config and indices. ``compat`` is ``area_split``'s: its order is over the area's full grid, so the
+    chunks need ``chunk_x_count`` and ``chunk_y_count``.
     """
     by = ["study_area", "config"]
     if mode == "compat":
+        grids = chunks.select(*by, "chunk_x_count", "chunk_y_count").distinct()
+        return chunks.select(*by, *XY).join(area_split(grids, mode), [*by, *XY])
+    return _by_hash(chunks.select(*by, *XY), by)
 
-        def run(pdf):
-            import random
 
-            pdf = pdf.sort_values(XY).reset_index(drop=True)
-            order = list(range(len(pdf)))
-            random.Random(f"{pdf['study_area'].iloc[0]}{pdf['config'].iloc[0]}").shuffle(order)
-            a, b = int(0.6 * len(pdf)), int(0.8 * len(pdf))
-            names = ["train"] * a + ["val"] * (b - a) + ["test"] * (len(pdf) - b)
-            pdf["dataset"] = "train"
-            for name, k in zip(names, order):
-                pdf.loc[k, "dataset"] = name
-            return pdf[[*by, *XY, "dataset"]]
-
-        return chunks.select(*by, *XY).groupBy(*by).applyInPandas(run, "study_area string, config string, x_index int, y_index int, dataset string")
+def _by_hash(chunks: DataFrame, by: list[str]) -> DataFrame:
     key = F.sha2(F.concat_ws("|", *by, *[F.col(c).cast("string") for c in XY]), 256)
     at = F.row_number().over(Window.partitionBy(*by).orderBy(key))
     n = F.count("*").over(Window.partitionBy(*by))
-    ranked = chunks.select(*by, *XY).withColumn("at", at).withColumn("n", n)
+    ranked = chunks.withColumn("at", at).withColumn("n", n)
     name = F.when(F.col("at") <= F.floor(F.col("n") * 0.6), "train").when(F.col("at") <= F.floor(F.col("n") * 0.8), "val").otherwise("test")
     return ranked.select(*by, *XY, name.alias("dataset"))
 
 
+def area_split(grids: DataFrame, mode: str = "hash") -> DataFrame:
+    """(study_area, config, x_index, y_index, dataset) of every chunk of the full grids (study_area, config, chunk_x_count, chunk_y_count).
+
+    ``compat`` follows the published split: Python's random generator, seeded with the SHA-1 hex digest of area and config, shuffles the
+    x-major list of all chunks. A missing count is an error.
+    """
+    by = ["study_area", "config"]
+    counted = grids
+    for c in ("chunk_x_count", "chunk_y_count"):
+        unset = F.raise_error(F.concat(F.lit(f"{c} must be set: "), F.col("study_area"))).cast("int")
+        counted = counted.withColumn(c, F.when(F.col(c).isNull(), unset).otherwise(F.col(c).cast("int")))
+    index = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    whole = counted.filter("chunk_x_count > 0 and chunk_y_count > 0")
+    if mode != "compat":
+        cells = whole.select(*by, F.explode(index("chunk_x_count")).alias("x_index"), "chunk_y_count")
+        return _by_hash(cells.select(*by, "x_index", F.explode(index("chunk_y_count")).alias("y_index")), by)
+    schema = "study_area string, config string, x_index int, y_index int, dataset string"
+
+    def run(frames):
+        for pdf in frames:
+            for row in pdf.itertuples(index=False):
+                yield _shuffled_grid(*row)
+
+    return whole.select(*by, "chunk_x_count", "chunk_y_count").mapInPandas(run, schema)
+
+
+def _shuffled_grid(area: str, config: str, nx: int, ny: int):
+    import hashlib
+    import random
+
+    import pandas as pd
+
+    order = list(range(nx * ny))
+    random.Random(hashlib.sha1((area + config).encode(), usedforsecurity=False).hexdigest()).shuffle(order)
+    n = len(order)
+    train, val = int(0.6 * n), int(0.8 * n)
+    names = ["train"] * train + ["val"] * (val - train) + ["test"] * (n - val)
+    return pd.DataFrame({"study_area": area, "config": config, "x_index": [k // ny for k in order], "y_index": [k % ny for k in order], "dataset": names})
+
+
 def collapse_timesteps(df: DataFrame, by: list[str], n: int | Column, value: str = "v") -> DataFrame:
     """(by, steps, series): groups whose steps are exactly 0..n-1, values in order of the step; duplicates do no harm."""
     once = df.groupBy(*by, "t").agg(F.max(value).alias(value))

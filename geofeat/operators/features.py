@@ -114,7 +114,7 @@ def build_sim_chunks(elevation: DataFrame, headers: DataFrame, layers: dict[str,
     out = build_chunks(elevation, headers, {k: geometry.dedupe_polygons(v) if k == "green_areas" else v for k, v in layers.items()}, size)
     keyed = elevation.select("area", grid.chunk_index("col", size).alias("x_index"), grid.chunk_index("row", size).alias("y_index"), "z")
     ready = grid.null_ratio(keyed, ["area", "x_index", "y_index"], size).filter(F.col("null_ratio") < most_null).select("area", "x_index", "y_index")
-    return {k: v.join(F.broadcast(ready), ["area", "x_index", "y_index"], "left_semi") for k, v in out.items()}
+    return {k: v.join(ready, ["area", "x_index", "y_index"], "left_semi") for k, v in out.items()}
 
 
 def prepare_area(elevation: DataFrame, headers: DataFrame, boundary: DataFrame, layers: dict[str, DataFrame], classes: list[int]) -> dict[str, DataFrame]:

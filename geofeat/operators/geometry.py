@@ -22,7 +22,7 @@ def polygon_cells(polygons: DataFrame, headers: DataFrame) -> DataFrame:
 
     A scanline as joins: edges meet the rows whose centre line they cross, crossings are paired along each row, pairs become columns.
     """
-    h = F.broadcast(headers.select("area", "col_count", "row_count", "x_ll", "y_ll", "cell_size"))
+    h = headers.select("area", "col_count", "row_count", "x_ll", "y_ll", "cell_size")
     after = lambda v, i: F.element_at(v, F.when(i < F.size("xs"), i + 1).otherwise(1))
     pairs = F.transform(F.sequence(F.lit(1), F.size("xs")), lambda i: F.struct(F.element_at("xs", i).alias("x1"), F.element_at("ys", i).alias("y1"), after("xs", i).alias("x2"), after("ys", i).alias("y2")))
     edges = polygons.filter(F.size("xs") > 2).join(h, "area").select("area", "ord", "mask", "col_count", "row_count", "x_ll", "y_ll", "cell_size", F.inline(pairs)).filter("y1 <> y2")
@@ -64,7 +64,7 @@ def assign_chunks(polygons: DataFrame, headers: DataFrame, size: int, border: fl
 
     The chunk range follows from the box, so no polygon is compared with every chunk.
     """
-    h = F.broadcast(headers.select("area", "col_count", "row_count", "x_ll", "y_ll", "cell_size"))
+    h = headers.select("area", "col_count", "row_count", "x_ll", "y_ll", "cell_size")
     x0, y0, x1, y1 = bbox()
     side = F.col("cell_size") * size
     grow = F.col("cell_size") + (F.lit(border) * F.col("cell_size") if border_units == "cells" else F.lit(border))
@@ -86,7 +86,7 @@ def cell_polygon(cells: DataFrame, headers: DataFrame) -> DataFrame:
     x0 = F.col("x_ll") + F.col("cell_size") * F.col("col")
     y1 = F.col("y_ll") + (F.col("row_count") - F.col("row")) * F.col("cell_size")
     x1, y0 = x0 + F.col("cell_size"), y1 - F.col("cell_size")
-    return cells.join(F.broadcast(headers), "area").select(*cells.columns, F.array(x0, x1, x1, x0, x0).alias("xs"), F.array(y0, y0, y1, y1, y0).alias("ys"))
+    return cells.join(headers, "area").select(*cells.columns, F.array(x0, x1, x1, x0, x0).alias("xs"), F.array(y0, y0, y1, y1, y0).alias("ys"))
 
 
 def dedupe_polygons(polygons: DataFrame) -> DataFrame:
@@ -189,37 +189,45 @@ def ring_distance(x: Column, y: Column, xs: Column, ys: Column) -> Column:
     return F.when(F.size(crossed) % 2 == 1, F.lit(0.0)).otherwise(F.array_min(F.transform(edges, gap)))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """A round's rows, worked out once: in the shared checkpoint folder where there is one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def nearest_polygon(cells: DataFrame, polygons: DataFrame, headers: DataFrame, tile: int = 16) -> DataFrame:
     """(area, row, col, mask, dist): the polygon least far from each cell's centre; ties go to the first.
 
-    Polygons are put on tiles of ``tile`` cells. Cells look at the tiles around their own, at twice the reach each round, until
-    the best distance is no larger than the reach; so each round joins by tile, and few cells go on to the next.
+    Polygons are put on tiles of ``tile`` cells. A cell looks at its own tile and the eight around it; a best distance of no more than a
+    tile's side is final. Tiles are twice as large in each further round, so that a cell looks at nine tiles whatever the distance,
+    and only cells without a polygon near by go on. A polygon on several of the nine tiles is measured at the first one.
     """
     h = headers.select("area", "col_count", "row_count", "x_ll", "y_ll", "cell_size")
-    side = F.col("cell_size") * tile
     x0, y0, x1, y1 = bbox()
-    index = lambda v, base: F.floor((v - base) / side).cast("int")
-    p = polygons.join(F.broadcast(h), "area").select("area", "ord", "mask", "xs", "ys", F.sequence(index(x0, F.col("x_ll")), index(x1, F.col("x_ll"))).alias("is"), F.sequence(index(y0, F.col("y_ll")), index(y1, F.col("y_ll"))).alias("js"))
-    p = p.withColumn("i", F.explode("is")).withColumn("j", F.explode("js")).drop("is", "js")
-    span = p.agg(F.max(F.abs("i")), F.max(F.abs("j"))).head()
-    if span[0] is None:
+    unit = F.col("cell_size") * tile
+    boxes = polygons.join(h, "area").select("area", "ord", "mask", "xs", "ys", *[((v - F.col(b)) / unit).alias(n) for n, v, b in (("i0", x0, "x_ll"), ("i1", x1, "x_ll"), ("j0", y0, "y_ll"), ("j1", y1, "y_ll"))])
+    span = boxes.agg(F.max(F.greatest(*[F.abs(c) for c in ("i0", "i1", "j0", "j1")]))).head()[0]
+    if span is None:
         return cells.select("area", "row", "col").limit(0).select("*", F.lit(0).alias("mask"), F.lit(0.0).alias("dist"))
     size = h.agg(F.max(F.greatest("col_count", "row_count"))).head()[0]
-    most = 2 * (max(span) + size // tile + 1)
     x = F.col("x_ll") + (F.col("col") + 0.5) * F.col("cell_size")
     y = F.col("y_ll") + (F.col("row_count") - F.col("row") - 0.5) * F.col("cell_size")
-    todo = cells.select("area", "row", "col").distinct().join(F.broadcast(h), "area").select("area", "row", "col", x.alias("x"), y.alias("y"), "cell_size", index(x, F.col("x_ll")).alias("ti"), index(y, F.col("y_ll")).alias("tj"))
-    done, reach = None, 1
+    todo = cells.select("area", "row", "col").distinct().join(h, "area").select("area", "row", "col", x.alias("x"), y.alias("y"), unit.alias("unit"), ((x - F.col("x_ll")) / unit).alias("ci"), ((y - F.col("y_ll")) / unit).alias("cj"))
+    done, scale = None, 1
     while True:
-        around = todo.withColumn("i", F.explode(F.sequence(F.col("ti") - reach, F.col("ti") + reach))).withColumn("j", F.explode(F.sequence(F.col("tj") - reach, F.col("tj") + reach)))
-        met = around.join(p, ["area", "i", "j"]).withColumn("dist", ring_distance(F.col("x"), F.col("y"), F.col("xs"), F.col("ys")))
-        best = met.groupBy("area", "row", "col").agg(F.min(F.struct("dist", "ord", "mask")).alias("best")).select("area", "row", "col", "best.mask", "best.dist")
-        last = reach >= most
-        sure = best.join(todo.select("area", "row", "col", "cell_size"), ["area", "row", "col"]).filter(F.lit(last) | (F.col("dist") <= F.col("cell_size") * tile * reach)).drop("cell_size")
+        at = lambda c: F.floor(F.col(c) / scale).cast("int")
+        firsts = boxes.select("area", "ord", "mask", "xs", "ys", at("i0").alias("pi"), at("j0").alias("pj"), at("i1").alias("qi"), at("j1").alias("qj"))
+        tiles = firsts.withColumn("i", F.explode(F.sequence("pi", "qi"))).withColumn("j", F.explode(F.sequence("pj", "qj"))).drop("qi", "qj")
+        here = todo.withColumn("ti", at("ci")).withColumn("tj", at("cj"))
+        around = here.withColumn("i", F.explode(F.sequence(F.col("ti") - 1, F.col("ti") + 1))).withColumn("j", F.explode(F.sequence(F.col("tj") - 1, F.col("tj") + 1)))
+        met = around.join(tiles, ["area", "i", "j"]).filter((F.col("i") == F.greatest(F.col("ti") - 1, "pi")) & (F.col("j") == F.greatest(F.col("tj") - 1, "pj")))
+        dist = ring_distance(F.col("x"), F.col("y"), F.col("xs"), F.col("ys"))
+        best = met.groupBy("area", "row", "col").agg(F.min(F.struct(dist.alias("dist"), "ord", "mask")).alias("best"), F.first("unit").alias("unit"))
+        last = scale > span + size / tile + 1
+        sure = _cut(best.filter(F.lit(last) | (F.col("best.dist") <= F.col("unit") * scale)).select("area", "row", "col", "best.mask", "best.dist"))
         done = sure if done is None else done.unionByName(sure)
         if last:
             return done
-        todo = todo.join(sure.select("area", "row", "col"), ["area", "row", "col"], "left_anti")
+        todo = _cut(todo.join(sure.select("area", "row", "col"), ["area", "row", "col"], "left_anti"))
         if todo.isEmpty():
             return done
-        reach = min(reach * 2, most)
+        scale *= 2

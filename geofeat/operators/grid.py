@@ -72,7 +72,7 @@ def rasterize_points(points: DataFrame, headers: DataFrame) -> DataFrame:
     """Depth points on cells, 0 elsewhere; of several points of a cell the last one in order counts."""
     from geofeat.functions.scalar import xy_to_cell
 
-    h = F.broadcast(headers)
+    h = headers
     row, col = xy_to_cell(F.col("x"), F.col("y"), F.col("x_ll"), F.col("y_ll"), F.col("row_count"), F.col("cell_size"))
     # A point marks the corner of its cell; its row counts from the top.
     hit = points.join(h, "area").select("area", row.alias("row"), col.alias("col"), "depth", "ord")
@@ -107,7 +107,7 @@ def rescale_elevation(features: DataFrame, stats: DataFrame, value: str = "z") -
     lo, hi = F.col("elevation_min"), F.col("elevation_max")
     unset = F.raise_error(F.concat(F.lit("no elevation range: "), F.col("area"))).cast("double")
     scaled = F.when(F.col(value).isNull(), F.lit(-1.0)).when(lo.isNull() | hi.isNull(), unset).otherwise((F.col(value) - lo) / (hi - lo))
-    return features.join(F.broadcast(stats.select("area", "elevation_min", "elevation_max")), "area", "left").withColumn(value, scaled).drop("elevation_min", "elevation_max")
+    return features.join(stats.select("area", "elevation_min", "elevation_max"), "area", "left").withColumn(value, scaled).drop("elevation_min", "elevation_max")
 
 
 def null_ratio(cells: DataFrame, by: list[str], size: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geofeat.functions import scalar, seeds
@@ -527,16 +527,18 @@ def temporal_metadata(v):
     return out.select("sim", F.col("configuration").alias("name"), "days")
 
 
-@query("SELECT o_orderkey AS sim, c.c_custkey AS chunk FROM orders JOIN customer c ON c.c_nationkey = o_custkey % 25 WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey AS sim, c.c_custkey AS chunk FROM orders JOIN customer c ON c.c_nationkey = o_custkey % 25 AND c.c_custkey % 97 = o_orderkey % 97")
 def chunk_metadata(v):
-    sims = v.table("orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("sim"), (F.col("o_custkey") % 25).cast("string").alias("study_area"))
-    chunks = v.table("customer").select(F.col("c_nationkey").cast("string").alias("study_area"), F.col("c_custkey").alias("chunk"))
-    return examples.chunk_metadata(sims, chunks).select("sim", "chunk")
+    area = lambda a, b: F.concat_ws("/", (F.col(a) % 25).cast("string"), (F.col(b) % 97).cast("string")).alias("study_area")
+    sims = v.table("orders").select(F.col("o_orderkey").alias("sim"), area("o_custkey", "o_orderkey"))
+    chunks = v.table("customer").select(area("c_nationkey", "c_custkey"), F.col("c_custkey").alias("chunk"))
+    return examples.chunk_metadata(sims, chunks, check=False).select("sim", "chunk")
 
 
-@query("SELECT x_index, y_index, t, amount FROM v_feature_chunks, v_rain WHERE config = 'click'")
+@query("SELECT x_index, y_index, config, t, amount FROM v_feature_chunks JOIN v_rain ON config = CASE x_index % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'purchase' END")
 def prediction_inputs(v):
-    return examples.prediction_inputs(v.feature_chunks, v.rain.filter("config = 'click'").select("t", "amount"))
+    config = F.when(F.col("x_index") % 3 == 0, "click").when(F.col("x_index") % 3 == 1, "view").otherwise("purchase")
+    return examples.prediction_inputs(v.feature_chunks.withColumn("config", config), v.rain)
 
 
 @query("SELECT c_custkey AS stem, c_acctbal AS feature, v AS label FROM customer JOIN (SELECT o_custkey, sum(o_totalprice) AS v FROM orders GROUP BY 1) ON o_custkey = c_custkey".replace("sum(o_totalprice)", "max(o_totalprice)"))
@@ -554,16 +556,14 @@ def common_keys(v):
     return examples.common_keys(*_stems(v))
 
 
-@query("SELECT c_custkey AS stem FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT c_custkey AS stem FROM customer EXCEPT SELECT s_suppkey FROM supplier")
 def missing_keys(v):
-    few = v.table("orders").filter("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("stem"))
-    return examples.missing_keys(_stems(v)[0], few)
+    return examples.missing_keys(_stems(v)[0], v.table("supplier").select(F.col("s_suppkey").alias("stem")))
 
 
-@query("SELECT r, c, 'missing' AS side FROM (SELECT r, c FROM v_grid WHERE area = 'A' EXCEPT SELECT r, c FROM v_cells WHERE area = 'A')")
+@query("SELECT area, r, c, 'missing' AS side FROM (SELECT area, r, c FROM v_grid EXCEPT SELECT area, r, c FROM v_cells)")
 def missing_and_extra(v):
-    expected = grid.dense_grid(v.headers.filter("area = 'A'")).select("row", "col")
-    return rc(examples.missing_and_extra(expected, v.cells.filter("area = 'A'").select("row", "col")))
+    return rc(examples.missing_and_extra(grid.dense_grid(v.headers), v.cells.select("area", "row", "col")))
 
 
 @query("SELECT DISTINCT CAST(ts AS date)::varchar AS date FROM events")
@@ -619,9 +619,23 @@ def with_batch_id(v):
     return examples.with_batch_id(v.label_chunks, 32, ["x_index", "y_index"])
 
 
-@query("SELECT x_index, y_index, sim, v FROM v_label_chunks QUALIFY (row_number() OVER (PARTITION BY sim ORDER BY x_index, y_index) - 1) % 4 = 1")
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY (dense_rank() OVER (ORDER BY o_custkey) - 1) % 4 = 1")
 def shard(v):
-    return examples.shard(v.label_chunks, 4, 1, ["x_index", "y_index"])
+    return examples.shard(v.table("orders").select("o_custkey", "o_orderkey"), 4, 1, "o_custkey")
+
+
+@query("SELECT c_custkey AS stem, row_number() OVER (ORDER BY c_custkey) AS place FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def stable_order(v):
+    """The place in the result, from the ids that Spark gives in order of partitions and rows."""
+    ordered = examples.stable_order(*_stems(v)).withColumn("id", F.monotonically_increasing_id())
+    return ordered.select("stem", F.row_number().over(Window.orderBy("id")).cast("long").alias("place"))
+
+
+@query(None)
+def dataset_split_compat(v):
+    """Python's own shuffle over full grids: no SQL; tests hold it against a plain version."""
+    c = v.label_chunks.select(F.col("sim").alias("study_area"), F.lit("c1").alias("config"), "x_index", "y_index")
+    return examples.dataset_split(c.withColumn("chunk_x_count", F.lit(40)).withColumn("chunk_y_count", F.lit(25)), "compat")
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 50")
@@ -807,10 +821,10 @@ def set_state(v):
     return catalog.set_state(m, m.filter("chunk = 3").select("area", "chunk"), "ready")
 
 
-@query("SELECT area, CASE WHEN n = 2 AND ready THEN 'rescaling-done' WHEN n = 2 AND f = 2 THEN 'feature-matrices-created' WHEN n = 2 THEN 'chunks-uploaded' ELSE 'init' END AS area_state FROM (SELECT area, count(*) AS n, count(*) FILTER (path IS NOT NULL) AS f, bool_and(state = 'F') AS ready FROM (SELECT * FROM v_manifest WHERE chunk < 10 QUALIFY row_number() OVER (PARTITION BY area, chunk ORDER BY version DESC) = 1) GROUP BY 1)")
+@query("SELECT area, CASE WHEN n = e AND ready THEN 'rescaling-done' WHEN n = e AND f = e THEN 'feature-matrices-created' WHEN n = e THEN 'chunks-uploaded' ELSE 'init' END AS area_state FROM (SELECT area, count(*) AS n, 20 + length(area) % 2 AS e, count(*) FILTER (path IS NOT NULL) AS f, bool_and(state = 'F') AS ready FROM (SELECT * FROM v_manifest QUALIFY row_number() OVER (PARTITION BY area, chunk ORDER BY version DESC) = 1) GROUP BY 1)")
 def area_state(v):
-    m = catalog.latest(v.manifest.filter("chunk < 10"), ["area", "chunk"], "version")
-    d = m.select("area", F.lit(2).alias("expected"), F.col("path").isNotNull().alias("has_features"), F.when(F.col("state") == "F", "ready").otherwise("processing").alias("state"))
+    m = catalog.latest(v.manifest, ["area", "chunk"], "version")
+    d = m.select("area", (20 + F.length("area") % 2).alias("expected"), F.col("path").isNotNull().alias("has_features"), F.when(F.col("state") == "F", "ready").otherwise("processing").alias("state"))
     return catalog.area_state(d, ["area"])
 
 
@@ -877,11 +891,62 @@ def split_errors(v):
     return arrivals.split_errors(v.table("orders"), checks)[1].select("o_orderkey", "error")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_custkey % 11 <> 0")
+@query("SELECT o_orderkey FROM orders WHERE o_custkey % 11 <> 0 OR o_orderkey % 3 = 0")
 def config_deletes(v):
     o = v.table("orders").select("o_orderkey", "o_custkey")
-    changes = o.select(F.col("o_orderkey"), F.when(F.col("o_custkey") % 11 == 0, "delete").otherwise("put").alias("op"))
-    return arrivals.config_deletes(o.select("o_orderkey"), changes, "o_orderkey")
+    file = F.when(F.col("o_orderkey") % 3 == 0, "cfg/notes.txt").otherwise("cfg/Rainfall_Data_1.txt").alias("file")
+    changes = o.select(F.col("o_orderkey"), F.when(F.col("o_custkey") % 11 == 0, "delete").otherwise("put").alias("op"), file)
+    return arrivals.config_deletes(o.select("o_orderkey"), changes, "o_orderkey", arrivals.RAINFALL)
+
+
+@query("SELECT event_id, epoch(TIMESTAMP '2024-01-15 12:00:00')::bigint - floor(epoch(ts))::bigint > 3600 AS late FROM events")
+def split_late(v):
+    """Events as a stream, parted into those in time and the record of the dropped."""
+    from geofeat.plans.roundtrips import scratch
+
+    path = scratch(v.spark, "late")
+    e = v.table("events").select("event_id", "ts")
+    e.repartition(3).write.parquet(f"{path}/in")
+    stream = v.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    arrivals.split_late(stream, f"{path}/good", f"{path}/dropped", f"{path}/state", F.lit("2024-01-15 12:00:00").cast("timestamp"), time="ts").awaitTermination()
+    read = lambda name, late: v.spark.read.schema(e.schema).option("recursiveFileLookup", True).parquet(f"{path}/{name}").select("event_id", F.lit(late).alias("late"))
+    return read("good", False).unionByName(read("dropped", True))
+
+
+@query("SELECT area, chunk, state FROM v_manifest WHERE area NOT IN ('area1', 'area2') QUALIFY row_number() OVER (PARTITION BY area, chunk ORDER BY version DESC) = 1")
+def reset_chunks(v):
+    again = v.manifest.select("area").distinct().filter("area in ('area1', 'area2')")
+    return catalog.reset_chunks(_latest(v).select("area", "chunk", "state"), again, "area")
+
+
+def _label_parents(v):
+    areas = v.headers.select(F.col("area").alias("name"), F.lit(40).alias("chunk_x_count"), F.lit(25).alias("chunk_y_count"))
+    return areas, v.table("orders").select(F.col("o_orderpriority").alias("name")).distinct()
+
+
+@query("WITH full_grid AS (SELECT a.area, p.config, x.x AS x_index, y.y AS y_index FROM (VALUES ('A'), ('N'), ('R')) a(area), (SELECT DISTINCT o_orderpriority AS config FROM orders) p, range(40) x(x), range(25) y(y)), ranked AS (SELECT *, row_number() OVER (PARTITION BY area, config ORDER BY sha256(concat_ws('|', area, config, x_index::varchar, y_index::varchar))) AS nth FROM full_grid), rows AS (SELECT CASE o_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS area, o_orderpriority AS config, o_custkey % 40 AS x_index, o_custkey % 25 AS y_index, max(o_orderkey) AS path FROM orders GROUP BY 1, 2, 3, 4) SELECT area AS study_area, config AS configuration, x_index::int AS x_index, y_index::int AS y_index, path::varchar AS path, CASE WHEN nth <= 600 THEN 'train' WHEN nth <= 800 THEN 'val' ELSE 'test' END AS dataset FROM rows JOIN ranked USING (area, config, x_index, y_index)")
+def register_label_chunks(v):
+    """Half of the chunks are known with an old path; all come again with their split."""
+    area = F.when(F.col("o_custkey") % 3 == 0, "A").when(F.col("o_custkey") % 3 == 1, "N").otherwise("R")
+    o = v.table("orders").select(area.alias("study_area"), F.col("o_orderpriority").alias("configuration"), (F.col("o_custkey") % 40).cast("int").alias("x_index"), (F.col("o_custkey") % 25).cast("int").alias("y_index"), "o_orderkey")
+    rows = o.groupBy("study_area", "configuration", "x_index", "y_index").agg(F.max("o_orderkey").cast("string").alias("path"))
+    table = rows.filter("x_index % 2 = 0").withColumn("path", F.lit("old")).withColumn("dataset", F.lit(None).cast("string"))
+    return catalog.register_label_chunks(table, rows, *_label_parents(v))
+
+
+@query("SELECT CASE o_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS study_area, o_orderpriority AS configuration, CAST(o_orderdate AS date)::varchar AS time, max(o_orderkey)::varchar AS path FROM orders GROUP BY 1, 2, 3")
+def register_temporal_chunks(v):
+    area = F.when(F.col("o_custkey") % 3 == 0, "A").when(F.col("o_custkey") % 3 == 1, "N").otherwise("R")
+    o = v.table("orders").select(area.alias("study_area"), F.col("o_orderpriority").alias("configuration"), F.to_date("o_orderdate").cast("string").alias("time"), "o_orderkey")
+    rows = o.groupBy("study_area", "configuration", "time").agg(F.max("o_orderkey").cast("string").alias("path"))
+    return catalog.register_label_chunks(rows.filter("study_area = 'A'").withColumn("path", F.lit("old")), rows, *_label_parents(v))
+
+
+@query("SELECT o_orderkey::varchar AS path, CASE o_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS study_area, o_orderpriority AS configuration FROM orders")
+def insert_simulation(v):
+    area = F.when(F.col("o_custkey") % 3 == 0, "A").when(F.col("o_custkey") % 3 == 1, "N").otherwise("R")
+    rows = v.table("orders").select(F.col("o_orderkey").cast("string").alias("path"), area.alias("study_area"), F.col("o_orderpriority").alias("configuration"))
+    return catalog.insert_simulation(rows.filter("configuration = '5-LOW'").withColumn("configuration", F.lit("old")), rows, *_label_parents(v))
 
 
 @query("SELECT area, x_index, y_index, round(sum(z), 4) AS s FROM (SELECT k.area, (c // 16)::int AS x_index, (r // 16)::int AS y_index, CASE WHEN z IS NULL THEN -1 ELSE (z - lo) / (hi - lo) END AS z FROM v_cells k JOIN (SELECT area, min(z) AS lo, max(z) AS hi FROM v_cells GROUP BY 1) m ON m.area = k.area WHERE k.area <> 'R') GROUP BY 1, 2, 3")
@@ -893,10 +958,17 @@ def rescale_when_ready(v):
     return scaled.groupBy("area", "x_index", "y_index").agg(F.round(F.sum("z"), 4).alias("s"))
 
 
-@query("SELECT area, (c // 16)::int AS x_index, (r // 16)::int AS y_index, round(sum(depth), 4) AS s FROM (SELECT area, round_even(64 - y, 0)::int AS r, round_even(x, 0)::int AS c, arg_max(depth, (o1, o2, o3, o4)) AS depth FROM v_points GROUP BY 1, 2, 3) WHERE r BETWEEN 0 AND 63 AND c BETWEEN 0 AND 63 GROUP BY 1, 2, 3")
+@query("SELECT area, t, (c // 16)::int AS x_index, (r // 16)::int AS y_index, round(sum(depth), 4) AS s FROM (SELECT area, (o1 % 4)::int AS t, round_even(64 - y, 0)::int AS r, round_even(x, 0)::int AS c, arg_max(depth, (o1, o2, o3, o4)) AS depth FROM v_points GROUP BY 1, 2, 3, 4) WHERE r BETWEEN 0 AND 63 AND c BETWEEN 0 AND 63 GROUP BY 1, 2, 3, 4")
 def ingest_depth(v):
-    d = arrivals.ingest_depth_stream(v.points, v.headers, 16)
-    return d.groupBy("area", "x_index", "y_index").agg(F.round(F.sum("depth"), 4).alias("s"), F.max("depth").alias("m")).filter("m > 0").drop("m")
+    """Two batches of depth files of four steps, the second of which replays the first's: one version of each step stays."""
+    from geofeat.plans.roundtrips import scratch
+
+    path = scratch(v.spark, "depth")
+    points = v.points.withColumn("t", (F.col("ord.o1") % 4).cast("int"))
+    for part in (points.filter("t < 2"), points):
+        arrivals.write_steps(arrivals.ingest_depth_stream(part, v.headers, 16), f"{path}/steps")
+    d = v.spark.read.parquet(f"{path}/steps")
+    return d.groupBy("area", "t", "x_index", "y_index").agg(F.round(F.sum("depth"), 4).alias("s"), F.max("depth").alias("m")).filter("m > 0").drop("m")
 
 
 @query("SELECT area, concat(count(*)::varchar, chr(10), string_agg(concat(mask::varchar, ' 5'), chr(10) ORDER BY ord)) AS text FROM v_rects GROUP BY 1")

@@ -177,11 +177,11 @@ def elevation_stats_stream(v):
     return v.spark.read.parquet(spot)
 
 
-@query("SELECT route, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'depth' ELSE 'other' END AS route FROM orders WHERE o_orderkey % 500 < 2) GROUP BY 1", name="arrivals")
+@query("SELECT route, count(*) AS n FROM (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'depth' ELSE 'other' END AS route FROM supplier) GROUP BY 1", name="arrivals")
 def arrivals_stream(v):
-    """Files named by orders, routed as they come."""
+    """A file for each supplier, routed as they come."""
     path = scratch(v.spark, "arrivals")
-    o = v.table("orders").filter("o_orderkey % 500 < 2").select(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("R1_C1_T"), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.lit("x"), F.col("o_orderkey").cast("string"))).alias("name"), F.lit("x y d").alias("line"))
+    o = v.table("supplier").select(F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("R1_C1_T"), F.col("s_suppkey").cast("string"))).otherwise(F.concat(F.lit("x"), F.col("s_suppkey").cast("string"))).alias("name"), F.lit("x y d").alias("line"))
     o.repartition(4).write.partitionBy("name").text(f"{path}/in")
     seen = f"{path}/seen"
     stream = arrivals.arrivals(v.spark, f"{path}/in").select(F.regexp_extract("path", r"name=([^/]+)", 1).alias("name"))

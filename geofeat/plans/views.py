@@ -24,9 +24,9 @@ VIEWS = {
     "v_manifest": """SELECT CONCAT('area', CAST(o_custkey % 50 AS varchar(9))) AS area, CAST(o_orderkey % 20 AS int) AS chunk, o_orderkey AS version,
         o_orderstatus AS state, CASE WHEN o_orderpriority <> '1-URGENT' THEN o_totalprice END AS path, CASE WHEN o_orderpriority = '5-LOW' THEN 'failed' END AS error FROM {orders}""",
     "v_names": """SELECT o_orderkey AS id, CONCAT('city', CAST(o_custkey % 9 AS varchar(9)), '/cfg', CAST(o_orderkey % 4 AS varchar(9)), '/rain/R', CAST(o_orderkey % 7 AS varchar(9)), '_C', CAST(o_custkey % 5 AS varchar(9)), '_T', CAST(o_orderkey % 11 AS varchar(9)), '.rsl') AS name, CAST(o_orderdate AS date) AS day FROM {orders}""",
-    "v_rain": """SELECT event_type AS config, CAST(event_id % 50 AS int) AS t, max(value) AS amount FROM {events} WHERE event_id % 50 < 40 GROUP BY 1, 2""",
+    "v_rain": """SELECT event_type AS config, CAST(event_id % 50 AS int) AS t, max(value) AS amount FROM {events} GROUP BY 1, 2""",
     "v_soil": """SELECT l_returnflag AS area, CAST(l_orderkey % 64 AS int) AS r, CAST(l_partkey % 64 AS int) AS c, CAST(max(l_suppkey) % 18 AS int) AS soil FROM {lineitem} GROUP BY 1, 2, 3""",
-    "v_runs": """SELECT o_orderpriority AS run, o_orderstatus AS model, CAST(o_custkey AS int) AS chunk_id, o_totalprice AS v FROM {orders} WHERE o_orderkey % 5 = 0""",
+    "v_runs": """SELECT o_orderpriority AS run, o_orderstatus AS model, CAST(o_custkey AS int) AS chunk_id, o_totalprice AS v FROM {orders}""",
 }
 _AREAS = ("A", "N", "R")
 

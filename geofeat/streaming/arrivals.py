@@ -28,8 +28,8 @@ def arrivals(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.col("modificationTime").alias("event_time"), "content", route(F.col("path")).alias("route"))
 
 
-#: Fixed value: the folder of unfinished uploads.
-TEMPORARY = "gcloud/tmp/parallel_composite_uploads"
+#: The folder of unfinished uploads; give your store's own.
+TEMPORARY = "tmp/uploads"
 
 
 def drop_temporary(df: DataFrame, name: str = "name", prefix: str = TEMPORARY) -> DataFrame:
@@ -37,9 +37,30 @@ def drop_temporary(df: DataFrame, name: str = "name", prefix: str = TEMPORARY) -
     return df.filter(~F.col(name).startswith(prefix))
 
 
+def with_staleness(df: DataFrame, now: Column, seconds: int = 3600, time: str = "event_time") -> DataFrame:
+    """``stale``: whether an event is older than the budget; one without a time is."""
+    return df.withColumn("stale", F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(F.col(time)) > seconds, F.lit(True)))
+
+
 def drop_stale(df: DataFrame, now: Column, seconds: int = 3600, time: str = "event_time") -> DataFrame:
-    """Events older than the budget go; on streams add a watermark of the same length to free state."""
-    return df.filter(F.unix_timestamp(now) - F.unix_timestamp(F.col(time)) <= seconds)
+    """Events within the budget; those without a time go too."""
+    return with_staleness(df, now, seconds, time).filter("not stale").drop("stale")
+
+
+def stale(df: DataFrame, now: Column, seconds: int = 3600, time: str = "event_time") -> DataFrame:
+    """The record of what ``drop_stale`` leaves out."""
+    return with_staleness(df, now, seconds, time).filter("stale").drop("stale")
+
+
+def split_late(stream: DataFrame, good: str, dropped: str, checkpoint: str, now: Column | None = None, seconds: int = 3600, time: str = "event_time"):
+    """A stream's events within the budget to the table ``good``, the others to the record ``dropped``; each batch in a folder of its own, so replays replace."""
+    moment = F.current_timestamp() if now is None else now
+
+    def write(batch: DataFrame, k: int) -> None:
+        for path, rows in ((good, drop_stale(batch, moment, seconds, time)), (dropped, stale(batch, moment, seconds, time))):
+            rows.write.mode("overwrite").parquet(f"{path}/batch={k}")
+
+    return each_batch(stream, write, checkpoint)
 
 
 def skip_done(batch: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,20 +74,32 @@ def split_errors(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, D
     return marked.filter("error is null").drop("error"), marked.filter("error is not null")
 
 
-def collapse_stream(stream: DataFrame, steps: int, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
-    """(sim, x_index, y_index, steps), once, when all steps 0..n-1 of a chunk have come; repeats do no harm."""
+def collapse_stream(stream: DataFrame, steps: int, time: str | None = None, delay: str = "1 hour", keep: int = 3600) -> DataFrame:
+    """(sim, x_index, y_index, steps), once, when all steps 0..n-1 of a chunk have come; repeats do no harm.
+
+    With ``time``, an event-time column, state is freed: a chunk is forgotten ``keep`` seconds after the watermark (``delay`` behind the latest
+    event) at which its last event came. Without it, state is kept for ever, which suits a bounded set of chunks only.
+    """
 
     def run(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen, done = state.get if state.exists else ([], False)
         seen = set(seen)
         for pdf in frames:
             seen |= set(int(t) for t in pdf["t"])
         full = set(range(steps)) <= seen
         state.update((sorted(seen), bool(done or full)))
+        if time:
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep * 1000)
         if full and not done:
             yield pd.DataFrame({"sim": [key[0]], "x_index": [key[1]], "y_index": [key[2]], "steps": [steps]})
 
-    keyed = stream.select("sim", "x_index", "y_index", "t").groupBy("sim", "x_index", "y_index")
+    columns = ["sim", "x_index", "y_index", "t"]
+    held = stream.select(*columns) if time is None else stream.withWatermark(time, delay).select(*columns, time)
+    timeout = GroupStateTimeout.NoTimeout if time is None else GroupStateTimeout.EventTimeTimeout
+    keyed = held.groupBy("sim", "x_index", "y_index")
     return keyed.applyInPandasWithState(run, "sim string, x_index int, y_index int, steps int", "seen array<int>, done boolean", "append", timeout)
 
 
@@ -76,24 +109,44 @@ def elevation_stats_stream(stream: DataFrame) -> DataFrame:
 
 def rescale_when_ready(cells: DataFrame, chunks: DataFrame, areas: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(scaled cells, new chunk rows) of areas whose chunks are all in and not yet scaled."""
-    state = catalog.area_state(chunks.join(F.broadcast(areas.select("area", "expected")), "area"), ["area"])
+    state = catalog.area_state(chunks.join(areas.select("area", "expected"), "area"), ["area"])
     ready = state.filter(F.col("area_state") == catalog.STATES[2]).select("area")
-    waiting = chunks.filter("needs_scaling").join(F.broadcast(ready), "area", "left_semi")
+    waiting = chunks.filter("needs_scaling").join(ready, "area", "left_semi")
     keys = ["area", "x_index", "y_index"]
     todo = cells.join(waiting.select(*keys), keys, "left_semi")
     scaled = grid.rescale_elevation(todo, grid.elevation_stats(cells, ["area"]))
     return scaled, catalog.scaling_done(chunks, waiting, keys)
 
 
-def config_deletes(table: DataFrame, changes: DataFrame, key: str = "name") -> DataFrame:
-    """The table without what change events delete."""
-    return catalog.delete_rows(table, changes.filter("op = 'delete'").select(key))
+#: Fixed value: the name of rainfall files, the only ones that make a configuration.
+RAINFALL = r"(^|/)Rainfall_Data_[^/]*$"
+
+
+def config_deletes(table: DataFrame, changes: DataFrame, key: str = "name", only: str | None = None) -> DataFrame:
+    """The table without what change events delete; with ``only``, events of files with other names (column ``file``) do nothing."""
+    gone = changes.filter("op = 'delete'")
+    return catalog.delete_rows(table, (gone if only is None else gone.filter(F.col("file").rlike(only))).select(key))
 
 
 def ingest_depth_stream(points: DataFrame, headers: DataFrame, size: int) -> DataFrame:
-    """A batch of depth points (area, ord, x, y, depth) as chunked cells, for ``foreachBatch`` with an append."""
-    cells = grid.rasterize_points(points, headers)
-    return grid.split_chunks(cells, headers, size, 0.0, "depth")
+    """A batch of depth files (area, t, ord, x, y, depth) as chunked cells (area, t, x_index, y_index, row, col, depth).
+
+    A file holds all points of one time step of an area and a batch holds whole files, so each step that the batch names comes out
+    whole: cells without a point are dry. Write it with ``write_steps``, which replaces steps.
+    """
+    step = F.concat_ws("\x1f", "area", F.col("t").cast("string"))
+    keys = points.select("area", "t").distinct()
+    of = keys.join(headers, "area").select(step.alias("area"), *[c for c in headers.columns if c != "area"])
+    cells = grid.rasterize_points(points.withColumn("area", step), of)
+    out = grid.split_chunks(cells, of, size, 0.0, "depth")
+    parts = F.split("area", "\x1f")
+    kind = dict(points.dtypes)["t"]
+    return out.select(parts[0].alias("area"), parts[1].cast(kind).alias("t"), *[c for c in out.columns if c != "area"])
+
+
+def write_steps(cells: DataFrame, path: str) -> None:
+    """Steps (area, t) as partitions that replace what was there: a replay or a later file of a step leaves one version of it."""
+    cells.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("area", "t").parquet(path)
 
 
 def each_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str):

@@ -1,7 +1,10 @@
 """Sources, sinks, catalogue, windows and streams on small literal inputs."""
 
+import hashlib
 import io
 import json
+import os
+import random
 import tarfile
 
 import numpy as np
@@ -31,8 +34,8 @@ def test_text_readers(spark, tmp_path):
     (tmp_path / "p.txt").write_text("2\n7 3 0 1 1 0 0 1\n3 5 6 6 5 5 6\n9 9 9\n")
     got = [(r["mask"], r["xs"], r["ys"]) for r in readers.read_polygons(spark, str(tmp_path / "p.txt")).orderBy("ord").collect()]
     assert got == [(7, [0, 1, 1], [0, 0, 1]), (1, [5, 6, 6], [5, 5, 6])]
-    (tmp_path / "r.txt").write_text("header\n* x\n0 0.0\n3600 0.0000019756\n7200 1e-3\n")
-    assert [r["amount"] for r in readers.read_rainfall(spark, str(tmp_path / "r.txt")).orderBy("t").collect()] == [0.0, 0.0000019756, 0.001]
+    (tmp_path / "r.txt").write_text("header\n* x\n0 0.0\n1800 0.0000042\n3600 2e-3\n")
+    assert [r["amount"] for r in readers.read_rainfall(spark, str(tmp_path / "r.txt")).orderBy("t").collect()] == [0.0, 0.0000042, 0.002]
     (tmp_path / "k.txt").write_text("# note\nA = b\n\nc=d e\n")
     assert readers.read_kv(spark, str(tmp_path / "k.txt")).head()["settings"] == {"a": "b", "c": "d e"}
     (tmp_path / "bad.txt").write_text("nothing\n")
@@ -85,6 +88,58 @@ def test_catalog(spark, tmp_path):
         c.assert_exists("areas", spark.createDataFrame([("zz",)], "name string"))
     with pytest.raises(ValueError):
         catalog.set_state(t, t.select("name"), "odd")
+    with pytest.raises(Exception, match="no such row: zz"):
+        catalog.set_state(t, spark.createDataFrame([("zz",)], "name string"), "init").collect()
+
+
+def test_label_chunks(spark):
+    areas = spark.createDataFrame([("s", 2, 5)], "name string, chunk_x_count int, chunk_y_count int")
+    configs = spark.createDataFrame([("c",)], "name string")
+    rows = spark.createDataFrame([("s", "c", 0, 1, "p1"), ("s", "c", 1, 4, "p2")], "study_area string, configuration string, x_index int, y_index int, path string")
+    table = rows.limit(0).withColumn("dataset", F.lit("train"))
+    first = catalog.register_label_chunks(table, rows.filter("x_index = 0"), areas, configs)
+    both = {(r["x_index"], r["y_index"]): r["dataset"] for r in catalog.register_label_chunks(first, rows, areas, configs).collect()}
+    whole = examples.area_split(areas.selectExpr("name study_area", "'c' config", "chunk_x_count", "chunk_y_count")).collect()
+    assert both == {(r["x_index"], r["y_index"]): r["dataset"] for r in whole if (r["x_index"], r["y_index"]) in both} and len(both) == 2
+    for change, message in (("study_area", "unknown study_area"), ("configuration", "unknown configuration")):
+        with pytest.raises(Exception, match=message):
+            catalog.register_label_chunks(table, rows.withColumn(change, F.lit("zz")), areas, configs).collect()
+    with pytest.raises(Exception, match="unknown study_area: zz"):
+        catalog.insert_simulation(rows.select("path", "study_area", "configuration"), rows.select("path", F.lit("zz").alias("study_area"), "configuration"), areas, configs).collect()
+
+
+def test_shard_and_order(spark):
+    d = spark.createDataFrame([(f"s{k % 5}", k) for k in range(20)], "sim string, k int").repartition(4)
+    parts = [{r["k"] for r in examples.shard(d, 3, k).collect()} for k in range(3)]
+    assert parts == [{k for k in range(20) if k % 5 % 3 == n} for n in range(3)]
+    stems = spark.createDataFrame([("b",), ("c",), ("a",), ("d",)], "stem string").repartition(3)
+    assert [r["stem"] for r in examples.stable_order(stems, stems.filter("stem <> 'c'")).collect()] == ["a", "b", "d"]
+
+
+def test_depth_steps_replace(spark, tmp_path):
+    """One point on a grid: its step is written whole, and a replay or a later file of the step leaves one version."""
+    h = spark.createDataFrame([("a", 4, 4, 0.0, 0.0, 1.0)], "area string, col_count int, row_count int, x_ll double, y_ll double, cell_size double")
+    for t, x, depth in ((3, 1.0, 0.5), (3, 1.0, 0.5), (7, 2.0, 0.25), (3, 2.0, 0.75)):
+        p = spark.createDataFrame([("a", t, 0, x, 2.0, depth)], "area string, t int, ord int, x double, y double, depth double")
+        arrivals.write_steps(arrivals.ingest_depth_stream(p, h, 2), str(tmp_path / "d"))
+    got = spark.read.parquet(str(tmp_path / "d"))
+    assert got.count() == 32
+    assert {(r["t"], r["x_index"], r["col"], r["depth"]) for r in got.filter("depth > 0").collect()} == {(3, 1, 0, 0.75), (7, 1, 0, 0.25)}
+
+
+def test_collapse_frees_state(spark, tmp_path):
+    """Chunks long past the watermark leave the state; those that are whole were emitted before."""
+    (tmp_path / "in").mkdir()
+    for k in range(4):
+        rows = [{"sim": "s", "x_index": k, "y_index": 0, "t": t, "at": f"2024-01-0{k + 1} 0{t}:00:00"} for t in range(2)]
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, rows)))
+        os.utime(tmp_path / "in" / f"{k}.json", (1000 + k, 1000 + k))  # read in this order
+    stream = spark.readStream.schema("sim string, x_index int, y_index int, t int, at timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    out = arrivals.collapse_stream(stream, 2, time="at")
+    q = out.writeStream.format("memory").queryName("freed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r["x_index"] for r in spark.table("freed").collect()) == [0, 1, 2, 3]
+    assert q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 2
 
 
 def test_pairing_errors_and_splits(spark):
@@ -92,12 +147,21 @@ def test_pairing_errors_and_splits(spark):
     lab = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0)], "x_index int, y_index int, v double")
     with pytest.raises(ValueError, match=r"\(0, 1\)"):
         examples.pair_features_labels(f, lab)
-    chunks = spark.createDataFrame([("s", c, x, y) for c in ("c1", "c2") for x in range(2) for y in range(5)], "study_area string, config string, x_index int, y_index int")
+    chunks = spark.createDataFrame([(a, c, x, y, 3, 7) for a in ("s", "t") for c in ("c1", "c2") for x in range(3) for y in range(7)], "study_area string, config string, x_index int, y_index int, chunk_x_count int, chunk_y_count int")
     for mode in ("hash", "compat"):
         got = examples.dataset_split(chunks, mode).collect()
         for c in ("c1", "c2"):
-            of = [r["dataset"] for r in got if r["config"] == c]
-            assert (of.count("train"), of.count("val"), of.count("test")) == (6, 2, 2)
+            of = [r["dataset"] for r in got if r["config"] == c and r["study_area"] == "t"]
+            assert (of.count("train"), of.count("val"), of.count("test")) == (12, 4, 5)
+    # Chunks that are not there yet don't move the others.
+    few = {tuple(r) for r in examples.dataset_split(chunks.filter("y_index < 2"), "compat").collect()}
+    assert few == {tuple(r) for r in got if r["y_index"] < 2}
+    for a, c in (("s", "c1"), ("t", "c2")):
+        order = [(x, y) for x in range(3) for y in range(7)]
+        random.Random(hashlib.sha1(f"{a}{c}".encode()).hexdigest()).shuffle(order)
+        assert {(r["x_index"], r["y_index"]) for r in got if (r["study_area"], r["config"], r["dataset"]) == (a, c, "train")} == set(order[:12])
+    with pytest.raises(Exception, match="chunk_x_count"):
+        examples.dataset_split(chunks.withColumn("chunk_x_count", F.lit(None).cast("int")), "compat").collect()
     again = {tuple(r) for r in examples.dataset_split(chunks.repartition(5)).collect()}
     assert again == {tuple(r) for r in examples.dataset_split(chunks).collect()}
 
