@@ -66,6 +66,23 @@ def test_token_sequences_are_found_at_random(spark, docs):
             ids, mask = token_output.sequence(reader, k, 4)
             assert (ids == whole[k * 32 : k * 32 + 32]).all()
             assert mask.sum() == min(32, shard["n_ids"] - k * 32)
+        assert all(reader.get_batch(k).num_rows == 4 for k in range(reader.num_record_batches - 1))
+        with pytest.raises(IndexError):
+            token_output.sequence(reader, shard["n_sequences"], 4)
+
+
+def test_other_tokenizers_are_encoded_whole(tmp_path):
+    import json
+
+    path = queries.tokenizer_path()
+    spec = json.load(open(path, encoding="utf-8"))
+    assert token_output.plain_byte_level(path)
+    spec["normalizer"] = {"type": "Lowercase"}
+    other = tmp_path / "lower.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    assert not token_output.plain_byte_level(str(other))
+    coder = token_output.UnitEncoder(str(other))
+    assert np.frombuffer(coder.encode("Hello WORLD"), coder.dtype).tolist() == coder.tokenizer.encode("Hello WORLD", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("n,percent,small", [(4, 85, 100), (4, 85, 20), (5, 80, 40)])
@@ -101,6 +118,23 @@ def test_decontamination(spark, docs, rows):
             hit = sum(s["end"] - s["first"] for s in r["spans"])
             assert (r["n_words"], hit, len(r["items"]), decon.digest(r["items"]), hit > 0) == want[r["doc_id"]]
     assert decon.decontaminate(docs, bench.limit(0)).filter(F.size("spans") > 0).count() == 0
+    clash = docs.withColumnsRenamed({"lang": "n_words", "source": "items"})
+    kept = decon.decontaminate(clash, bench, keep=("n_words", "spans", "items"), prefix="hit_")
+    assert kept.columns == ["doc_id", "text", "n_words", "spans", "items", "hit_n_words", "hit_spans", "hit_items"] and kept.filter("spans = 'clash'").count() == len(rows)
+    assert decon.decontaminate(clash, bench, keep=("n_words", "spans", "items")).columns == ["doc_id", "text", "n_words", "spans", "items"]
+
+
+def test_benchmark_windows_stay_small():
+    """Arrays hold less than 120 bytes a window, so that a block of 16 MB keeps to a few hundred MB."""
+    import pickle
+
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(5000)]
+    texts = pa.array([sentence(rng, 300, words) for _ in range(300)])
+    made = decon.Windows(pa.array([str(k) for k in range(300)]), texts, 10)
+    assert len(pickle.dumps(made)) < 60 * len(made.lengths)
 
 
 def test_cut_spans(spark):
@@ -114,16 +148,57 @@ def test_language_id(spark):
     langs = {"en": "the and of with from that this".split(), "de": "der die und nicht für sich über".split(), "fr": "le les dans pour être où".split()}
     train = [(k, sentence(rng, 40, w), x) for k, (x, w) in enumerate(list(langs.items()) * 10)]
     test = [(1000 + k, sentence(rng, 15, w), x) for k, (x, w) in enumerate(langs.items())]
-    odd = [(2000, None, None), (2001, "123 456 !!", None), (2002, "", None), (2003, sentence(rng, 20, langs["en"]) + " " + sentence(rng, 60, langs["de"]), "de")]
+    odd = [(2000, None, None), (2001, "123 456 !! ½ ² Ⅷ", None), (2002, "", None), (2004, "½", None), (2003, sentence(rng, 20, langs["en"]) + " " + sentence(rng, 60, langs["de"]), "de")]
     d = spark.createDataFrame(train + test + odd, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in langid.identify(d, spark.createDataFrame(train, d.schema)).collect()}
     assert all(got[k]["lang_pred"] == x for k, _, x in test) and got[2003]["lang_pred"] == "de"
     assert len(got[2003]["langs"]) == 2 and 0.5 < got[2003]["score"] < 1
-    assert {got[k]["lang_pred"] for k in (2000, 2001, 2002)} == {"und"} and got[2000]["score"] == 0
+    assert {got[k]["lang_pred"] for k in (2000, 2001, 2002, 2004)} == {"und"} and got[2000]["score"] == 0
     none = langid.identify(d, d.limit(0)).collect()
     assert {r["lang_pred"] for r in none} == {"und"}
 
 
+def test_mixture_inference_against_plain_em():
+    """Proportions of many texts at once against EM and backward elimination of one text at a time."""
+    rng = np.random.default_rng(3)
+
+    def em(ll):
+        pi = np.full(ll.shape[1], 1 / ll.shape[1])
+        for _ in range(400):
+            joint = np.exp(ll) * pi
+            pi = (joint / joint.sum(1, keepdims=True)).mean(0)
+        return pi, np.log((np.exp(ll) * pi).sum(1)).sum()
+
+    texts = []
+    for k in range(30):
+        ll = -rng.gamma(0.5, 6, (int(rng.integers(1, 60)), 4))
+        ll[:, k % 4] *= 0.05 if k % 3 else 0.4
+        texts.append(ll - ll.max(1, keepdims=True))
+    sizes = np.array([len(x) for x in texts])
+    got = langid.infer(np.concatenate(texts).T.astype(np.float32), np.cumsum(sizes) - sizes, 2.0)
+    for ll, pi in zip(texts, got.T):
+        cost, kept = 2.0 * max(1, np.log(len(ll))), [0, 1, 2, 3]
+        p, value = em(ll)
+        while len(kept) > 1:
+            rest = [x for j, x in enumerate(kept) if j != p.argmin()]
+            q, less = em(ll[:, rest])
+            if value - less > cost:
+                break
+            kept, p, value = rest, q, less
+        want = np.zeros(4)
+        want[kept] = p
+        assert pi == pytest.approx(want, abs=0.05) and pi.sum() == pytest.approx(1)
+
+
+def test_language_id_on_held_out_documents(spark):
+    """Accuracy of the registered query on documents it has not learned from, against the given labels."""
+    sf = "/root/testdata/sf0.01"
+    out = queries.op10_language_id(spark, sf).filter("held_out")
+    labels = spark.read.parquet(f"{sf}/documents.parquet").filter("lang is not null").select("doc_id", "lang")
+    right, n = out.join(labels, "doc_id").agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).head()
+    assert n > 100 and right / n > 0.98
+
+
 PII = [
     "mail a.b@c.de, x@y, a@b@c.d and a@b.com_x@y.z... q@w.e..r@t.y.",
     "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 01.02.03.004 1.2.3",
@@ -143,6 +218,9 @@ def test_pii(spark):
     assert got == {k: ",".join(brute.pii(t)) for k, t in enumerate(PII)}
     ibans = {r["doc_id"]: r["iban"] for r in found.select("doc_id", "iban").collect()}
     assert [(x["start"], x["end"], x["score"]) for x in ibans[4]] == [(5, 32, 1.0), (36, 58, 1.0)]
+    near = spark.createDataFrame([(1, "call +4930123456 or 1.2.3.4 now"), (2, "x" * 60 + " +4930123456")], "doc_id long, text string")
+    scored = {r["doc_id"]: r["s"] for r in pii.find_pii(near).select("doc_id", pii.scores("ip", "phone").alias("s")).collect()}
+    assert scored == {1: "0.60,0.80", 2: "0.60"}
 
 
 def test_line_dedup(spark):
@@ -175,6 +253,13 @@ def test_mixing(spark):
     assert mixing.mix(d.limit(0), repetition=1.5).count() == 0
 
 
+def test_mixed_documents_keep_sources_and_take_a_seed(spark):
+    d = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "y"), (None, "c", None), (None, None, "x")], "doc_id long, text string, source string")
+    for seed in (5, 17):
+        got = mixing.mixed_documents(d, seed=seed, repetition=1.0).collect()
+        assert {tuple(r) for r in got} == {tuple(r) for r in d.collect()}
+
+
 def test_exponent_meets_the_target(spark):
     s = spark.createDataFrame([("a", 900, 1), ("b", 90, 1), ("c", 10, 1)], "source string, tokens long, docs long")
     a = mixing.bisect_exponent(s, entropy=0.8)
@@ -209,18 +294,91 @@ def test_lm_score_predicts_from_earlier_words(spark):
     assert got[1000] > got[1001] + 1
 
 
+def test_lm_score_falls_when_order_is_lost(spark):
+    """Held-out texts of the training texts' kind score clearly higher than the same words shuffled."""
+    rng = random.Random(8)
+    follow = {w: rng.sample("ba de fi go hu ka le mi no pu".split(), 2) for w in "ba de fi go hu ka le mi no pu".split()}
+
+    def text():
+        w = [rng.choice(list(follow))]
+        while len(w) < 60:
+            w.append(rng.choice(follow[w[-1]]))
+        return w
+
+    rows = [(k, " ".join(text())) for k in range(300)]
+    for k in range(20):
+        w = text()
+        rows += [(1000 + k, " ".join(w)), (2000 + k, " ".join(rng.sample(w, len(w))))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm_score.score(d, F.col("doc_id") >= 1000).filter("held_out").collect()}
+    mean = lambda lo: sum(got[lo + k]["bits_per_byte"] for k in range(20)) / 20
+    assert mean(1000) < 0.85 * mean(2000)
+    assert all(got[1000 + k]["base_score"] == pytest.approx(got[2000 + k]["base_score"]) for k in range(20))
+
+
 def test_mixer_counts_keep_their_ratio(spark):
-    """Counts of millions stay in proportion, rare cells stay known, and the tables grow with the vocabulary."""
-    cells = np.zeros(32, np.uint32)
-    cells[[3, 9, 12, 20]] = 283_015, 189_164, 1, 7
-    got = lm_score.halved(cells).astype(float)
-    assert got[3] / got[9] == pytest.approx(283_015 / 189_164, rel=1e-3)
-    assert got[12] == 1 and got[20] == 7 and got.sum() < 2**16
+    """Counts of any size stay in proportion, small ones exactly, and the tables grow with the vocabulary."""
+    n = np.array([0, 1, 7, 31, 32, 189_164, 283_015, 10**9, 10**13])
+    back = lm_score._CODED[lm_score.code(n)]
+    assert (back[:5] == n[:5]).all() and np.allclose(back[5:] / n[5:], 1, atol=0.07)
+    cells = np.zeros((2, 16), np.int64)
+    cells[0, [3, 9, 12]] = 5, 2, 1
+    pairs = lm_score.coded(cells)
+    assert [(int(x) & 255, int(x) >> 8) for x in (pairs[0, 1], pairs[0, 2], pairs[0, 3], pairs[0, 4 + 2])] == [(5, 3), (5, 0), (2, 1), (2, 0)]
+    assert not pairs[1].any()
     assert lm_score.row_bits(100) < lm_score.row_bits(50_000) < lm_score.row_bits(400_000)
     d = spark.createDataFrame([("xaxaxaxbxb" * 30_000, False)], "text string, held_out boolean")
-    first = lm_score._table_counts(d, 300_000, 12)[0]
-    a, b = (first[:, ord(x) & 15].astype(float).max() for x in "ab")
-    assert a / b == pytest.approx(1.5, rel=0.01)
+    first = lm_score._table_counts(d, 300_000, 12)[0].reshape(-1)
+    codes = sorted({int(c) for x in first for c in (x & 255, x >> 8)})
+    assert any(abs(lm_score._CODED[c] / 90_000 - 1) < 0.07 for c in codes) and any(abs(lm_score._CODED[c] / 60_000 - 1) < 0.07 for c in codes)
+
+
+def plain_mixer(train, text):
+    """log10 of each byte of a held-out text by dictionaries of counts, bit by bit, with the first weights."""
+    contexts = lambda t, k, a: [(n, t[max(a, k - n) : k]) for n in lm_score.ORDERS] + [("w", t[max(a, t.rfind(b" ", a, k) + 1) : k])]
+    counts = {}
+    for t in train:
+        for k in range(len(t)):
+            for c in contexts(t, k, 0):
+                counts.setdefault(c, {}).setdefault(t[k], 0)
+                counts[c][t[k]] += 1
+    known, out = lm_score._CODED, []
+    near = lambda n: known[lm_score.code(np.array([n]))[0]]
+    for k in range(len(text)):
+        p = 1.0
+        for j in range(8):
+            z = 0.0
+            for c in contexts(text, k, 0):
+                seen = {b: n for b, n in counts.get(c, {}).items() if b >> (8 - j) == text[k] >> (8 - j)}
+                one = sum(n for b, n in seen.items() if b >> (7 - j) & 1)
+                z += 0.3 * (math.log(near(one) + 0.4) - math.log(near(sum(seen.values()) - one) + 0.4))
+            z, places = max(-8, min(8, z)), np.linspace(-8, 8, 33)
+            one = (1 / (1 + math.exp(-z)) + np.interp(z, places, 1 / (1 + np.exp(-places)))) / 2
+            p *= one if text[k] >> (7 - j) & 1 else 1 - one
+        out.append(math.log10(p))
+    return out
+
+
+def test_mixer_against_dictionaries():
+    """Hashed and coded tables give what plain dictionaries give (first weights, refining map at rest)."""
+    train = [b"red apple old house \n", b"old apple red hat \n", b"the old red house is red \n"]
+    text = b"old red apple is red \n"
+    bits = 16
+    sums = np.zeros((lm_score.CONTEXTS, 16 << bits), np.int64)
+    for t in train:
+        raw = np.frombuffer(t[:-2], np.uint8)
+        got, doc, unit, start = lm_score.running_text(raw, np.array([0, len(raw)]))
+        assert got.tobytes() == t
+        high = (got >> 4).astype(np.int64)
+        for o, c in enumerate(lm_score.contexts_of(*lm_score.histories(got, doc, unit, start))):
+            np.add.at(sums[o], (lm_score._rows(c, np.zeros(1, np.uint64), bits) << 4) + high, 1)
+            np.add.at(sums[o], (lm_score._rows(c, high.astype(np.uint64) + np.uint64(1), bits) << 4) + (got & 15), 1)
+    m = lm_score.Mixer(np.stack([lm_score.coded(x.reshape(-1, 16)) for x in sums]))
+    raw = np.frombuffer(text[:-2], np.uint8)
+    units, n = m.units(raw, np.array([0, len(raw)]), np.array([False]))
+    want = plain_mixer(train, text)
+    spans = [(0, 4), (4, 8), (8, 14), (14, 17), (17, 21), (21, 22)]
+    assert n == len(text) and units == pytest.approx([sum(want[a:b]) for a, b in spans], rel=0.01)
 
 
 def test_lm_score_of_nothing(empty):
@@ -229,10 +387,12 @@ def test_lm_score_of_nothing(empty):
 
 def test_mixer_is_a_distribution():
     """Over all bytes after a context the bit predictions multiply to 1."""
-    m = lm_score.Mixer(np.random.default_rng(0).integers(0, 5, (len(lm_score.ORDERS), 1 << lm_score.SLOT_BITS, 2)).astype(np.uint16))
+    m = lm_score.Mixer(lm_score.coded(np.random.default_rng(0).integers(0, 5, (lm_score.CONTEXTS << 12, 16))).reshape(lm_score.CONTEXTS, -1, 16))
     text = np.arange(256, dtype=np.uint8)
-    contexts = [np.full(256, 12345 + k, np.uint64) for k in range(len(lm_score.ORDERS))]
-    assert (10 ** m.log10(text, contexts, np.arange(256), 256)).sum() == pytest.approx(1, abs=1e-9)
+    contexts = [np.full(256, 12345 + k, np.uint64) for k in range(lm_score.CONTEXTS)]
+    for _ in range(3):
+        assert (10.0 ** m.log10(text, contexts, np.zeros(256, bool), np.full(256, 50))).sum() == pytest.approx(1, abs=1e-5)
+        m.use()
 
 
 def test_ann_recall_and_ties(spark):
