@@ -363,8 +363,8 @@ def test_mixer_against_dictionaries():
     """Hashed and coded tables give what plain dictionaries give (first weights, refining map at rest)."""
     train = [b"red apple old house \n", b"old apple red hat \n", b"the old red house is red \n"]
     text = b"old red apple is red \n"
-    bits = 16
-    sums = np.zeros((lm_score.CONTEXTS, 16 << bits), np.int64)
+    bits = 18  # enough rows that no two of these contexts share one
+    sums = np.zeros((lm_score.CONTEXTS, 16 << bits), np.int32)
     for t in train:
         raw = np.frombuffer(t[:-2], np.uint8)
         got, doc, unit, start = lm_score.running_text(raw, np.array([0, len(raw)]))
