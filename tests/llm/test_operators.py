@@ -361,8 +361,8 @@ def plain_mixer(train, text):
 
 def test_mixer_against_dictionaries():
     """Hashed and coded tables give what plain dictionaries give (first weights, refining map at rest)."""
-    train = [b"red apple old house \n", b"old apple red hat \n", b"the old red house is red \n"]
-    text = b"old red apple is red \n"
+    train = [b"blue tree far river \n", b"far tree blue sky \n", b"a far blue river was blue \n"]
+    text = b"far blue tree was blue \n"
     bits = 18  # enough rows that no two of these contexts share one
     sums = np.zeros((lm_score.CONTEXTS, 16 << bits), np.int32)
     for t in train:
@@ -377,7 +377,7 @@ def test_mixer_against_dictionaries():
     raw = np.frombuffer(text[:-2], np.uint8)
     units, n = m.units(raw, np.array([0, len(raw)]), np.array([False]))
     want = plain_mixer(train, text)
-    spans = [(0, 4), (4, 8), (8, 14), (14, 17), (17, 21), (21, 22)]
+    spans = [(0, 4), (4, 9), (9, 14), (14, 18), (18, 23), (23, 24)]
     assert n == len(text) and units == pytest.approx([sum(want[a:b]) for a, b in spans], rel=0.01)
 
 
