@@ -436,6 +436,19 @@ def test_html_extraction(spark):
     assert all(got[k] == [f"alpha{k} beta{k} own words"] for k in range(10, 16))
 
 
+def test_html_extraction_counts_over_the_shards_of_a_host(spark):
+    menu = "<div>One two three four five six seven eight nine ten</div>"
+    page = lambda k: f"<html><body>{menu if k % 4 else ''}<p>own{k} words{k}</p><p>{' '.join(f'w{k % 7}x{j}' for j in range(12))}</p></body></html>"
+    rows = [(k, f"http://{'big' if k < 30 else 'small'}.example/{k}", page(k)) for k in range(36)]
+    rows += [(40 + k, "http://marked.example/" + str(k), f"<article><p>text{k}</p></article>{menu}") for k in range(9)]
+    rows += [(None, "http://big.example/n", None), (None, "http://big.example/n", None), (50, "http://big.example/e", "")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = lambda **k: sorted((r["page_id"] or -1, r["text"]) for r in html_text.extract(d, **k).collect())
+    whole, parts = texts(), texts(shard_pages=2)
+    assert whole == parts and len(whole) == len(rows)
+    assert dict(whole)[5] == "own5 words5" and dict(whole)[41] == "text1"
+
+
 def test_repeated_substrings_against_all_windows():
     rng = np.random.default_rng(1)
     streams = [rng.integers(0, 3, n) for n in (40, 60, 5, 80)]
