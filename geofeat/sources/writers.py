@@ -19,8 +19,15 @@ def polygon_lines(polygons: DataFrame, by: list[str], with_mask: bool = True) ->
     return got.select(*by, F.concat(F.size("all").cast("string"), F.lit("\n"), F.array_join(F.transform("all", lambda x: x["line"]), "\n")).alias("text"))
 
 
-def write_polygons(polygons: DataFrame, path: str, by: list[str], with_mask: bool = True) -> None:
-    polygon_lines(polygons, by, with_mask).write.partitionBy(*by).text(path)
+def write_polygons(polygons: DataFrame, path: str, by: list[str], with_mask: bool = True, file_polygons: int = 100_000) -> None:
+    """A file for about ``file_polygons`` polygons, cut at quantiles of ord; each begins with its own count, and files of an area are in order."""
+    steps = 1000
+    cuts = polygons.groupBy(*by).agg(F.ceil(F.count("*") / file_polygons).alias("files"), F.percentile_approx("ord", [k / steps for k in range(1, steps)]).alias("cuts"))
+    below = F.size(F.filter("cuts", lambda c: c < F.col("ord"))) * F.least("files", F.lit(steps))
+    file = F.format_string("%03d", F.coalesce(F.floor(below / steps), F.lit(0)))
+    dealt = polygons.join(cuts, by, "left").withColumn("file", file).drop("files", "cuts")
+    keys = [*by, "file"]
+    polygon_lines(dealt, keys, with_mask).write.partitionBy(*keys).text(path)
 
 
 def ascii_rows(cells: DataFrame, headers: DataFrame, nodata: float = -9999.0) -> DataFrame:

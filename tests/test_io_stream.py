@@ -75,6 +75,17 @@ def test_sinks(spark, tmp_path):
     assert [json.loads(r["line"]) for r in writers.prediction_lines(d).collect()] == [{"instance": {"values": [1], "key": "c0"}, "prediction": [[5.0]]}, {"instance": {"values": [1], "key": "c1"}, "prediction": [[1.0, 2.0]]}]
 
 
+def test_polygons_of_a_large_area_are_several_files(spark, tmp_path):
+    rows = [("a", k, k + 1, [float(k), k + 1.0, k + 1.0], [0.0, 0.0, 2.0]) for k in range(7)] + [("b", 3, 9, [0.0, 1.0, 1.0], [0.0, 0.0, 1.0])]
+    p = spark.createDataFrame(rows, "area string, ord int, mask int, xs array<double>, ys array<double>")
+    for file_polygons, files in ((3, 3), (100, 1)):
+        path = f"{tmp_path}/polygons{file_polygons}"
+        writers.write_polygons(p, path, ["area"], file_polygons=file_polygons)
+        back = readers.read_polygons(spark, f"{path}/*/*").orderBy("path", "ord").collect()
+        assert [(r["mask"], r["xs"], r["ys"]) for r in back] == [(m, xs, ys) for _, _, m, xs, ys in rows]
+        assert len({r["path"] for r in back if "area=a" in r["path"]}) == files
+
+
 def test_catalog(spark, tmp_path):
     t = spark.createDataFrame([("a", "init", None, "bad"), ("b", "init", "p", None)], "name string, state string, path string, error string")
     new = spark.createDataFrame([("a", "x"), ("c", "y")], "name string, path string")
