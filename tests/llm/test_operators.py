@@ -449,6 +449,12 @@ def test_html_extraction_counts_over_the_shards_of_a_host(spark):
     assert dict(whole)[5] == "own5 words5" and dict(whole)[41] == "text1"
 
 
+def test_html_extraction_of_empty_and_clashing_tables(spark):
+    d = spark.createDataFrame([(k, "http://h.example/x", "<p>a b", k, "x", "y") for k in range(5)], "page_id long, url string, html string, shard int, host string, packed string")
+    assert html_text.extract(d.filter("false")).collect() == []
+    assert {r["text"] for r in html_text.extract(d, shard_pages=1).collect()} == {"a b"}
+
+
 def test_repeated_substrings_against_all_windows():
     rng = np.random.default_rng(1)
     streams = [rng.integers(0, 3, n) for n in (40, 60, 5, 80)]
