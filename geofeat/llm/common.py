@@ -11,19 +11,25 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; in local mode a temporary one where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="geofeat-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return _local_dir()
+
+
+@functools.cache
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="geofeat-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -84,6 +90,21 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[df[c] for c in columns])
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """The rows with ``part`` (a range of the order), ``pos`` (place within the group, from 0) and ``n`` (rows of the group).
+
+    Rows are cut into ranges of (group, order), so that a group of any size is many tasks; a row's place is its place within the range plus the
+    rows of its group in the ranges before. Equal rows are parted by where they were read, so that any number of them is spread, too.
+    """
+    by = [F.col(g).asc_nulls_first() for g in group] + order + [F.col("tie")]
+    cut = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).drop("tie")
+    cut = materialize(cut.withColumn("at", F.monotonically_increasing_id()), name).withColumn("part", F.shiftright("at", 33))
+    runs = cut.groupBy(*group, "part").agg(F.min("at").alias("lo"), F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(*group, "part", (before - F.col("lo")).alias("shift"), F.sum("m").over(Window.partitionBy(*group)).alias("n"))
+    return cut.join(runs, [*group, "part"]).withColumn("pos", F.col("at") + F.col("shift")).drop("at", "shift")
+
+
 def freed(run):
     """``run`` (over Arrow batches), and at the task's end its memory back to the system: a Python worker outlives its task, and others want it."""
 

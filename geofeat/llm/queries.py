@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geofeat.llm import decontaminate as decon
-from geofeat.llm import ann, html_text, jaccard, langid, line_dedup, lm_score, mixing, pii, token_output
+from geofeat.llm import ann, conversation_trie, html_text, jaccard, langid, line_dedup, lm_score, merkle, mixing, pieces, pii, token_output
 from geofeat.llm.common import held_out
 
 
@@ -74,6 +74,31 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "langs")
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode(_table(spark, sf_dir, "documents"), piece_model_path(), decoded=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    altered = {"n_chars": F.when(chosen, F.try_add(F.col("n_chars"), F.lit(1))).otherwise(F.col("n_chars"))}
+    made = merkle.manifest(docs, ("doc_id", "source", "lang", "n_chars", "text"), "lang", "doc_id", altered)
+    return merkle.verified(made).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = lambda c: F.crc32(c.cast("string").cast("binary")) % 6
+    return conversation_trie.trie(_table(spark, sf_dir, "conversations"), base=lambda c: c - c % 100, keep=first)
+
+
 def queries() -> dict:
     every = (
         op1_source_mixing,
@@ -86,9 +111,12 @@ def queries() -> dict:
         op8_ngram_jaccard_join,
         op9_pii,
         op10_language_id,
+        op11_sentencepiece,
+        op12_merkle_manifest,
+        op13_conversation_trie,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op12_merkle_manifest": merkle.ORACLE, "op13_conversation_trie": conversation_trie.ORACLE}
