@@ -8,25 +8,66 @@ from pyspark.sql import functions as F
 HEADER = "area string, col_count int, row_count int, x_ll double, y_ll double, cell_size double"
 
 
+#: Cells that are made, or compared with those present, at a time.
+BLOCK = 4096
+
+
+def grid_blocks(headers: DataFrame, per_task: int = 256) -> DataFrame:
+    """(area, col_count, block, first, many): runs of up to ``BLOCK`` cells of each grid, in row order, dealt to tasks by ``per_task`` blocks.
+
+    The number of partitions follows the number of cells, which is summed over the headers first.
+    """
+    sized = headers.select("area", "col_count", (F.col("row_count").cast("long") * F.col("col_count")).alias("cells")).filter("cells > 0")
+    total = sized.agg(F.coalesce(F.sum(F.ceil(F.col("cells") / BLOCK)), F.lit(0))).head()[0]
+    blocks = sized.select("area", "col_count", "cells", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("cells") / BLOCK) - 1)).alias("block"))
+    first = F.col("block") * BLOCK
+    made = blocks.select("area", "col_count", "block", first.alias("first"), F.least(F.lit(BLOCK), F.col("cells") - first).cast("int").alias("many"))
+    return made if total <= per_task else made.repartition(-(-int(total) // per_task), "area", "block")
+
+
+def _placed(blocks: DataFrame, inner: Column) -> DataFrame:
+    at = F.col("first") + F.col("inner")
+    cells = blocks.select("area", "col_count", "first", F.explode(inner).alias("inner"))
+    return cells.select("area", F.floor(at / F.col("col_count")).cast("int").alias("row"), F.pmod(at, F.col("col_count")).cast("int").alias("col"))
+
+
 def dense_grid(headers: DataFrame) -> DataFrame:
-    """(area, row, col) of every cell; headers stay small, cells are made in tasks."""
-    rows = headers.select("area", "col_count", F.explode(F.sequence(F.lit(0), F.col("row_count") - 1)).alias("row"))
-    return rows.select("area", "row", F.explode(F.sequence(F.lit(0), F.col("col_count") - 1)).alias("col"))
+    """(area, row, col) of every cell, made in tasks from blocks of cells."""
+    return _placed(grid_blocks(headers), F.sequence(F.lit(0), F.col("many") - 1))
+
+
+def missing_cells(cells: DataFrame, headers: DataFrame) -> DataFrame:
+    """(area, row, col) of the cells of the grids that ``cells`` lacks: per block, all places but those present. Only places are shuffled."""
+    at = F.col("row").cast("long") * F.col("col_count") + F.col("col")
+    present = within(cells, headers).select("area", F.floor(at / BLOCK).alias("block"), F.pmod(at, F.lit(BLOCK)).cast("int").alias("inner"))
+    present = present.groupBy("area", "block").agg(F.collect_set("inner").alias("there"))
+    whole = F.sequence(F.lit(0), F.col("many") - 1)
+    blocks = grid_blocks(headers).join(present, ["area", "block"], "left")
+    return _placed(blocks, F.when(F.col("there").isNull(), whole).otherwise(F.array_except(whole, "there")))
+
+
+def within(cells: DataFrame, headers: DataFrame) -> DataFrame:
+    """The cells that lie on their area's grid, with its ``row_count`` and ``col_count``."""
+    sizes = headers.select("area", "row_count", "col_count")
+    return cells.join(sizes, "area").filter("row >= 0 and row < row_count and col >= 0 and col < col_count")
 
 
 def fill_dense(cells: DataFrame, headers: DataFrame, value: str, default) -> DataFrame:
-    full = dense_grid(headers).join(cells.select("area", "row", "col", value), ["area", "row", "col"], "left")
-    return full.withColumn(value, F.coalesce(F.col(value), F.lit(default)))
+    """Every cell of the grids with its value; ``default`` where it is absent or null. Cells that are present stay where they are."""
+    there = within(cells, headers).select("area", "row", "col", F.coalesce(F.col(value), F.lit(default)).alias(value))
+    return there.unionByName(missing_cells(cells, headers).withColumn(value, F.lit(default).cast(there.schema[value].dataType)))
 
 
 def split_chunks(cells: DataFrame, headers: DataFrame, size: int, pad: float | None = 0.0, value: str = "z") -> DataFrame:
-    """Chunks of size x size cells: (area, x_index, y_index, row, col, value); edge chunks are padded to full size."""
+    """Chunks of size x size cells: (area, x_index, y_index, row, col, value); absent cells are null, edge chunks are padded to full size."""
     up = lambda c: (F.ceil(F.col(c) / size) * size).cast("int")
     grown = headers.select("area", up("col_count").alias("col_count"), up("row_count").alias("row_count"))
-    full = dense_grid(grown).join(cells.select("area", "row", "col", value), ["area", "row", "col"], "left")
-    inside = full.join(headers.select("area", F.col("row_count").alias("rs"), F.col("col_count").alias("cs")), "area")
-    filled = F.when((F.col("row") < F.col("rs")) & (F.col("col") < F.col("cs")), F.col(value)).otherwise(F.lit(pad))
-    return inside.select("area", chunk_index("col", size).alias("x_index"), chunk_index("row", size).alias("y_index"), F.pmod("row", F.lit(size)).alias("row"), F.pmod("col", F.lit(size)).alias("col"), filled.alias(value))
+    kind = cells.schema[value].dataType
+    there = within(cells, headers).select("area", "row", "col", value)
+    absent = missing_cells(there, grown).join(headers.select("area", F.col("row_count").alias("rs"), F.col("col_count").alias("cs")), "area")
+    filled = F.when((F.col("row") >= F.col("rs")) | (F.col("col") >= F.col("cs")), F.lit(pad)).cast(kind)
+    full = there.unionByName(absent.select("area", "row", "col", filled.alias(value)))
+    return full.select("area", chunk_index("col", size).alias("x_index"), chunk_index("row", size).alias("y_index"), F.pmod("row", F.lit(size)).alias("row"), F.pmod("col", F.lit(size)).alias("col"), value)
 
 
 def chunk_index(column: str, size: int) -> Column:

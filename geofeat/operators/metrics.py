@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Any
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,10 +173,89 @@ def difference_map(df: DataFrame, lo: float, hi: float) -> DataFrame:
     return df.withColumn("difference", unscale(_p(), lo, hi) - unscale(_l(), lo, hi))
 
 
-def metric_udaf(fn: Callable, by: list[str], df: DataFrame) -> DataFrame:
-    """A user's metric of two numpy arrays per group; groups must fit a task."""
-    @F.pandas_udf("double")
-    def run(p: pd.Series, t: pd.Series) -> float:
-        return float(fn(p.to_numpy(), t.to_numpy()))
-
-    return df.groupBy(*by).agg(run("prediction", "label").alias("metric"))
+@dataclass(frozen=True)
+class Metric:
+    """A user's metric in mergeable form: states are small values that can be pickled, and never hold a group's rows.
+
+    ``init()`` gives an empty state, ``update(state, predictions, labels)`` takes in two numpy arrays, ``merge(a, b)`` joins two states, ``result(state)``
+    is the value. Rows may come in any order and any pieces.
+    """
+
+    init: Callable[[], Any]
+    update: Callable[[Any, np.ndarray, np.ndarray], Any]
+    merge: Callable[[Any, Any], Any]
+    result: Callable[[Any], float | None]
+
+
+_ONE_NAN = float("nan")
+
+
+def _codes(batch: pa.RecordBatch, by: list[str]) -> tuple[np.ndarray, list[tuple], np.ndarray]:
+    """(rows sorted by group, the groups' keys, where each group begins among them). Null and NaN are keys like others."""
+    code = np.zeros(batch.num_rows, np.int64)
+    for c in by:
+        index = pc.dictionary_encode(batch.column(c), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        _, code = np.unique(code * (index.max(initial=0) + 1) + index, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) > 0])) if len(order) else order
+    first = batch.select(by).take(pa.array(order[begin]))
+    keys = [tuple(_ONE_NAN if x != x else x for x in row) for row in zip(*[first.column(c).to_pylist() for c in by])] if by else [()] * len(begin)
+    return order, keys, begin
+
+
+def metric_udaf(metric: Metric, by: list[str], df: DataFrame, held: int = 50_000, salts: int = 64) -> DataFrame:
+    """(by, metric) of columns prediction and label, for groups of any size and number.
+
+    Tasks reduce their rows to one state a group before anything is shuffled (``held`` states at a time in memory); states are then merged in
+    order of their keys, one at a time, in two steps: within ``salts`` shares of the tasks, then over the shares.
+    """
+    keys = df.select(*by).schema
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keys)
+    rows = df.select(*by, F.col("prediction").cast("double"), F.col("label").cast("double"))
+
+    def record(names: list[tuple], batch: pa.RecordBatch, last: str, values: list, kind: pa.DataType) -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k in names], batch.schema.field(c).type) for i, c in enumerate(by)]
+        return pa.record_batch([*columns, pa.array(values, kind)], [*by, last])
+
+    def partial(batches):
+        states: dict[tuple, Any] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("prediction", "label"))
+            order, names, begin = _codes(batch, by)
+            for name, part in zip(names, np.split(order, begin[1:])):
+                states[name] = metric.update(states[name] if name in states else metric.init(), p[part], t[part])
+            if len(states) > held:
+                yield record(list(states), batch, "state", [pickle.dumps(x) for x in states.values()], pa.binary())
+                states.clear()
+        if states:
+            yield record(list(states), batch, "state", [pickle.dumps(x) for x in states.values()], pa.binary())
+
+    def merging(finish: bool):
+        def out(name: tuple, state, batch: pa.RecordBatch) -> pa.RecordBatch:
+            if finish:
+                return record([name], batch, "metric", [metric.result(state)], pa.float64())
+            return record([name], batch, "state", [pickle.dumps(state)], pa.binary())
+
+        def run(batches):
+            name, state, batch = None, None, None
+            for batch in batches:
+                columns, states = [batch.column(c).to_pylist() for c in by], batch.column("state").to_pylist()
+                for row, packed in enumerate(states):
+                    now, more = tuple(_ONE_NAN if c[row] != c[row] else c[row] for c in columns), pickle.loads(packed)
+                    if now == name:
+                        state = metric.merge(state, more)
+                        continue
+                    if name is not None:
+                        yield out(name, state, batch)
+                    name, state = now, more
+            if name is not None:
+                yield out(name, state, batch)
+
+        return run
+
+    states = rows.mapInArrow(partial, kinds + "state binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    shares = states.repartition(*by, "salt").sortWithinPartitions(*by, "salt").drop("salt").mapInArrow(merging(False), kinds + "state binary")
+    whole = shares.repartition(*by).sortWithinPartitions(*by) if by else shares.coalesce(1)
+    return whole.mapInArrow(merging(True), kinds + "metric double")

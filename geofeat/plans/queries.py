@@ -775,7 +775,17 @@ def difference_map(v):
 
 @query("SELECT t, round(max(abs(prediction - label)), 6) AS metric FROM v_pred GROUP BY 1")
 def metric_udaf(v):
-    return metrics.metric_udaf(lambda p, t: abs(p - t).max(), ["t"], v.pred).select("t", rd("metric"))
+    worst = metrics.Metric(lambda: 0.0, lambda s, p, t: max(s, abs(p - t).max()), max, lambda s: s)
+    return metrics.metric_udaf(worst, ["t"], v.pred).select("t", rd("metric"))
+
+
+@query("SELECT example, round(sqrt(avg((prediction - label) ** 2)) / (max(label) - min(label)), 6) AS metric FROM v_pred GROUP BY 1")
+def mergeable_nrmse(v):
+    """A metric whose state is (rows, squared error, least and greatest label), merged from any pieces."""
+    update = lambda s, p, t: (s[0] + len(t), s[1] + ((p - t) ** 2).sum(), min(s[2], t.min()), max(s[3], t.max()))
+    merge = lambda a, b: (a[0] + b[0], a[1] + b[1], min(a[2], b[2]), max(a[3], b[3]))
+    nrmse = metrics.Metric(lambda: (0, 0.0, float("inf"), float("-inf")), update, merge, lambda s: (s[1] / s[0]) ** 0.5 / (s[3] - s[2]))
+    return metrics.metric_udaf(nrmse, ["example"], v.pred).select("example", rd("metric"))
 
 
 @query("SELECT true AS equal FROM v_cells LIMIT 1")

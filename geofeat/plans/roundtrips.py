@@ -15,8 +15,12 @@ from geofeat.streaming import arrivals
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="geofeat-")
+    """A new folder under the shared one; in local mode a local one where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="geofeat-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -150,19 +154,43 @@ def array_blob_scan(v):
     return back.groupBy(F.col("path").cast("int").alias("cell")).agg(F.round(F.sum("value"), 4).alias("s"))
 
 
-@query("SELECT DISTINCT x_index, y_index, sim, 4::int AS steps FROM (SELECT c_custkey % 50 AS x_index, 0 AS y_index, 's' AS sim FROM customer) WHERE false")
+@query("SELECT 's' AS sim, (o_custkey % 500)::int AS x_index, (o_orderkey % 3)::int AS y_index, 4::int AS steps FROM orders WHERE o_orderkey % 11 < 4 GROUP BY 1, 2, 3 HAVING count(DISTINCT o_orderkey % 11) = 4")
 def collapse_stream(v):
-    """Orders as arriving steps 0..3 of a chunk per customer; the stream's result is read from its sink."""
+    """Orders as arriving steps of a chunk, of which 0..3 make it whole, in event time; the stream's result is read from its sink."""
     path = scratch(v.spark, "stream")
-    o = v.table("orders").select(F.lit("s").alias("sim"), (F.col("o_custkey") % 500).cast("int").alias("x_index"), (F.col("o_orderkey") % 3).cast("int").alias("y_index"), (F.col("o_orderkey") % 11).cast("int").alias("t"))
-    o.repartition(3).write.json(f"{path}/in")
-    stream = v.spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).json(f"{path}/in")
-    out = arrivals.collapse_stream(stream, 4)
-    out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    o = v.table("orders").select(F.lit("s").alias("sim"), (F.col("o_custkey") % 500).cast("int").alias("x_index"), (F.col("o_orderkey") % 3).cast("int").alias("y_index"), (F.col("o_orderkey") % 11).cast("int").alias("t"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    o.repartition(3).write.parquet(f"{path}/in")
+    stream = v.spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    out = arrivals.collapse_stream(stream, 4, time="at", delay="3650 days")  # one file may be years behind another
+    with arrivals.map_state(v.spark):
+        out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return v.spark.read.schema("sim string, x_index int, y_index int, steps int").parquet(f"{path}/out")
 
 
-ORACLES["collapse_stream"] = "SELECT 's' AS sim, (o_custkey % 500)::int AS x_index, (o_orderkey % 3)::int AS y_index, 4::int AS steps FROM orders WHERE o_orderkey % 11 < 4 GROUP BY 1, 2, 3 HAVING count(DISTINCT o_orderkey % 11) = 4"
+@query("SELECT k.area, k.x_index, k.y_index, m.lo AS elevation_min, m.hi AS elevation_max FROM (SELECT DISTINCT area, (c // 16)::int AS x_index, (r // 16)::int AS y_index FROM v_cells) k JOIN (SELECT area, min(z) AS lo, max(z) AS hi FROM v_cells GROUP BY 1) m USING (area) WHERE k.area <> 'R'")
+def rescale_gate(v):
+    """Finished chunks arrive in three files, each chunk twice; areas whose last chunk has come get their order once, area R waits for more."""
+    path = scratch(v.spark, "gate")
+    cells = v.cells.select("area", grid.chunk_index("col", 16).alias("x_index"), grid.chunk_index("row", 16).alias("y_index"), "z")
+    stats = grid.elevation_stats(cells, ["area", "x_index", "y_index"])
+    stats.unionByName(stats).repartition(3).write.parquet(f"{path}/in")
+    stream = v.spark.readStream.schema(stats.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    areas = v.headers.select("area", F.when(F.col("area") == "R", 99).otherwise(16).alias("expected"))
+    with arrivals.map_state(v.spark):
+        out = arrivals.rescale_gate(stream, areas).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.schema("area string, x_index int, y_index int, elevation_min double, elevation_max double").parquet(f"{path}/out")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity AS depth, (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_quantity) - 1) AS ord FROM lineitem")
+def split_point_scan(v):
+    """All line items as one file of depth points, read by byte ranges: a line's number is its place in the whole file."""
+    path = scratch(v.spark, "split")
+    lines = v.table("lineitem").select("l_orderkey", "l_linenumber", F.format_string("%d %d %.2f", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("double")).alias("line"), F.col("l_quantity").alias("q"))
+    lines.coalesce(1).sortWithinPartitions("l_orderkey", "l_linenumber", "q").select("line").write.text(f"{path}/body")
+    body = readers.numbered_lines(v.spark, f"{path}/body")
+    at = F.split("line", " ")
+    return body.select(at[0].cast("long").alias("l_orderkey"), at[1].cast("int").alias("l_linenumber"), at[2].cast("double").alias("depth"), F.col("n").alias("ord"))
 
 
 @query("SELECT area, min(z) AS elevation_min, max(z) AS elevation_max FROM v_cells GROUP BY 1")

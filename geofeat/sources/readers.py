@@ -1,15 +1,16 @@
-"""Text, JSON and binary scans. Files are split among tasks; a grid file is one chunk, so it is read as one text."""
+"""Text, JSON and binary scans. Text files are split by byte ranges, so that one of any size is many tasks; their lines are numbered across splits."""
 
 from __future__ import annotations
 
 import io
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geofeat.functions import scalar
 from geofeat.operators.examples import _fail
 
+# The header keywords of grid files.
 _HEAD = ("ncols", "nrows", "xllcorner", "yllcorner", "cellsize", "nodata_value")
 
 
@@ -17,24 +18,51 @@ def _whole(spark: SparkSession, paths) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def _lines(df: DataFrame) -> DataFrame:
-    return df.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("n", "line"))
+def _split(spark: SparkSession, paths, keep: Column | None) -> DataFrame:
+    """(path, block, at, line): kept lines with the byte range that they begin in, and a number that grows with their place within it."""
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    rows = rows if keep is None else rows.filter(keep)
+    return rows.withColumn("at", F.monotonically_increasing_id())
+
+
+def numbered_lines(spark: SparkSession, paths, keep: Column | None = None) -> DataFrame:
+    """(path, n, line) of text files, n from 0 over the lines that ``keep`` (a condition on ``line``) takes, all by default.
+
+    The lines of each byte range are counted in one pass; running sums over a file's ranges give each range its first number, and a line's number is
+    that plus its place within the range. No file, and no range, goes to one task whole. Should the files be cut otherwise in the second pass (they
+    changed, or the session's split size did), a line falls outside its range and the job fails; numbers are never silently wrong.
+    """
+    lines = _split(spark, paths, keep)
+    ranges = lines.groupBy("path", "block").agg(F.count("*").alias("m"), F.min("at").alias("lo"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("path", "block", "m", "lo", before.alias("base"))
+    both = lines.join(ranges, ["path", "block"], "left").withColumn("inner", F.col("at") - F.col("lo"))
+    moved = F.raise_error(F.concat(F.lit("file was cut otherwise: "), F.col("path"))).cast("long")
+    n = F.when(F.coalesce((F.col("inner") >= 0) & (F.col("inner") < F.col("m")), F.lit(False)), F.col("base") + F.col("inner")).otherwise(moved)
+    return both.select("path", n.alias("n"), "line")
 
 
 def read_ascii_grid(spark: SparkSession, paths, header_only: bool = False, nodata: float | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(headers, cells); header keys in any case and order, nodata -9999 where absent. Nodata cells are null, or ``nodata`` if given."""
-    files = _whole(spark, paths)
-    value = lambda k: F.regexp_extract("text", rf"(?im)^\s*{k}\s+(\S+)", 1)
-    number = lambda k: F.when(value(k) != "", value(k)).cast("double")
-    n_head = F.size(F.regexp_extract_all("text", F.lit(rf"(?im)^\s*({'|'.join(_HEAD)})\s+\S+"), F.lit(1)))
-    heads = files.select("path", "text", n_head.alias("n_head"), number("ncols").cast("int").alias("col_count"), number("nrows").cast("int").alias("row_count"), number("xllcorner").alias("x_ll"), number("yllcorner").alias("y_ll"), number("cellsize").alias("cell_size"), F.coalesce(number("nodata_value"), F.lit(-9999.0)).alias("nodata_value"))
-    headers = heads.drop("text", "n_head")
+    """(headers, cells); header keys in any case and order, nodata -9999 where absent. Nodata cells are null, or ``nodata`` if given.
+
+    Blank lines don't count. Header lines are found by their keywords, the rows of cells by their number after them.
+    """
+    head = rf"(?i)^\s*({'|'.join(_HEAD)})\s+(\S+)\s*$"
+    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    keys = text.filter(F.col("line").rlike(head)).select("path", F.lower(F.regexp_extract("line", head, 1)).alias("k"), F.regexp_extract("line", head, 2).cast("double").alias("v"))
+    value = lambda k: F.max(F.when(F.col("k") == k, F.col("v")))
+    headers = keys.groupBy("path").agg(
+        value("ncols").cast("int").alias("col_count"), value("nrows").cast("int").alias("row_count"), value("xllcorner").alias("x_ll"), value("yllcorner").alias("y_ll"),
+        value("cellsize").alias("cell_size"), F.coalesce(value("nodata_value"), F.lit(-9999.0)).alias("nodata_value"), F.count("*").alias("n_head"),
+    )
     if header_only:
-        return headers, None
-    body = heads.select("path", "nodata_value", F.posexplode(F.slice(F.filter(F.split("text", r"\r?\n"), lambda s: F.trim(s) != ""), F.col("n_head") + 1, F.col("row_count"))).alias("row", "line"))
-    cells = body.select("path", "nodata_value", "row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "z"))
+        return headers.drop("n_head"), None
+    lines = numbered_lines(spark, paths, F.trim("line") != "").join(headers.select("path", "row_count", "nodata_value", "n_head"), "path")
+    row = (F.col("n") - F.col("n_head")).cast("int")
+    body = lines.filter((row >= 0) & (row < F.col("row_count"))).select("path", "nodata_value", row.alias("row"), F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "z"))
     z = F.col("z").cast("double")
-    return headers, cells.select("path", "row", "col", F.when(z == F.col("nodata_value"), F.lit(nodata)).otherwise(z).alias("z"))
+    cells = body.select("path", "row", "col", F.when(z == F.col("nodata_value"), F.lit(nodata)).otherwise(z).alias("z"))
+    return headers.drop("n_head"), cells
 
 
 HEADER_JSON = "study_area string, col_count int, row_count int, x_ll_corner double, y_ll_corner double, cell_size double, nodata_value double, crs string"
@@ -46,8 +74,9 @@ def read_headers(spark: SparkSession, paths) -> DataFrame:
 
 def read_polygons(spark: SparkSession, paths) -> DataFrame:
     """(path, ord, mask, xs, ys): the first line counts the lines to read; an even number of values begins with the mask, else it is 1."""
-    lines = F.split("text", r"\r?\n")
-    rows = _whole(spark, paths).select("path", F.posexplode(F.slice(lines, F.lit(2), F.trim(lines[0]).cast("int"))).alias("ord", "line"))
+    lines = numbered_lines(spark, paths)
+    many = lines.filter("n = 0").select("path", F.trim("line").try_cast("int").alias("many"))
+    rows = lines.join(many, "path").filter("n between 1 and many").select("path", (F.col("n") - 1).cast("int").alias("ord"), "line")
     v = F.transform(F.split(F.trim("line"), r"\s+"), lambda x: x.cast("double"))
     rows = rows.select("path", "ord", v.alias("v")).withColumn("base", (F.size("v") % 2 == 0).cast("int"))
     rows = rows.withColumn("n", F.element_at("v", F.col("base") + 1).cast("int"))
@@ -58,8 +87,8 @@ def read_polygons(spark: SparkSession, paths) -> DataFrame:
 def read_rainfall(spark: SparkSession, paths) -> DataFrame:
     """(config, t, amount): second numbers of lines that begin with two numbers."""
     line = r"^(\d+)\s+(-?\d*\.?\d+(?:[eE][-+]?\d+)?)"
-    found = _whole(spark, paths).select(F.col("path").alias("config"), F.filter(F.split("text", r"\r?\n"), lambda s: s.rlike(line)).alias("lines"))
-    return found.select("config", F.posexplode("lines").alias("t", "line")).select("config", "t", F.regexp_extract("line", line, 2).cast("double").alias("amount"))
+    found = numbered_lines(spark, paths, F.col("line").rlike(line))
+    return found.select(F.col("path").alias("config"), F.col("n").cast("int").alias("t"), F.regexp_extract("line", line, 2).cast("double").alias("amount"))
 
 
 def read_kv(spark: SparkSession, paths) -> DataFrame:
@@ -75,10 +104,10 @@ def read_kv(spark: SparkSession, paths) -> DataFrame:
 
 
 def read_depth_points(spark: SparkSession, paths) -> DataFrame:
-    """(path, ord, x, y, depth) of whitespace tables, the header line aside."""
-    rows = _lines(_whole(spark, paths)).filter("n > 0 and trim(line) <> ''")
+    """(path, ord, x, y, depth) of whitespace tables, the header line aside; blank lines give no row but count for ``ord``."""
+    rows = numbered_lines(spark, paths).filter("n > 0 and trim(line) <> ''")
     v = F.split(F.trim("line"), r"\s+")
-    return rows.select("path", (F.col("n") - 1).cast("long").alias("ord"), *[v[k].cast("float").alias(c) for k, c in enumerate(("x", "y", "depth"))])
+    return rows.select("path", (F.col("n") - 1).alias("ord"), *[v[k].cast("float").alias(c) for k, c in enumerate(("x", "y", "depth"))])
 
 
 def read_npy_cells(spark: SparkSession, paths, strict: bool = True) -> DataFrame:
@@ -108,6 +137,7 @@ def npy_cells(blobs: DataFrame, strict: bool = True) -> DataFrame:
     return blobs.select("path", "content").mapInPandas(run, "path string, idx array<int>, value double")
 
 
+# The member names of a bundle.
 MEMBERS = ("elevation", "boundaries", "buildings", "green_areas", "soil_classes")
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from geofeat.operators import catalog, grid
 
@@ -74,33 +75,155 @@ def split_errors(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, D
     return marked.filter("error is null").drop("error"), marked.filter("error is not null")
 
 
-def collapse_stream(stream: DataFrame, steps: int, time: str | None = None, delay: str = "1 hour", keep: int = 3600) -> DataFrame:
-    """(sim, x_index, y_index, steps), once, when all steps 0..n-1 of a chunk have come; repeats do no harm.
+# Fixed value: the state store that keeps map entries and timers one by one, on disk.
+_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    With ``time``, an event-time column, state is freed: a chunk is forgotten ``keep`` seconds after the watermark (``delay`` behind the latest
-    event) at which its last event came. Without it, state is kept for ever, which suits a bounded set of chunks only.
-    """
 
-    def run(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
+@contextlib.contextmanager
+def map_state(spark: SparkSession):
+    """Start ``collapse_stream`` and ``rescale_gate`` within it: their state needs a store of single entries, which a query takes as it starts."""
+    old = spark.conf.get(_STORE[0], None)
+    spark.conf.set(*_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(_STORE[0], old) if old else spark.conf.unset(_STORE[0])
+
+
+class _Forgetting(StatefulProcessor):
+    """A processor whose keys are forgotten when the watermark is ``keep`` seconds past their latest row's time; never without ``time``."""
+
+    time: str | None = None
+    keep = 0
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.due = handle.getValueState("due", "at long")
+
+    def touch(self, frames: list[pd.DataFrame], timers) -> None:
+        if self.time is None:
             return
-        seen, done = state.get if state.exists else ([], False)
-        seen = set(seen)
+        latest = max((int(f[self.time].max().timestamp() * 1000) for f in frames if f[self.time].notna().any()), default=0)
+        at = max(timers.getCurrentWatermarkInMs(), latest, 0) + self.keep * 1000
+        if self.due.exists():
+            old = self.due.get()[0]
+            if old >= at:
+                return
+            self.handle.deleteTimer(old)
+        self.due.update((at,))
+        self.handle.registerTimer(at)
+
+    def forget(self) -> None:
+        self.due.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.forget()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _Collapse(_Forgetting):
+    """Steps of a chunk as single map entries; a row comes out once, when the last one is in."""
+
+    def __init__(self, steps: int, time: str | None, keep: int):
+        self.steps, self.time, self.keep = steps, time, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.seen = handle.getMapState("seen", "t int", "there boolean")
+        self.count = handle.getValueState("count", "n int")
+
+    def handleInputRows(self, key, rows, timerValues):
+        n = before = self.count.get()[0] if self.count.exists() else 0
+        frames = list(rows)
         for pdf in frames:
-            seen |= set(int(t) for t in pdf["t"])
-        full = set(range(steps)) <= seen
-        state.update((sorted(seen), bool(done or full)))
-        if time:
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep * 1000)
-        if full and not done:
-            yield pd.DataFrame({"sim": [key[0]], "x_index": [key[1]], "y_index": [key[2]], "steps": [steps]})
+            for t in pdf["t"].dropna().astype(int).unique().tolist():
+                if n < self.steps and 0 <= t < self.steps and not self.seen.containsKey((t,)):
+                    self.seen.updateValue((t,), (True,))
+                    n += 1
+        self.touch(frames, timerValues)
+        if n != before:
+            self.count.update((n,))
+            if n == self.steps:
+                self.seen.clear()  # the count alone says that the chunk is done
+                yield pd.DataFrame({"sim": [key[0]], "x_index": [key[1]], "y_index": [key[2]], "steps": [n]})
+
+    def forget(self) -> None:
+        super().forget()
+        self.seen.clear()
+        self.count.clear()
 
+
+def collapse_stream(stream: DataFrame, steps: int, time: str | None = None, delay: str = "1 hour", keep: int = 3600) -> DataFrame:
+    """(sim, x_index, y_index, steps), once, when all steps 0..n-1 of a chunk have come; repeats do no harm.
+
+    A step is one entry of the chunk's state, which goes when the chunk is done; only its count stays. With ``time``, an event-time column, that
+    is freed, too: a chunk is forgotten when the watermark (``delay`` behind the latest event of all) is ``keep`` seconds past its own latest event.
+    Without it, counts are kept for ever, which suits a bounded set of chunks only. Start it within ``map_state``.
+    """
     columns = ["sim", "x_index", "y_index", "t"]
     held = stream.select(*columns) if time is None else stream.withWatermark(time, delay).select(*columns, time)
-    timeout = GroupStateTimeout.NoTimeout if time is None else GroupStateTimeout.EventTimeTimeout
     keyed = held.groupBy("sim", "x_index", "y_index")
-    return keyed.applyInPandasWithState(run, "sim string, x_index int, y_index int, steps int", "seen array<int>, done boolean", "append", timeout)
+    mode = "None" if time is None else "EventTime"
+    return keyed.transformWithStateInPandas(_Collapse(steps, time, keep), "sim string, x_index int, y_index int, steps int", "append", mode)
+
+
+class _Gate(_Forgetting):
+    """An area's chunks as single map entries and their number; the order to rescale them comes out once, when the last one is in."""
+
+    def __init__(self, time: str | None, keep: int):
+        self.time, self.keep = time, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.chunks = handle.getMapState("chunks", "x_index int, y_index int", "lo double, hi double")
+        self.state = handle.getValueState("state", "n long, fired boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        n, fired = self.state.get() if self.state.exists() else (0, False)
+        frames = list(rows)
+        for pdf in frames:
+            if fired:
+                continue
+            if pdf["expected"].isna().any():
+                raise ValueError(f"area without chunk counts: {key[0]}")
+            for x, y, lo, hi, expected in pdf[["x_index", "y_index", "elevation_min", "elevation_max", "expected"]].itertuples(index=False):
+                n += not self.chunks.containsKey((int(x), int(y)))
+                self.chunks.updateValue((int(x), int(y)), tuple(None if pd.isna(v) else float(v) for v in (lo, hi)))
+                if n == expected:
+                    fired = True
+                    yield self.orders(key[0])
+                    self.chunks.clear()
+                    break
+        self.state.update((n, fired))
+        self.touch(frames, timerValues)
+
+    def orders(self, area: str) -> pd.DataFrame:
+        entries = list(self.chunks.iterator())
+        lows, highs = ([v[k] for _, v in entries if v[k] is not None] for k in (0, 1))
+        out = pd.DataFrame([k for k, _ in entries], columns=["x_index", "y_index"])
+        return out.assign(area=area, elevation_min=min(lows, default=None), elevation_max=max(highs, default=None))[["area", "x_index", "y_index", "elevation_min", "elevation_max"]]
+
+    def forget(self) -> None:
+        super().forget()
+        self.chunks.clear()
+        self.state.clear()
+
+
+def rescale_gate(stream: DataFrame, areas: DataFrame, time: str | None = None, delay: str = "1 hour", keep: int = 86400) -> DataFrame:
+    """A rescale order (area, x_index, y_index, elevation_min, elevation_max) for every chunk of an area, once, when its last chunk has come.
+
+    ``stream`` has a row a finished chunk (area, x_index, y_index, elevation_min, elevation_max), ``areas`` its number of chunks (area,
+    ``expected``). Chunks that come again, and replays after a restart, fire nothing. An area without a number is an error; a chunk of an
+    area that ``areas`` lacks is skipped. What is kept of an area that has fired is one flag; with ``time`` that is freed as in ``collapse_stream``.
+    """
+    columns = ["area", "x_index", "y_index", "elevation_min", "elevation_max"]
+    held = stream if time is None else stream.withWatermark(time, delay)
+    known = held.select(*columns, *([time] if time else [])).join(areas.select("area", F.col("expected").cast("double").alias("expected")), "area")
+    out = "area string, x_index int, y_index int, elevation_min double, elevation_max double"
+    return known.groupBy("area").transformWithStateInPandas(_Gate(time, keep), out, "append", "None" if time is None else "EventTime")
 
 
 def elevation_stats_stream(stream: DataFrame) -> DataFrame:
