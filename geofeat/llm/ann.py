@@ -6,22 +6,26 @@ encoded by beam search and stored as codes and the squared norm of its approxima
 |x|^2 - 2 sum(<q, codeword>), up to the query's own norm. The best ``shortlist`` rows of a query over all blocks are reranked
 by the exact distance on the original vectors. All rows are scored; no cells are left out.
 
-Work is shared out in blocks: rows are packed into blocks of ``block_rows`` codes and queries into blocks of ``query_rows``;
-each row block meets each query block in a task of its own, and returns at most ``shortlist`` rows a query.
-
-Defined results. Vectors null, zero, of another length than most, or holding null or non-finite components take no part. Null vec_id:
-takes no part. Repeated vec_ids: rows of a query's own id are never its candidates; others count as rows of their own.
-Ties: smaller vec_id first. Fewer candidates than k: all of them. Empty table: no rows. Extra columns: ignored.
+Work is shared out in blocks: codes are packed into one binary row a block of ``block_rows`` vectors, queries into groups of ``query_rows``; each
+block meets each group in a task of its own and returns at most ``shortlist`` rows a query. Of a query's rows the best are taken within shares of the
+blocks first, then over the shares.
+
+Defined results. Vectors null, zero, of another length than most, or holding null or non-finite components take no part; all others do, whatever their
+scale: codes and scores are of the vectors divided by a power of two, and distances that overflow are taken in scaled form. Null vec_id:
+takes no part. Repeated vec_ids: each row is a query or candidate of its own; only the query's own row is left out, and a repeated query id gives a
+list a row. Ties: smaller vec_id first. Fewer candidates than k: all of them. Empty table: no rows. Extra columns: ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geofeat.llm.common import materialize, require
+from geofeat.llm.common import materialize, require, scratch_mark, settled
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -115,65 +119,70 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return words.astype(np.float32)
 
 
-def fit(rows: DataFrame, sample: int, **sizes) -> AdditiveQuantiser:
+def fit(rows: DataFrame, sample: int, scale: float, **sizes) -> AdditiveQuantiser:
     """Fitted on the ``sample`` rows that come first by a hash: a bounded, repeatable choice. Equal vectors count once."""
     part = rows.select("v").withColumn("h", F.xxhash64("v")).groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(sample)
-    x = np.array([r["v"] for r in part.collect()], np.float32)
+    x = np.array([r["v"] for r in part.collect()], np.float64) * scale
     return AdditiveQuantiser(**sizes).fit(x) if len(x) else AdditiveQuantiser(**sizes)
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, shortlist: int = 800, sample: int = 6144, block_rows: int = 65536, query_rows: int = 64, **sizes) -> DataFrame:
+def _best(near: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n least of a row of scores, least first, ties to smaller ids."""
+    cut = np.partition(near, n - 1)[n - 1] if len(near) > n else np.inf
+    some = np.flatnonzero(near <= cut)
+    return some[np.lexsort((ids[some], near[some]))[:n]]
+
+
+def search(vectors: DataFrame, is_query, k: int = 10, shortlist: int = 800, sample: int = 6144, block_rows: int = 16384, query_rows: int = 2048, **sizes) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance) of each query's k nearest found."""
-    spark = vectors.sparkSession
-    rows = materialize(usable(vectors), "vectors")
-    told = spark.sparkContext.broadcast(fit(rows, sample, **sizes))
-    n = max(1, rows.count())
+    spark, mark = vectors.sparkSession, scratch_mark()
+    rows = materialize(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    n, most = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x))))).head()
+    # A power of two changes no digit; with it all components lie within 1, so that single precision holds norms and products.
+    scale = 2.0 ** -max(-1000, min(1000, math.frexp(most)[1])) if n else 1.0
+    told = spark.sparkContext.broadcast(fit(rows, sample, scale, **sizes))
     queries = rows.filter(is_query)
-    n_query_blocks = max(1, -(-queries.count() // query_rows))
+    groups, blocks = max(1, -(-queries.count() // query_rows)), max(1, -(-n // block_rows))
+    place = lambda m: F.pmod(F.xxhash64("row"), F.lit(m))
 
-    def encode(batches):
-        aq = told.value
-        for batch in batches:
-            x = np.array(batch.column("v").to_pylist(), np.float32)
-            codes, norms = aq.encode(x)
-            yield pa.record_batch([batch.column("vec_id"), batch.column("block"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], ["vec_id", "block", "codes", "norm"])
-
-    block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(-(-n // block_rows))).alias("block")
-    codes = rows.select("vec_id", "v", block).mapInArrow(encode, "vec_id long, block long, codes binary, norm double")
-    codes = materialize(codes, "codes")
-    # Row blocks go to each query block; a block's codes are packed, so that what is repeated is bytes, not rows.
-    asked = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_query_blocks)).alias("asks"), F.lit(None).cast("long").alias("block"), "vec_id", "v")
-    pairs = codes.withColumn("asks", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))).withColumn("asks", F.col("asks").cast("long"))
-    grid = asked.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(int(-(-n // block_rows) - 1))))).withColumn("block", F.col("block").cast("long"))
+    def encode(key, t):
+        codes, norms = told.value.encode(np.array(t.column("v").to_pylist(), np.float64) * scale)
+        parts = (t.column("row").to_numpy(), t.column("vec_id").to_numpy(), norms.astype(np.float32), codes)
+        packed = [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in parts]
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), *packed], ["block", "rows", "ids", "norms", "codes"])
+
+    coded = rows.select("row", "vec_id", "v", place(blocks).alias("block")).groupBy("block")
+    coded = materialize(coded.applyInArrow(encode, "block long, rows binary, ids binary, norms binary, codes binary"), "codes")
+    every = lambda m, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(name)
+    asked = queries.select("row", "vec_id", "v", place(groups).alias("asks"), every(blocks, "block"))
+    schema = pa.schema([("q", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("near", pa.float32()), ("share", pa.int64())])
 
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("near", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         aq = told.value
-        right = right.sort_by("vec_id")
-        ids = right.column("vec_id").to_numpy()
-        book = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(len(ids), aq.m)
-        norms, q, out = right.column("norm").to_numpy(), left.column("vec_id").to_numpy(), []
-        x = np.array(left.column("v").to_pylist(), np.float64)
+        own, ids, norms, codes = (np.frombuffer(right.column(c)[0].as_py(), d) for c, d in (("rows", np.int64), ("ids", np.int64), ("norms", np.float32), ("codes", np.uint8)))
+        q, x, out = left.column("row").to_numpy(), np.array(left.column("v").to_pylist(), np.float64) * scale, []
         for a in range(0, len(q), 64):
-            near = aq.scores(x[a : a + 64], book, norms)
-            near[q[a : a + 64, None] == ids[None]] = np.inf
-            for i in range(len(near)):
-                # Stable: of equal scores the smaller ids come first, so copies in great number are taken in order.
-                cut = np.partition(near[i], shortlist - 1)[shortlist - 1] if len(ids) > shortlist else np.inf
-                some = np.flatnonzero(near[i] <= cut)
-                some = some[np.argsort(near[i][some], kind="stable")[:shortlist]]
-                some = some[np.isfinite(near[i][some])]
-                out.append((np.full(len(some), q[a + i]), ids[some], near[i][some].astype(np.float64)))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema)
-
-    found = grid.groupBy("asks", "block").cogroup(pairs.groupBy("asks", "block")).applyInArrow(score, "query_id long, vec_id long, near double")
-    best = Window.partitionBy("query_id").orderBy("near", "vec_id")
-    listed = found.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= shortlist).select("query_id", "vec_id").distinct()
-    own = rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    both = listed.join(own, "query_id").join(rows, "vec_id")
-    gap = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    exact = both.select("query_id", "vec_id", F.sqrt(gap).alias("score")).withColumn("rank", rank).filter(F.col("rank") <= k)
-    return exact.select("query_id", "rank", "vec_id", "score")
+            near = aq.scores(x[a : a + 64], codes.reshape(len(own), aq.m), norms)
+            for mine, values in zip(q[a : a + 64], near):
+                some = _best(np.where(own == mine, np.inf, values), ids, shortlist + 1)
+                some = some[own[some] != mine][:shortlist]
+                out.append((np.full(len(some), mine), own[some], ids[some], values[some], np.full(len(some), key[1].as_py() // 64)))
+        return pa.table([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    replicated = coded.select("*", every(groups, "asks"))
+    found = asked.groupBy("asks", "block").cogroup(replicated.groupBy("asks", "block")).applyInArrow(score, "q long, row long, vec_id long, near float, share long")
+    for by in (["q", "share"], ["q"]):
+        at = F.row_number().over(Window.partitionBy(*by).orderBy("near", "vec_id", "row"))
+        found = found.withColumn("at", at).filter(F.col("at") <= shortlist).drop("at")
+    own = queries.select(F.col("row").alias("q"), F.col("vec_id").alias("query_id"), F.col("v").alias("w"))
+    both = found.select("q", "row").join(own, "q").join(rows, "row")
+    gap = F.zip_with("w", "v", lambda a, b: a - b)
+    plain = F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, d: s + d * d))
+    top = F.aggregate(gap, F.lit(0.0), lambda m, d: F.greatest(m, F.abs(d)))
+    scaled = F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, d: s + (d / top) * (d / top))) * top
+    exact = both.select("q", "query_id", "row", "vec_id", F.when(plain < float("inf"), plain).otherwise(scaled).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id", "row"))
+    out = exact.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return settled(out, "neighbours", mark)

@@ -123,24 +123,28 @@ def _of_texts(values: np.ndarray, first: np.ndarray, size: np.ndarray, texts: np
 def proportions(like: np.ndarray, first: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """EM for many texts at once: mixture weights over the ``kept`` languages of each text, and the log-likelihoods.
 
-    ``like`` and ``kept`` have a row a language; text i has the words (columns) from ``first[i]`` on. Texts at rest leave the rounds.
+    ``like`` and ``kept`` have a row a language; text i has the words (columns) from ``first[i]`` on. A text stays as it is from the round on in
+    which it moves little, whatever the others do; when enough are at rest, their words leave the rounds.
     """
     size = np.diff(np.append(first, like.shape[1]))
     pi = kept / kept.sum(0)
     live, part, begin, text = np.arange(len(first)), like, first, np.repeat(np.arange(len(first)), size)
+    moving = np.ones(len(live), bool)
     for _ in range(ROUNDS):
         joint = pi.astype(np.float32).take(live, axis=1).take(text, axis=1) * part
         joint *= 1 / np.maximum(joint.sum(0), np.float32(1e-37))
         new = np.where(kept[:, live], np.maximum(np.add.reduceat(joint, begin, axis=1) / size[live], 1e-12), 0)
         new /= new.sum(0)
-        moves = np.abs(new - pi[:, live]).max(0) > MOVE
-        pi[:, live] = new
-        if not moves.any():
+        moves = moving & (np.abs(new - pi[:, live]).max(0) > MOVE)
+        pi[:, live[moving]] = new[:, moving]
+        moving = moves
+        if not moving.any():
             break
-        if moves.mean() < 0.8:
-            live = live[moves]
+        if moving.mean() < 0.8:
+            live = live[moving]
             part, begin = _of_texts(like, first, size, live)
             text = np.repeat(np.arange(len(live)), size[live])
+            moving = np.ones(len(live), bool)
     mixed = (like * pi.astype(np.float32).take(np.repeat(np.arange(len(first)), size), axis=1)).sum(0)
     return pi, _by_text(np.log(np.maximum(mixed, np.float32(1e-37)))[None], first)[0]
 
@@ -186,11 +190,15 @@ def infer(rel: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, labelled: DataFrame, penalty: float = 2.0) -> DataFrame:
-    """Per document: the given columns (but for those of the names that follow), then lang_pred, score (0 to 1), langs (kept languages and their proportions)."""
+def identify(docs: DataFrame, labelled: DataFrame, penalty: float = 2.0, prefix: str = "") -> DataFrame:
+    """Per document: the given columns, then lang_pred, score (0 to 1), langs (kept languages and their proportions).
+
+    The new names begin with ``prefix``; given columns of just these names give way to them.
+    """
     known = require(labelled, "text", "lang").filter("text is not null and lang is not null").selectExpr("text", "cast(lang as string) lang")
     told = docs.sparkSession.sparkContext.broadcast(Model.learned(known))
-    docs = docs.drop("lang_pred", "score", "langs")
+    added = [prefix + c for c in ("lang_pred", "score", "langs")]
+    docs = docs.drop(*added)
     names = docs.columns
 
     def run(batches):
@@ -213,7 +221,7 @@ def identify(docs: DataFrame, labelled: DataFrame, penalty: float = 2.0) -> Data
                     for k, row in zip(some.tolist(), pi.T):
                         langs[k] = [(model.langs[j], float(row[j])) for j in np.flatnonzero(row)]
                 extra = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.map_(pa.string(), pa.float64()))]
-                yield pa.record_batch(piece.columns + extra, [*names, "lang_pred", "score", "langs"])
+                yield pa.record_batch(piece.columns + extra, [*names, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(freed(run), f"{schema}, lang_pred string, score double, langs map<string,double>")
+    return docs.mapInArrow(freed(run), f"{schema}, `{added[0]}` string, `{added[1]}` double, `{added[2]}` map<string,double>")

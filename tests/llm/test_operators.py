@@ -472,3 +472,63 @@ def test_repeated_substrings_against_all_windows():
 
 def test_digest():
     assert decon.digest(["b", "a"]) == hashlib.sha256(b"a,b").hexdigest()
+
+
+@pytest.mark.parametrize("scale", [1e25, 1e200, 1e-30])
+def test_ann_of_any_scale(spark, scale):
+    """Finite vectors of any size are searched; distances that overflow are taken in scaled form."""
+    x = np.random.default_rng(8).normal(size=(30, 8)) * scale
+    d = spark.createDataFrame([(k * 50, [float(v) for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(d, F.col("vec_id") % 500 == 0, books=4, words=16).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert sorted(got) == [0, 500, 1000]
+    for q, found in got.items():
+        gap = np.sqrt((((x - x[q // 50]) / scale) ** 2).sum(1)) * scale
+        gap[q // 50] = np.inf
+        best = np.argsort(gap)[:10]
+        assert [found[k][0] for k in range(1, 11)] == [int(b) * 50 for b in best]
+        assert [found[k][1] for k in range(1, 11)] == [pytest.approx(gap[b], rel=1e-12) for b in best]
+
+
+def test_ann_of_repeated_ids_and_clashing_columns(spark):
+    """Each row of a repeated id is a query and a candidate of its own; only the row itself is left out."""
+    rows = [(0, [1.0, 0.0], "x", 1.0), (0, [0.0, 1.0], "x", 1.0), (7, [1.0, 0.1], "x", 1.0), (8, [0.1, 1.0], "x", 1.0)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string, score double")
+    first = sorted(r["vec_id"] for r in ann.search(d, F.col("vec_id") % 100 == 0, k=1, books=2, words=4).collect())
+    assert first == [7, 8]
+    gaps = sorted(r["score"] for r in ann.search(d, F.col("vec_id") % 100 == 0, k=3, books=2, words=4).collect())
+    want = sorted(math.dist(a[1], b[1]) for i, a in enumerate(rows[:2]) for j, b in enumerate(rows) if i != j)
+    assert gaps == [pytest.approx(w) for w in want]
+
+
+def test_ann_over_many_blocks(spark):
+    """20,000 vectors in 20 blocks and 4 groups of queries: recall at 10 of 0.9 and more, one binary row a block."""
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(40, 16))[rng.integers(0, 40, 20_000)] + rng.normal(size=(20_000, 16)) * 0.3).astype(np.float32)
+    d = spark.createDataFrame([(k, row) for k, row in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(4)
+    got = {}
+    for r in ann.search(d, F.col("vec_id") % 100 == 0, block_rows=1000, query_rows=50, shortlist=200, sample=2048, books=8, words=64).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q, found in got.items():
+        gap = ((x - x[q]) ** 2).sum(1)
+        gap[q] = np.inf
+        hit += len(found & set(np.argsort(gap)[:10].tolist()))
+    assert len(got) == 200 and hit >= 0.9 * 2000
+
+
+def test_language_id_is_the_same_in_any_partitions(spark):
+    """A text's result does not hang on the texts that share its slice or task."""
+    rng = random.Random(3)
+    words = {lang: ["".join(rng.choice(signs) for _ in range(rng.randint(2, 7))) for _ in range(60)] for lang, signs in (("a", "abcde"), ("b", "defgh"), ("c", "ghijk"))}
+    mixed = [(k, " ".join(rng.choice(words[rng.choice("abc"[: 1 + k % 3])]) for _ in range(rng.randint(1, 80))), "abc"[k % 3] if k % 4 else None) for k in range(300)]
+    d = spark.createDataFrame(mixed, "doc_id long, text string, lang string")
+    one, many = (sorted(map(repr, langid.identify(d.repartition(n), d).drop("langs").collect())) for n in (1, 32))
+    assert one == many
+
+
+def test_language_id_keeps_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "ab cd", "x", -5.0, "mine")], "doc_id long, text string, lang string, score double, langs string")
+    row = langid.identify(d, d, prefix="p_").head()
+    assert (row["score"], row["langs"], row["p_lang_pred"]) == (-5.0, "mine", "x")

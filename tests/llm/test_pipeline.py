@@ -62,3 +62,21 @@ def test_mixing_repeats_the_smallest_source_twice(spark):
     uses = corpus_pipeline.source_mixing(spark, docs, SF).groupBy("source").count().collect()
     uses = {r["source"]: r["count"] for r in uses}
     assert uses["big"] == 400 and 76 <= uses["small"] <= 80
+
+
+def test_columns_of_any_name_come_out_as_they_went_in(spark):
+    """score, langs, lang_pred, spans and others that stages use inside are the table's own."""
+    rows = [(k, f"word{k} and some others{k} here now for all{k} to see them {k}", "en", "s", 9, -5.0, "mine", "theirs", "own", k * 7, "i", "cmp") for k in range(30)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, langs string, lang_pred string, spans string, n_words long, items string, component_id string"
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), schema)
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
+        own = {(r["doc_id"], r["score"], r["langs"], r["lang_pred"], r["spans"], r["n_words"], r["items"], r["component_id"]) for r in docs.collect()}
+        assert own <= {(r[0], *r[5:]) for r in rows} and len(own) == 30, name
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name
