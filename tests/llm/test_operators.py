@@ -375,10 +375,10 @@ def test_mixer_against_dictionaries():
             np.add.at(sums[o], (lm_score._rows(c, high.astype(np.uint64) + np.uint64(1), bits) << 4) + (got & 15), 1)
     m = lm_score.Mixer(np.stack([lm_score.coded(x.reshape(-1, 16)) for x in sums]))
     raw = np.frombuffer(text[:-2], np.uint8)
-    units, n = m.units(raw, np.array([0, len(raw)]), np.array([False]))
+    units = m.units([(raw, np.array([0, len(raw)]), np.array([False]))])[0]
     want = plain_mixer(train, text)
     spans = [(0, 4), (4, 9), (9, 14), (14, 18), (18, 23), (23, 24)]
-    assert n == len(text) and units == pytest.approx([sum(want[a:b]) for a, b in spans], rel=0.01)
+    assert units == pytest.approx([sum(want[a:b]) for a, b in spans], rel=0.01)
 
 
 def test_lm_score_of_nothing(empty):
@@ -390,9 +390,81 @@ def test_mixer_is_a_distribution():
     m = lm_score.Mixer(lm_score.coded(np.random.default_rng(0).integers(0, 5, (lm_score.CONTEXTS << 12, 16))).reshape(lm_score.CONTEXTS, -1, 16))
     text = np.arange(256, dtype=np.uint8)
     contexts = [np.full(256, 12345 + k, np.uint64) for k in range(lm_score.CONTEXTS)]
+    own = np.zeros(256, bool)
     for _ in range(3):
-        assert (10.0 ** m.log10(text, contexts, np.zeros(256, bool), np.full(256, 50))).sum() == pytest.approx(1, abs=1e-5)
-        m.use()
+        assert (10.0 ** m.log10(text, contexts, own)).sum() == pytest.approx(1, abs=1e-5)
+        m.learn(text, contexts, own, np.full(256, 50))
+        m.use(m.learned())
+
+
+def test_mixer_learns_what_helps():
+    """Online learning raises the score of the texts it saw; lessons of two blocks add up to their mean, whatever their order."""
+    rng = np.random.default_rng(1)
+    raw = np.frombuffer((" ".join(rng.choice(["red", "apple", "old", "house", "by"], 900)) + " ").encode(), np.uint8)
+    piece = (raw, np.array([0, len(raw)]), np.array([True]))
+    alike, _ = lm_score.gathered([piece])
+    assert alike.times.sum() == len(raw) + 1 and len(alike.text) < len(raw) / 5  # the text, its end
+    sums = np.zeros((lm_score.CONTEXTS, 16 << 12), np.int64)
+    high = (alike.text >> 4).astype(np.int64)
+    for o, c in enumerate(alike.contexts()):
+        np.add.at(sums[o], (lm_score._rows(c, np.zeros(1, np.uint64), 12) << 4) + high, alike.times.astype(int))
+        np.add.at(sums[o], (lm_score._rows(c, high.astype(np.uint64) + np.uint64(1), 12) << 4) + (alike.text & 15), alike.times.astype(int))
+    m = lm_score.Mixer(np.stack([lm_score.coded(x.reshape(-1, 16)) for x in sums]))
+    before = m.units([piece])[0].sum()
+    m.learn(alike.text, alike.contexts(), alike.own, alike.times)
+    one = m.learned()
+    m.use(one)
+    assert m.units([piece])[0].sum() > before
+    used = m.used.copy()
+    m.use(one + one)
+    assert np.allclose(m.used, used, atol=1e-5)
+
+
+def test_caches_against_a_plain_loop():
+    rng = np.random.default_rng(2)
+    sizes = [0, 7, 1, 0, 30]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    word = rng.integers(0, 4, first[-1])
+    spelled, ends = -rng.random(first[-1]) * 6, -rng.random(len(sizes)) * 3
+    turn = np.concatenate([np.arange(n) for n in sizes])
+    before = np.array([(word[a:k] == word[k]).sum() for a, b in zip(first, first[1:]) for k in range(a, b)])
+    got, got_end = lm_score.with_caches(spelled, ends, before, turn, first, 10.0)
+    for t, (a, b) in enumerate(zip(first, first[1:])):
+        trust = [1.0] * len(lm_score.SHARES)
+        for k in range(a, b):
+            held = [s * turn[k] / (turn[k] + 10) for s in lm_score.SHARES]
+            p = [(1 - h) * 10 ** spelled[k] + h * before[k] / max(turn[k], 1) for h in held]
+            assert 10 ** got[k] == pytest.approx(sum(x * w for x, w in zip(p, trust)) / sum(trust))
+            trust = [x * w for x, w in zip(p, trust)]
+        p = [(1 - s * (b - a) / (b - a + 10)) * 10 ** ends[t] for s in lm_score.SHARES]
+        assert 10 ** got_end[t] == pytest.approx(sum(x * w for x, w in zip(p, trust)) / sum(trust))
+
+
+def test_lm_score_hangs_on_training_texts_and_the_text_alone(spark):
+    """Other held-out texts, blocks and slices change no score."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(300)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    train = [(k, text(40)) for k in range(60)]
+    long = [(100 + k, text(180_000)) for k in range(3)]  # several slices of one block
+    short = [(200 + k, text(30)) for k in range(10)]
+    score = lambda rows, **p: {r["doc_id"]: r["score"] for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 100, **p).collect()}
+    one = score(train + long + short)
+    changed = score(train + [(100, "zq " * 300_000)] + long[1:] + short)
+    blocks = score(train + short, block_bytes=2000)
+    for k in [r[0] for r in train + short]:
+        assert one[k] == pytest.approx(changed[k], rel=1e-5) and one[k] == pytest.approx(blocks[k], rel=1e-5)
+    assert one[101] == pytest.approx(changed[101], rel=1e-5) and one[102] == pytest.approx(changed[102], rel=1e-5) and one[100] != changed[100]
+
+
+def test_lm_score_of_nulls_and_repeats(spark):
+    rows = [(None, "red apple", 1), (1, "red apple", 1), (1, "red apple", 1), (2, None, 1), (3, "", 1)] + [(k, "red old apple house", 1) for k in range(10, 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, score long")
+    got = lm_score.score(d, held_out(F.col("doc_id"), 7, 2)).collect()
+    assert len(got) == len(rows) and {type(r["score"]) for r in got} == {float}
+    one = [r["score"] for r in got if r["doc_id"] == 1]
+    assert len(one) == 2 and one[0] == one[1]
+    assert all(r["n_tokens"] == 1 for r in got if r["doc_id"] in (2, 3))
 
 
 def test_ann_recall_and_ties(spark):
