@@ -6,9 +6,9 @@ encoded by beam search and stored as codes and the squared norm of its approxima
 |x|^2 - 2 sum(<q, codeword>), up to the query's own norm. The best ``shortlist`` rows of a query over all blocks are reranked
 by the exact distance on the original vectors. All rows are scored; no cells are left out.
 
-Work is shared out in blocks: codes are packed into one binary row a block of ``block_rows`` vectors, queries into groups of ``query_rows``; each
-block meets each group in a task of its own and returns at most ``shortlist`` rows a query. Of a query's rows the best are taken within shares of the
-blocks first, then over the shares.
+Tasks pack the codes of ``pack_rows`` vectors into one binary row. Queries are dealt into groups of ``query_rows``; to each group all packs are
+streamed, in ``shares`` of at most ``share_rows`` vectors, and a task keeps nothing but its group's queries and the best ``shortlist`` rows of each so far. The
+best of a query over its shares are reranked.
 
 Defined results. Vectors null, zero, of another length than most, or holding null or non-finite components take no part; all others do, whatever their
 scale: codes and scores are of the vectors divided by a power of two, and distances that overflow are taken in scaled form. Null vec_id:
@@ -133,7 +133,40 @@ def _best(near: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     return some[np.lexsort((ids[some], near[some]))[:n]]
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, shortlist: int = 800, sample: int = 6144, block_rows: int = 16384, query_rows: int = 2048, **sizes) -> DataFrame:
+class _Shortlists:
+    """The best rows so far of each query of a group."""
+
+    def __init__(self, aq: AdditiveQuantiser, own: np.ndarray, vectors: np.ndarray, size: int):
+        self.aq, self.own, self.x, self.size, self.waiting, self.held = aq, own, vectors, size, [], 0
+        self.best = [(np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in own]
+
+    def add(self, pack: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], enough: int = 16384) -> None:
+        self.waiting.append(pack)
+        self.held += len(pack[0])
+        if self.held >= enough:
+            self.score()
+
+    def score(self) -> None:
+        if not self.waiting:
+            return
+        rows, ids, norms, codes = (np.concatenate(c) for c in zip(*self.waiting))
+        self.waiting, self.held = [], 0
+        for a in range(0, len(self.own), 64):
+            for q, near in enumerate(self.aq.scores(self.x[a : a + 64], codes, norms), a):
+                near = np.concatenate([self.best[q][0], np.where(rows == self.own[q], np.inf, near)])
+                every = np.concatenate([self.best[q][1], ids]), np.concatenate([self.best[q][2], rows])
+                some = _best(near, every[0], self.size + 1)
+                some = some[every[1][some] != self.own[q]][: self.size]
+                self.best[q] = near[some], every[0][some], every[1][some]
+
+    def table(self) -> pa.RecordBatch:
+        self.score()
+        q = np.repeat(self.own, [len(b[0]) for b in self.best])
+        near, ids, rows = (np.concatenate([b[k] for b in self.best]) if self.best else np.zeros(0) for k in range(3))
+        return pa.record_batch([pa.array(q, pa.int64()), pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(near, pa.float32())], ["q", "row", "vec_id", "near"])
+
+
+def search(vectors: DataFrame, is_query, k: int = 10, shortlist: int = 800, sample: int = 6144, pack_rows: int = 256, query_rows: int = 1024, share_rows: int = 1 << 24, **sizes) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance) of each query's k nearest found."""
     spark, mark = vectors.sparkSession, scratch_mark()
     rows = materialize(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
@@ -142,40 +175,48 @@ def search(vectors: DataFrame, is_query, k: int = 10, shortlist: int = 800, samp
     scale = 2.0 ** -max(-1000, min(1000, math.frexp(most)[1])) if n else 1.0
     told = spark.sparkContext.broadcast(fit(rows, sample, scale, **sizes))
     queries = rows.filter(is_query)
-    groups, blocks = max(1, -(-queries.count() // query_rows)), max(1, -(-n // block_rows))
-    place = lambda m: F.pmod(F.xxhash64("row"), F.lit(m))
-
-    def encode(key, t):
-        codes, norms = told.value.encode(np.array(t.column("v").to_pylist(), np.float64) * scale)
-        parts = (t.column("row").to_numpy(), t.column("vec_id").to_numpy(), norms.astype(np.float32), codes)
-        packed = [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in parts]
-        return pa.table([pa.array([key[0].as_py()], pa.int64()), *packed], ["block", "rows", "ids", "norms", "codes"])
-
-    coded = rows.select("row", "vec_id", "v", place(blocks).alias("block")).groupBy("block")
-    coded = materialize(coded.applyInArrow(encode, "block long, rows binary, ids binary, norms binary, codes binary"), "codes")
+    groups, shares = max(1, -(-queries.count() // query_rows)), max(1, -(-n // share_rows))
+
+    def encode(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                codes, norms = told.value.encode(np.array(part.column("v").to_pylist(), np.float64) * scale)
+                columns = part.column("row").to_numpy(), part.column("vec_id").to_numpy(), norms.astype(np.float32), codes
+                cuts = range(0, part.num_rows, pack_rows)
+                packed = [pa.array([np.ascontiguousarray(x[c : c + pack_rows]).tobytes() for c in cuts], pa.binary()) for x in columns]
+                yield pa.record_batch([pa.array(columns[0][::pack_rows], pa.int64()), *packed], ["first", "rows", "ids", "norms", "codes"])
+
+    packs = materialize(rows.select("row", "vec_id", "v").mapInArrow(encode, "first long, rows binary, ids binary, norms binary, codes binary"), "codes")
     every = lambda m, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(name)
-    asked = queries.select("row", "vec_id", "v", place(groups).alias("asks"), every(blocks, "block"))
-    schema = pa.schema([("q", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("near", pa.float32()), ("share", pa.int64())])
-
-    def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        aq = told.value
-        own, ids, norms, codes = (np.frombuffer(right.column(c)[0].as_py(), d) for c, d in (("rows", np.int64), ("ids", np.int64), ("norms", np.float32), ("codes", np.uint8)))
-        q, x, out = left.column("row").to_numpy(), np.array(left.column("v").to_pylist(), np.float64) * scale, []
-        for a in range(0, len(q), 64):
-            near = aq.scores(x[a : a + 64], codes.reshape(len(own), aq.m), norms)
-            for mine, values in zip(q[a : a + 64], near):
-                some = _best(np.where(own == mine, np.inf, values), ids, shortlist + 1)
-                some = some[own[some] != mine][:shortlist]
-                out.append((np.full(len(some), mine), own[some], ids[some], values[some], np.full(len(some), key[1].as_py() // 64)))
-        return pa.table([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-
-    replicated = coded.select("*", every(groups, "asks"))
-    found = asked.groupBy("asks", "block").cogroup(replicated.groupBy("asks", "block")).applyInArrow(score, "q long, row long, vec_id long, near float, share long")
-    for by in (["q", "share"], ["q"]):
-        at = F.row_number().over(Window.partitionBy(*by).orderBy("near", "vec_id", "row"))
-        found = found.withColumn("at", at).filter(F.col("at") <= shortlist).drop("at")
+    asked = queries.select(F.pmod(F.xxhash64("row"), F.lit(groups)).alias("asks"), every(shares, "share"), F.col("row").alias("first"), "v")
+    spread = packs.select(every(groups, "asks"), F.pmod(F.xxhash64("first"), F.lit(shares)).alias("share"), "first", "rows", "ids", "norms", "codes")
+    both = asked.withColumn("pack", F.lit(0)).unionByName(spread.withColumn("pack", F.lit(1)), allowMissingColumns=True)
+    both = both.repartition("asks", "share").sortWithinPartitions("asks", "share", "pack", "first")
+
+    def score(batches):
+        group, lists, own, vectors_ = None, None, [], []
+        types = (("rows", np.int64), ("ids", np.int64), ("norms", np.float32), ("codes", np.uint8))
+        for batch in batches:
+            kinds, firsts, v = batch.column("pack").to_pylist(), batch.column("first").to_pylist(), batch.column("v")
+            for i, now in enumerate(zip(batch.column("asks").to_pylist(), batch.column("share").to_pylist())):
+                if now != group:
+                    if lists:
+                        yield lists.table()
+                    group, lists, own, vectors_ = now, None, [], []
+                if not kinds[i]:
+                    own.append(firsts[i])
+                    vectors_.append(v[i].as_py())
+                elif own:
+                    lists = lists or _Shortlists(told.value, np.array(own, np.int64), np.array(vectors_, np.float64) * scale, shortlist)
+                    pack = [np.frombuffer(batch.column(c)[i].as_py(), d) for c, d in types]
+                    lists.add((*pack[:3], pack[3].reshape(len(pack[0]), -1)))
+        if lists:
+            yield lists.table()
+
+    found = both.mapInArrow(score, "q long, row long, vec_id long, near float")
+    at = F.row_number().over(Window.partitionBy("q").orderBy("near", "vec_id", "row"))
+    found = found.withColumn("at", at).filter(F.col("at") <= shortlist)
     own = queries.select(F.col("row").alias("q"), F.col("vec_id").alias("query_id"), F.col("v").alias("w"))
     both = found.select("q", "row").join(own, "q").join(rows, "row")
     gap = F.zip_with("w", "v", lambda a, b: a - b)

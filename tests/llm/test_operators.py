@@ -475,7 +475,7 @@ def test_ann_recall_and_ties(spark):
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     x = x.astype(np.float32).astype(float)
     got = {}
-    for r in ann.search(d, F.col("vec_id") % 100 == 0, block_rows=512, query_rows=4, shortlist=100, books=6, words=64).collect():
+    for r in ann.search(d, F.col("vec_id") % 100 == 0, pack_rows=50, query_rows=4, shortlist=100, books=6, words=64).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     assert sorted(got) == list(range(0, 1500, 100))
     hit = 0
@@ -574,13 +574,13 @@ def test_ann_of_repeated_ids_and_clashing_columns(spark):
     assert gaps == [pytest.approx(w) for w in want]
 
 
-def test_ann_over_many_blocks(spark):
-    """20,000 vectors in 20 blocks and 4 groups of queries: recall at 10 of 0.9 and more, one binary row a block."""
+def test_ann_over_many_packs(spark):
+    """20,000 vectors in three shares of packs and four groups of queries: recall at 10 of 0.9 and more."""
     rng = np.random.default_rng(6)
     x = (rng.normal(size=(40, 16))[rng.integers(0, 40, 20_000)] + rng.normal(size=(20_000, 16)) * 0.3).astype(np.float32)
     d = spark.createDataFrame([(k, row) for k, row in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(4)
     got = {}
-    for r in ann.search(d, F.col("vec_id") % 100 == 0, block_rows=1000, query_rows=50, shortlist=200, sample=2048, books=8, words=64).collect():
+    for r in ann.search(d, F.col("vec_id") % 100 == 0, pack_rows=100, query_rows=50, share_rows=7000, shortlist=200, sample=2048, books=8, words=64).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     hit = 0
     for q, found in got.items():
