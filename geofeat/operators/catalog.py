@@ -1,10 +1,11 @@
-"""The metadata catalogue as Parquet tables: every change gives a new table, which its owner writes."""
+"""The metadata catalogue: every change gives a new table, which its owner commits."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from geofeat.operators.changelog import ChangeLog
 from geofeat.operators.examples import _fail, area_split
 
 STATES = ("init", "chunks-uploaded", "feature-matrices-created", "rescaling-done")
@@ -13,18 +14,22 @@ SPLITS = ("train", "val", "test")
 
 
 class Catalog:
-    """Tables under a root folder."""
+    """Tables under a root folder, each a log of commits: a table switches to its new content at once, and a crash leaves the old one."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+    def log(self, name: str, keys: list[str]) -> ChangeLog:
+        return ChangeLog(self.spark, f"{self.root}/{name}", keys)
 
-    def write(self, name: str, rows: DataFrame, mode: str = "overwrite") -> None:
-        """To a new folder first, as the rows may come from the table itself."""
-        rows.write.mode("overwrite").parquet(f"{self.root}/_new/{name}")
-        self.spark.read.parquet(f"{self.root}/_new/{name}").write.mode(mode).parquet(f"{self.root}/{name}")
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        """The rows as of a version, the newest by default."""
+        return self.log(name, []).contents(version)
+
+    def write(self, name: str, rows: DataFrame, mode: str = "overwrite", read: int | None = None) -> int:
+        """The whole table anew, or with ``append`` more rows; the new version. With ``read``, the version that the rows were made from, a conflict is an error."""
+        log = self.log(name, [])
+        return log.commit(rows, log.version() if read is None else read, {"overwrite": "snapshot", "append": "append"}[mode])
 
     def assert_exists(self, name: str, keys: DataFrame) -> None:
         _fail(keys.join(self.table(name), keys.columns, "left_anti"), f"not in {name}", *keys.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geofeat.functions import scalar
-from geofeat.operators import windows
+from geofeat.operators import ranks, windows
 
 XY = ["x_index", "y_index"]
 
@@ -136,21 +136,17 @@ def shuffle(df: DataFrame, seed: int, keys: list[str]) -> DataFrame:
 
 
 def limit_per_sim(df: DataFrame, k: int, order: list[str], by: str = "sim") -> DataFrame:
-    w = Window.partitionBy(by).orderBy(*order)
-    return df.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k).drop("nth")
+    return ranks.first_rows(df, by, order, k)
 
 
 def take(df: DataFrame, k: int, skip: int, order: list[str]) -> DataFrame:
     return df.orderBy(*order).offset(skip).limit(k)
 
 
-def _positions(df: DataFrame, order: list[str]) -> Column:
-    return F.row_number().over(Window.partitionBy("sim").orderBy(*order)) - 1
-
-
 def with_batch_id(df: DataFrame, size: int, order: list[str]) -> DataFrame:
-    """Batches of ``size`` within a simulation, the last one short."""
-    return df.withColumn("batch_id", F.floor(_positions(df, order) / size).cast("long"))
+    """Batches of ``size`` within a simulation, the last one short; a simulation of any size is many tasks."""
+    at = ranks.numbered(df, ["sim"], [F.col(c) for c in order], "__pos")
+    return at.withColumn("batch_id", F.floor(F.col("__pos") / size).cast("long")).drop("__pos")
 
 
 def shard(df: DataFrame, n: int, k: int, by: str = "sim") -> DataFrame:
@@ -180,10 +176,8 @@ def dataset_split(chunks: DataFrame, mode: str = "hash") -> DataFrame:
 
 def _by_hash(chunks: DataFrame, by: list[str]) -> DataFrame:
     key = F.sha2(F.concat_ws("|", *by, *[F.col(c).cast("string") for c in XY]), 256)
-    at = F.row_number().over(Window.partitionBy(*by).orderBy(key))
-    n = F.count("*").over(Window.partitionBy(*by))
-    ranked = chunks.withColumn("at", at).withColumn("n", n)
-    name = F.when(F.col("at") <= F.floor(F.col("n") * 0.6), "train").when(F.col("at") <= F.floor(F.col("n") * 0.8), "val").otherwise("test")
+    ranked = ranks.numbered_by_hash(chunks, by, key, "at")
+    name = F.when(F.col("at") < F.floor(F.col("n") * 0.6), "train").when(F.col("at") < F.floor(F.col("n") * 0.8), "val").otherwise("test")
     return ranked.select(*by, *XY, name.alias("dataset"))
 
 

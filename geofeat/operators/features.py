@@ -118,11 +118,10 @@ def build_sim_chunks(elevation: DataFrame, headers: DataFrame, layers: dict[str,
 
 
 def prepare_area(elevation: DataFrame, headers: DataFrame, boundary: DataFrame, layers: dict[str, DataFrame], classes: list[int]) -> dict[str, DataFrame]:
-    """Raster and layers cut to the box of the boundary; listed soil classes become the non-green class."""
+    """Raster and layers of each area cut to the box of its boundary; listed soil classes become the non-green class. Areas without a boundary go."""
     from geofeat.functions.scalar import remap_soil, validate_masks
 
-    b = geometry.layer_bbox(boundary, []).head()
-    box = (b["x_min"], b["y_min"], b["x_max"], b["y_max"])
+    box = geometry.layer_bbox(boundary, ["area"])
     cells, header = grid.crop_cells(elevation, headers, box)
     out = {"elevation": cells, "headers": header, "boundaries": boundary}
     for name, polygons in layers.items():

@@ -151,14 +151,21 @@ def clip_ring(xs: list, ys: list, box: tuple) -> list[list]:
     return [r for r in tidy if len(r) > 2 and _area(r) > 0]
 
 
-def crop_polygons(polygons: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
-    """Rings cut to a box: those outside go, those within stay as they are, others give a row a part. Only straddlers reach Python."""
+def crop_polygons(polygons: DataFrame, box: tuple[float, float, float, float] | DataFrame) -> DataFrame:
+    """Rings cut to a box: those outside go, those within stay as they are, others give a row a part. Only straddlers reach Python.
+
+    A table (area, x_min, y_min, x_max, y_max) gives each area a box of its own; polygons of areas without one go.
+    """
     from geofeat.functions.scalar import bbox_contains, bbox_intersects
 
-    lit, own = tuple(F.lit(float(v)) for v in box), bbox()
-    near = polygons.filter(bbox_intersects(lit, own))
-    within = near.filter(bbox_contains(lit, own))
-    schema = near.schema
+    names, bounds = polygons.columns, ("x_min", "y_min", "x_max", "y_max")
+    if isinstance(box, DataFrame):
+        boxed = polygons.join(box.select("area", *[F.col(c).cast("double").alias(f"__{c}") for c in bounds]), "area")
+    else:
+        boxed = polygons.withColumns({f"__{c}": F.lit(float(v)) for c, v in zip(bounds, box)})
+    cut, own = tuple(F.col(f"__{c}") for c in bounds), bbox()
+    near = boxed.filter(bbox_intersects(cut, own))
+    inside = bbox_contains(cut, own)
 
     def run(frames):
         import pandas as pd
@@ -166,12 +173,12 @@ def crop_polygons(polygons: DataFrame, box: tuple[float, float, float, float]) -
         for pdf in frames:
             rows = []
             for r in pdf.to_dict("records"):
-                for part in clip_ring(r["xs"], r["ys"], box):
+                for part in clip_ring(r["xs"], r["ys"], tuple(r[f"__{c}"] for c in bounds)):
                     closed = part + part[:1]
                     rows.append(r | {"xs": [p[0] for p in closed], "ys": [p[1] for p in closed]})
-            yield pd.DataFrame(rows, columns=pdf.columns)
+            yield pd.DataFrame(rows, columns=pdf.columns)[names]
 
-    return within.unionByName(near.filter(~bbox_contains(lit, own)).mapInPandas(run, schema))
+    return near.filter(inside).select(*names).unionByName(near.filter(~inside).mapInPandas(run, polygons.select(*names).schema))
 
 
 def ring_distance(x: Column, y: Column, xs: Column, ys: Column) -> Column:

@@ -88,13 +88,20 @@ def chunk_elevation(cells: DataFrame, headers: DataFrame, size: int) -> tuple[Da
     return split_chunks(cells, headers, size, None), chunk_headers(headers, size)
 
 
-def crop_cells(cells: DataFrame, headers: DataFrame, bbox: tuple[float, float, float, float], border: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Cells that the box touches, with a border of cells, and the new header; indices start at 0 again."""
-    x0, y0, x1, y1 = bbox
+def crop_cells(cells: DataFrame, headers: DataFrame, bbox: tuple[float, float, float, float] | DataFrame, border: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Cells that the box touches, with a border of cells, and the new header; indices start at 0 again.
+
+    A table (area, x_min, y_min, x_max, y_max) gives each area a box of its own; areas without one go.
+    """
+    if isinstance(bbox, DataFrame):
+        headers = headers.join(bbox.select("area", *[F.col(c).cast("double").alias(f"__{c}") for c in ("x_min", "y_min", "x_max", "y_max")]), "area")
+        x0, y0, x1, y1 = (F.col(f"__{c}") for c in ("x_min", "y_min", "x_max", "y_max"))
+    else:
+        x0, y0, x1, y1 = map(F.lit, bbox)
     top = F.col("y_ll") + F.col("row_count") * F.col("cell_size")
     lo = lambda v: F.greatest(F.floor(v).cast("int") - border, F.lit(0))
     hi = lambda v, most: F.least(F.ceil(v).cast("int") + border, F.col(most))
-    h = headers.select("*", lo((F.lit(x0) - F.col("x_ll")) / F.col("cell_size")).alias("c0"), hi((F.lit(x1) - F.col("x_ll")) / F.col("cell_size"), "col_count").alias("c1"), lo((top - y1) / F.col("cell_size")).alias("r0"), hi((top - y0) / F.col("cell_size"), "row_count").alias("r1"))
+    h = headers.select("*", lo((x0 - F.col("x_ll")) / F.col("cell_size")).alias("c0"), hi((x1 - F.col("x_ll")) / F.col("cell_size"), "col_count").alias("c1"), lo((top - y1) / F.col("cell_size")).alias("r0"), hi((top - y0) / F.col("cell_size"), "row_count").alias("r1"))
     kept = cells.join(h.select("area", "c0", "c1", "r0", "r1"), "area").filter("row >= r0 and row < r1 and col >= c0 and col < c1")
     new = h.select("area", (F.col("c1") - F.col("c0")).alias("col_count"), (F.col("r1") - F.col("r0")).alias("row_count"), (F.col("x_ll") + F.col("c0") * F.col("cell_size")).alias("x_ll"), (top - F.col("r1") * F.col("cell_size")).alias("y_ll"), "cell_size")
     return kept.select("area", (F.col("row") - F.col("r0")).alias("row"), (F.col("col") - F.col("c0")).alias("col"), "z"), new

@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geofeat.operators import ranks
+
 
 def _p() -> Column:
     return F.col("prediction")
@@ -123,15 +125,21 @@ def compare_models(df: DataFrame, by: list[str], models: list[str]) -> DataFrame
 
 
 def depth_percentiles(df: DataFrame, by: list[str], points: tuple = (0.02, 0.98, 0.995), value: str = "v", exact: bool = True) -> DataFrame:
-    """NaN values don't count. ``exact=False`` uses the sketch, for groups of any size."""
+    """NaN values don't count. Exact for groups of any size, by distributed selection; ``exact=False`` uses the sketch, in one pass."""
+    names = [f"p{q * 1000:g}".replace(".", "_") for q in points]
+    if exact:
+        return ranks.exact_quantiles(df, by, points, names, value)
     kept = df.filter(~F.isnan(F.col(value).cast("double")))
-    f = F.percentile if exact else F.percentile_approx
-    return kept.groupBy(*by).agg(*[f(value, F.lit(q)).alias(f"p{q * 1000:g}".replace(".", "_")) for q in points])
+    return kept.groupBy(*by).agg(*[F.percentile_approx(value, F.lit(q)).alias(n) for q, n in zip(points, names)])
 
 
 def summarize_metrics(df: DataFrame, value: str = "v") -> DataFrame:
-    q = lambda x: F.percentile(value, F.lit(x))
-    return df.agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(value).alias("max"))
+    """One row; quartiles are exact, and no task gathers the values. NaN values don't count for them."""
+    sums = df.agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    quarters = ranks.exact_quantiles(df, [], (0.25, 0.5, 0.75), ["q25", "q50", "q75"], value)
+    one = F.lit(0).alias("one")
+    both = sums.select("*", one).join(quarters.select("*", one), "one", "left")
+    return both.select("count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def worst_chunk(df: DataFrame, chunk: str = "chunk") -> DataFrame:

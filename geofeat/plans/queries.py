@@ -298,26 +298,62 @@ def soil_class_counts(v):
     return features.soil_class_counts(v.soil, ["area", "soil"])
 
 
-@query(f"SELECT k.area, k.r, k.c, round(coalesce(k.z, -9999), 2) AS elevation, (k.z IS NOT NULL)::int AS elevation_mask, (k.z IS NOT NULL AND b.mask IS NOT NULL)::int AS building FROM (SELECT g.area, g.r, g.c, z FROM v_grid g LEFT JOIN v_cells USING (area, r, c)) k LEFT JOIN (SELECT area, r, c, arg_max(mask, ord) AS mask FROM ({_COVER}) GROUP BY 1, 2, 3) b USING (area, r, c)")
+def _gap(cell: str, polygon: str) -> str:
+    """Squared distance of a cell's centre from a rectangle."""
+    x, y = f"({cell}.c + 0.5)", f"(63.5 - {cell}.r)"
+    return f"greatest({polygon}.x0 - {x}, 0, {x} - {polygon}.x1) ** 2 + greatest({polygon}.y0 - {y}, 0, {y} - {polygon}.y1) ** 2"
+
+
+_LAST = f"SELECT area, r, c, arg_max(mask, ord) AS mask FROM ({_COVER}) GROUP BY 1, 2, 3"
+_PARAMS = f"(VALUES {_SOIL_VALUES}) w(cl, a, b, d, e)"
+
+
+@query(f"""WITH soils AS ({_LAST}), greens AS (SELECT DISTINCT area, r, c FROM ({_COVER}) WHERE ord % 2 = 0),
+own AS (SELECT g.area, g.r, g.c, coalesce(s.mask, 0) AS soil FROM greens g LEFT JOIN soils s ON s.area = g.area AND s.r = g.r AND s.c = g.c),
+near AS (SELECT o.area, o.r, o.c, arg_min(p.mask, ({_gap("o", "p")}, p.ord)) AS soil FROM own o JOIN v_rects p ON p.area = o.area WHERE o.soil = 0 GROUP BY 1, 2, 3),
+built AS (SELECT DISTINCT area, r, c FROM ({_COVER}) WHERE ord % 3 = 0),
+k AS (SELECT g.area, g.r, g.c, v.z, (v.z IS NOT NULL)::int AS present, b.area IS NOT NULL AS roof, CASE WHEN v.z IS NULL THEN 0 ELSE coalesce(nullif(o.soil, 0), n.soil, 0) END AS soil
+    FROM v_grid g LEFT JOIN v_cells v ON v.area = g.area AND v.r = g.r AND v.c = g.c LEFT JOIN built b ON b.area = g.area AND b.r = g.r AND b.c = g.c
+    LEFT JOIN own o ON o.area = g.area AND o.r = g.r AND o.c = g.c LEFT JOIN near n ON n.area = g.area AND n.r = g.r AND n.c = g.c)
+SELECT k.area, k.r, k.c, coalesce(k.z, -9999)::float::double AS elevation, k.present AS elevation_mask, (k.present = 1 AND k.roof)::int AS building, (k.soil <> 0)::int AS green,
+    round(coalesce(w.a / 11.78, 0), 5) AS conductivity, round(coalesce(w.b / 20.88, 0), 5) AS suction, round(coalesce(w.d / 0.486, 0), 5) AS porosity, round(coalesce(w.e / 0.99, 0), 5) AS saturation
+FROM k LEFT JOIN {_PARAMS} ON w.cl = k.soil""".replace("WITH soils", "SELECT * FROM (WITH soils", 1) + ")")
 def build_flood_features(v):
+    """All eight layers: buildings, green areas and soil of the same rectangles, soil filled from the nearest where green areas lack it."""
     cells = grid.dense_grid(v.headers).join(v.cells, ["area", "row", "col"], "left")
-    d = features.build_flood_features(cells, v.headers, seeds.soil_params(v.spark), buildings=v.polygons)
-    d = d.join(v.cells.select("area", "row", "col", "z"), ["area", "row", "col"], "left")
-    return rc(d.select("area", "row", "col", F.round(F.coalesce("z", F.col("elevation").cast("double")), 2).alias("elevation"), F.col("elevation_mask").cast("int").alias("elevation_mask"), F.col("building").cast("int").alias("building")))
+    p = v.polygons
+    d = features.build_flood_features(cells, v.headers, seeds.soil_params(v.spark), buildings=p.filter("ord % 3 = 0"), green=p.filter("ord % 2 = 0"), soil=p)
+    as_int = [F.col(c).cast("int").alias(c) for c in ("elevation_mask", "building", "green")]
+    return rc(d.select("area", "row", "col", F.col("elevation").cast("double").alias("elevation"), *as_int, *[F.round(F.col(c).cast("double"), 5).alias(c) for c in features.LAYERS[4:]]))
 
 
-@query(f"SELECT k.area, k.r, k.c, coalesce(arg_max(s.mask, s.ord), 0) AS soil FROM (SELECT DISTINCT area, r, c FROM ({_COVER})) k JOIN (SELECT * FROM ({_COVER}) WHERE ord % 2 = 1) s USING (area, r, c) GROUP BY 1, 2, 3")
+@query(f"""WITH soils AS (SELECT area, r, c, arg_max(mask, ord) AS mask FROM ({_COVER}) WHERE ord % 2 = 1 GROUP BY 1, 2, 3), greens AS (SELECT DISTINCT area, r, c FROM ({_COVER})),
+bare AS (SELECT g.area, g.r, g.c FROM greens g LEFT JOIN soils s ON s.area = g.area AND s.r = g.r AND s.c = g.c WHERE s.mask IS NULL)
+SELECT g.area, g.r, g.c, s.mask AS soil FROM greens g JOIN soils s ON s.area = g.area AND s.r = g.r AND s.c = g.c WHERE s.mask NOT IN (3, 7, 11)
+UNION ALL SELECT o.area, o.r, o.c, arg_min(p.mask, ({_gap("o", "p")}, p.ord)) FROM bare o JOIN v_rects p ON p.area = o.area WHERE p.ord % 2 = 1 AND p.mask NOT IN (3, 7, 11) GROUP BY 1, 2, 3""".replace("WITH soils", "SELECT * FROM (WITH soils", 1) + ")")
 def soil_as_green(v):
+    """Soil classes on all rectangles' cells, three classes excluded; cells without any soil get the nearest one."""
     p = v.polygons
-    d = features.soil_as_green(p, p.filter("ord % 2 = 1"), v.headers, [])
-    under = geometry.covered(p.filter("ord % 2 = 1"), v.headers).select("area", "row", "col")
-    return rc(d.join(under, ["area", "row", "col"], "left_semi"))
+    return rc(features.soil_as_green(p, p.filter("ord % 2 = 1"), v.headers, [3, 7, 11]))
+
+
+_GAPS = "SELECT chunk, count(DISTINCT layer) AS n_layers, coalesce(string_agg(DISTINCT CASE WHEN NOT have THEN want END, ',' ORDER BY CASE WHEN NOT have THEN want END), '') AS missing FROM (SELECT m.chunk, m.layer, w.want, EXISTS (SELECT 1 FROM (SELECT o_custkey % 300 AS chunk, o_orderstatus AS layer FROM orders) x WHERE x.chunk = m.chunk AND x.layer = w.want) AS have FROM (SELECT o_custkey % 300 AS chunk, o_orderstatus AS layer FROM orders) m, (VALUES ('F'), ('O'), ('P')) w(want)) GROUP BY 1"
+
+
+def _archives(v):
+    return v.table("orders").select((F.col("o_custkey") % 300).alias("chunk"), F.col("o_orderstatus").alias("layer"))
 
 
-@query("SELECT chunk, count(DISTINCT layer) AS n_layers, coalesce(string_agg(DISTINCT CASE WHEN NOT have THEN want END, ',' ORDER BY CASE WHEN NOT have THEN want END), '') AS missing FROM (SELECT m.chunk, m.layer, w.want, EXISTS (SELECT 1 FROM (SELECT o_custkey % 300 AS chunk, o_orderstatus AS layer FROM orders) x WHERE x.chunk = m.chunk AND x.layer = w.want) AS have FROM (SELECT o_custkey % 300 AS chunk, o_orderstatus AS layer FROM orders) m, (VALUES ('F'), ('O'), ('P')) w(want)) GROUP BY 1")
+@query(_GAPS)
+def layer_gaps(v):
+    return features.layer_gaps(_archives(v), ("F", "O", "P"))
+
+
+@query("SELECT o_custkey % 300 AS chunk, true AS complete FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) = 3")
 def check_layers(v):
-    files = v.table("orders").select((F.col("o_custkey") % 300).alias("chunk"), F.col("o_orderstatus").alias("layer"))
-    return features.layer_gaps(files, ("F", "O", "P"))
+    """The strict check of the archives that the error channel lets pass."""
+    whole = features.layer_gaps(_archives(v), ("F", "O", "P")).filter("missing = ''").select("chunk")
+    return features.check_layers(_archives(v).join(whole, "chunk", "left_semi"), ("F", "O", "P"))
 
 
 @query("SELECT p.ord, p.area, i.i::int AS x_index, j.j::int AS y_index, 'soil_classes' AS layer FROM v_rects p, range(4) i(i), range(4) j(j) WHERE p.x0 <= (i.i + 1) * 16 + 17 AND p.x1 >= i.i * 16 - 17 AND p.y0 <= 64 - j.j * 16 + 17 AND p.y1 >= 64 - (j.j + 1) * 16 - 17 UNION ALL SELECT p.ord, p.area, i.i::int, j.j::int, 'buildings' FROM v_rects p, range(4) i(i), range(4) j(j) WHERE p.x0 <= (i.i + 1) * 16 + 1 AND p.x1 >= i.i * 16 - 1 AND p.y0 <= 64 - j.j * 16 + 1 AND p.y1 >= 64 - (j.j + 1) * 16 - 1")
@@ -334,11 +370,21 @@ def build_sim_chunks(v):
     return out.join(there, ["area", "x_index", "y_index", "row", "col"]).groupBy("area", "x_index", "y_index").agg(F.count("*").alias("n"), F.min("z").alias("z"))
 
 
-@query("SELECT area, min(r)::int AS r0, max(r)::int AS r1, count(*) AS n, sum(CASE WHEN z IS NULL THEN 1 ELSE 0 END)::bigint AS empty FROM v_cells GROUP BY 1")
+_BOXES = "(SELECT area, min(x0) AS bx0, min(y0) AS by0, max(x1) AS bx1, max(y1) AS by1 FROM v_rects WHERE mask BETWEEN 2 AND 4 GROUP BY 1)"
+
+
+@query(f"SELECT k.area, (k.r - r0)::int AS r, (k.c - c0)::int AS c, z FROM v_cells k JOIN (SELECT area, greatest(floor(64 - by1) - 1, 0) AS r0, least(ceil(64 - by0) + 1, 64) AS r1, greatest(floor(bx0) - 1, 0) AS c0, least(ceil(bx1) + 1, 64) AS c1 FROM {_BOXES}) b ON b.area = k.area AND k.r >= r0 AND k.r < r1 AND k.c >= c0 AND k.c < c1")
 def prepare_area(v):
-    whole = v.headers.select("area", F.lit(1).alias("mask"), F.lit(0).alias("ord"), F.array(F.lit(0.0), F.lit(64.0), F.lit(64.0), F.lit(0.0), F.lit(0.0)).alias("xs"), F.array(F.lit(0.0), F.lit(0.0), F.lit(64.0), F.lit(64.0), F.lit(0.0)).alias("ys"))
-    got = features.prepare_area(v.cells, v.headers, whole, {"soil_classes": v.polygons}, [3])["elevation"]
-    return got.groupBy("area").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.count("*").alias("n"), F.count_if(F.col("z").isNull()).alias("empty"))
+    """Each area's raster, cut to the box of its own boundary."""
+    cut = features.prepare_area(v.cells, v.headers, v.polygons.filter("mask between 2 and 4"), {"soil_classes": v.polygons}, [3])
+    return rc(cut["elevation"])
+
+
+@query(f"SELECT p.area, p.ord, CASE WHEN p.mask = 3 THEN -9999 ELSE p.mask END AS mask, greatest(x0, bx0) AS x0, greatest(y0, by0) AS y0, least(x1, bx1) AS x1, least(y1, by1) AS y1 FROM v_rects p JOIN {_BOXES} b ON b.area = p.area WHERE (x0 < bx1 AND x1 > bx0 AND y0 < by1 AND y1 > by0)")
+def prepare_area_layers(v):
+    """Each area's soil classes, cut to the box of its own boundary, a class made the non-green one."""
+    cut = features.prepare_area(v.cells, v.headers, v.polygons.filter("mask between 2 and 4"), {"soil_classes": v.polygons}, [3])["soil_classes"]
+    return cut.select("area", "ord", "mask", *[x.alias(n) for x, n in zip(geometry.bbox(), ("x0", "y0", "x1", "y1"))])
 
 
 # ------------------------------------------------------------------ weather
@@ -788,9 +834,15 @@ def mergeable_nrmse(v):
     return metrics.metric_udaf(nrmse, ["example"], v.pred).select("example", rd("metric"))
 
 
-@query("SELECT true AS equal FROM v_cells LIMIT 1")
+@query("SELECT DISTINCT area, true AS same, false AS other FROM v_cells")
 def tables_equal(v):
-    return v.cells.limit(1).select(F.lit(metrics.tables_equal(v.cells, v.cells.orderBy("z"))).alias("equal"))
+    """Each area's cells against themselves in another order, and against themselves with one value changed."""
+    rows = []
+    for area in [r["area"] for r in v.headers.select("area").collect()]:
+        own = v.cells.filter(F.col("area") == area)
+        changed = own.withColumn("z", F.when((F.col("row") == 5) & (F.col("col") == 5), F.lit(-1.0)).otherwise(F.col("z")))
+        rows.append((area, metrics.tables_equal(own, own.repartition(3).orderBy("z")), metrics.tables_equal(own, changed)))
+    return v.spark.createDataFrame(rows, "area string, same boolean, other boolean")
 
 
 # ------------------------------------------------------------------ catalogue
@@ -854,9 +906,35 @@ def foreign_keys(v):
     return catalog.orphans(v.table("orders").select("o_orderkey", "o_custkey"), v.table("customer").filter("c_custkey % 7 <> 0"), "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT run, model, count(*) AS n_chunks, min(chunk_id) AS lo FROM v_runs GROUP BY 1, 2")
+@query("SELECT run, model, count(*) AS n_chunks, string_agg(chunk_id::varchar, ',' ORDER BY chunk_id) AS chunks FROM v_runs GROUP BY 1, 2")
 def run_metadata(v):
-    return catalog.run_metadata(v.runs).select("run", "model", "n_chunks", F.col("chunks")[0].alias("lo"))
+    return catalog.run_metadata(v.runs).select("run", "model", "n_chunks", F.array_join(F.col("chunks").cast("array<string>"), ",").alias("chunks"))
+
+
+
+def _changes(v):
+    """The manifest in three commits of its versions' remainders, and a fourth that deletes all keys of chunk 3."""
+    from geofeat.operators.ranks import scratch
+
+    log = catalog.Catalog(v.spark, scratch(v.spark, "catalogue")).log("chunks", ["area", "chunk"])
+    for k in range(3):
+        log.commit(catalog.latest(v.manifest.filter(F.col("version") % 3 == k), ["area", "chunk"], "version"), log.version())
+    log.commit(v.manifest.filter("chunk = 3").select("area", "chunk").distinct(), log.version(), "delete")
+    return log
+
+
+@query("SELECT area, chunk, version, state, path, error FROM v_manifest WHERE chunk <> 3 QUALIFY row_number() OVER (PARTITION BY area, chunk ORDER BY version % 3 DESC, version DESC) = 1")
+def catalog_log(v):
+    """The snapshot after three commits and a deletion, read after the log was compacted."""
+    log = _changes(v)
+    log.compact()
+    return log.snapshot()
+
+
+@query("SELECT area, chunk, version, state, path, error FROM v_manifest WHERE version % 3 < 2 QUALIFY row_number() OVER (PARTITION BY area, chunk ORDER BY version % 3 DESC, version DESC) = 1")
+def catalog_time_travel(v):
+    """The same table as it was after its second commit."""
+    return _changes(v).snapshot(1)
 
 
 @query("SELECT sim, count(*) AS n_chunks FROM v_label_chunks GROUP BY 1")
@@ -912,7 +990,7 @@ def config_deletes(v):
 @query("SELECT event_id, epoch(TIMESTAMP '2024-01-15 12:00:00')::bigint - floor(epoch(ts))::bigint > 3600 AS late FROM events")
 def split_late(v):
     """Events as a stream, parted into those in time and the record of the dropped."""
-    from geofeat.plans.roundtrips import scratch
+    from geofeat.operators.ranks import scratch
 
     path = scratch(v.spark, "late")
     e = v.table("events").select("event_id", "ts")
@@ -971,7 +1049,7 @@ def rescale_when_ready(v):
 @query("SELECT area, t, (c // 16)::int AS x_index, (r // 16)::int AS y_index, round(sum(depth), 4) AS s FROM (SELECT area, (o1 % 4)::int AS t, round_even(64 - y, 0)::int AS r, round_even(x, 0)::int AS c, arg_max(depth, (o1, o2, o3, o4)) AS depth FROM v_points GROUP BY 1, 2, 3, 4) WHERE r BETWEEN 0 AND 63 AND c BETWEEN 0 AND 63 GROUP BY 1, 2, 3, 4")
 def ingest_depth(v):
     """Two batches of depth files of four steps, the second of which replays the first's: one version of each step stays."""
-    from geofeat.plans.roundtrips import scratch
+    from geofeat.operators.ranks import scratch
 
     path = scratch(v.spark, "depth")
     points = v.points.withColumn("t", (F.col("ord.o1") % 4).cast("int"))
@@ -996,11 +1074,13 @@ def ascii_rows(v):
 ORACLES["ascii_rows"] = ORACLES["ascii_rows"].replace("SELECT area, r + 6 AS n", "SELECT area, (r + 6)::int AS n")
 
 
-@query("SELECT example AS chunk, count(*) AS n FROM (SELECT DISTINCT example, r FROM v_pred) GROUP BY 1")
+@query("SELECT example AS chunk, (dense_rank() OVER (PARTITION BY example ORDER BY r) - 1)::int AS i, (row_number() OVER (PARTITION BY example, r ORDER BY c) - 1)::int AS j, max(prediction) AS depth FROM v_pred GROUP BY example, r, c")
 def prediction_lines(v):
+    """Every cell of the nested lines, parsed back by its place."""
     depth = v.pred.groupBy(F.col("example").alias("chunk"), "row", "col").agg(F.max("prediction").alias("depth"))
     rows = F.from_json(F.get_json_object("line", "$.prediction"), "array<array<double>>")
-    return writers.prediction_lines(depth).select(F.get_json_object("line", "$.instance.key").alias("chunk"), F.size(rows).cast("long").alias("n"))
+    lines = writers.prediction_lines(depth).select(F.get_json_object("line", "$.instance.key").alias("chunk"), F.posexplode(rows).alias("i", "cells"))
+    return lines.select("chunk", "i", F.posexplode("cells").alias("j", "depth"))
 
 
 @query("SELECT id, concat('run/flood/m/', split_part(name, '/', 1), '/c/', id::varchar) AS path FROM v_names")

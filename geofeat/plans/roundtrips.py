@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from geofeat.operators import examples, grid
-from geofeat.plans.queries import ORACLES, query, rc, rd
+from geofeat.operators.changelog import ChangeLog
+from geofeat.operators.ranks import scratch
+from geofeat.plans.queries import _COVER, ORACLES, query, rc, rd
 from geofeat.sources import readers, writers
 from geofeat.streaming import arrivals
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one; in local mode a local one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="geofeat-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _area():
     return F.regexp_extract("path", r"area=([^/]+)", 1)
 
@@ -104,20 +92,22 @@ def cell_tensor_roundtrip(v):
     return back.groupBy(F.col("study_area").alias("area"), "x_index", "y_index").agg(F.count("z").alias("n"))
 
 
-@query("SELECT sim, CASE WHEN (x_index + y_index) % 5 = 0 THEN 'val' ELSE 'train' END AS dataset, count(*) AS n FROM v_label_chunks JOIN v_feature_chunks USING (x_index, y_index) GROUP BY 1, 2")
+@query("SELECT sim, CASE WHEN (x_index + y_index) % 5 = 0 THEN 'val' ELSE 'train' END AS dataset, x_index, y_index FROM v_label_chunks JOIN v_feature_chunks USING (x_index, y_index)")
 def materialize_flood(v):
     path = scratch(v.spark, "flood")
     split = F.when((F.col("x_index") + F.col("y_index")) % 5 == 0, "val").otherwise("train")
     writers.materialize_flood(v.feature_chunks, v.label_chunks.withColumn("dataset", split), path)
-    return v.spark.read.parquet(f"{path}/features").groupBy("sim", "dataset").agg(F.count("*").alias("n"))
+    return v.spark.read.parquet(f"{path}/features").select("sim", "dataset", "x_index", "y_index")
 
 
-@query("SELECT example AS sim, count(*) AS n FROM (SELECT DISTINCT example, r, c FROM v_pred) GROUP BY 1")
+@query("SELECT example AS sim, t AS date, r, c, round(label, 6) AS label FROM v_pred")
 def materialize_heat(v):
     path = scratch(v.spark, "heat")
     d = v.pred.select(F.col("example").alias("sim"), F.col("t").alias("date"), "row", "col", F.lit("HGT_M").alias("var"), "label")
-    writers.materialize_heat(d, d.drop("date"), path)
-    return v.spark.read.parquet(f"{path}/static").groupBy("sim").agg(F.count("*").alias("n"))
+    writers.materialize_heat(d, d.select("sim", "row", "col", "var"), path)
+    back, static = v.spark.read.parquet(f"{path}/dynamic"), v.spark.read.parquet(f"{path}/static")
+    # Each cell has its static row, once.
+    return rc(back.join(static, ["sim", "row", "col", "var"]).select("sim", "date", "row", "col", rd("label")))
 
 
 @query("SELECT n_name AS name FROM nation WHERE n_nationkey % 2 = 0")
@@ -226,24 +216,86 @@ def filter_hash_range(v):
     return scalar.filter_hash_range(d, 0.0, 0.3).groupBy("sim", "date").agg(F.count("*").alias("n"))
 
 
-@query("SELECT cell, t, k.k::int AS k, round(s.v, 6) AS v FROM v_series JOIN range(1) k(k) ON true JOIN v_series s USING (cell, t) WHERE t < 0")
-def flood_examples(v):
-    """Windowed examples of labelled chunks: how many windows of three a cell has."""
-    lab = v.series.select(F.lit("s").alias("sim"), F.lit(0).alias("x_index"), F.lit(0).alias("y_index"), F.when(F.col("cell") % 2 == 0, "train").otherwise("val").alias("dataset"), "t", F.lit(0).alias("row"), F.col("cell").alias("col"), "v")
-    feats = lab.select(F.lit("nyc").alias("study_area"), "x_index", "y_index", "row", "col").distinct()
+def _flood_tables(v):
+    lab = v.series.select(F.lit("s").alias("sim"), (F.col("cell") % 4).alias("x_index"), F.lit(0).alias("y_index"), F.when(F.col("cell") % 2 == 0, "train").otherwise("val").alias("dataset"), "t", F.lit(0).alias("row"), F.col("cell").alias("col"), "v")
+    feats = lab.select(F.lit("nyc").alias("study_area"), "x_index", "y_index", "row", "col").distinct().withColumn("z", F.col("col") * 2)
     sims = v.spark.createDataFrame([("s", "click", "nyc")], "sim string, configuration string, study_area string")
-    out = examples.flood_examples(lab, feats, v.rain, sims, 3, "train")["spatiotemporal"]
-    return out.select(F.col("col").alias("cell"), "t", "k", rd("v"), rd("label"))
+    return examples.flood_examples(lab, feats, v.rain, sims, 3, "train")
+
+
+@query("SELECT a.cell, a.t, b.t - a.t + 3 AS k, round(b.v, 6) AS v, round(a.v, 6) AS label FROM v_series a JOIN v_series b ON a.cell = b.cell AND b.t BETWEEN a.t - 3 AND a.t - 1 AND a.cell % 2 = 0 QUALIFY count(*) OVER (PARTITION BY a.cell, a.t) = 3")
+def flood_examples(v):
+    """Windowed examples of labelled chunks of one split."""
+    return _flood_tables(v)["spatiotemporal"].select(F.col("col").alias("cell"), "t", "k", rd("v"), rd("label"))
+
+
+@query("SELECT DISTINCT (cell % 4)::int AS x_index, cell AS col, cell * 2 AS z FROM v_series WHERE cell % 2 = 0")
+def flood_examples_geospatial(v):
+    """Features of the chunks that have labels of the split."""
+    return _flood_tables(v)["geospatial"].select("x_index", "col", "z")
+
+
+@query("SELECT r.config, r.t, k.k::int AS k, coalesce(p.amount, 0) AS amount FROM v_rain r CROSS JOIN range(3) k(k) LEFT JOIN v_rain p ON p.config = r.config AND p.t = r.t - 3 + k.k")
+def flood_examples_temporal(v):
+    return _flood_tables(v)["temporal"]
 
 
-ORACLES["flood_examples"] = ORACLES["label_windows"].replace("a.t - 5", "a.t - 3").replace("b.t - a.t + 5", "b.t - a.t + 3").replace("a.t - 1 QUALIFY", "a.t - 1 AND a.cell % 2 = 0 QUALIFY").replace("= 5", "= 3")
+_HASHED = "list_reduce(list_prepend(0::bigint, list_transform(string_split(sha256(sim || date), ''), lambda x: (instr('0123456789abcdef', x) - 1)::bigint)), lambda a, x: (a * 16 + x) % 100000000)"
+_HEAT = "(SELECT sim, CAST(day0 AS date)::varchar AS date, (h // 3)::int AS k, round(v, 6) AS v FROM v_hours WHERE h IN (12, 15, 18, 21) QUALIFY count(*) OVER (PARTITION BY sim, day0) = 4)"
+_HEAT_DAYS = "(SELECT DISTINCT d.sim, CAST(d.day0 AS date)::varchar AS date FROM (SELECT DISTINCT sim, day0 FROM v_hours WHERE h IN (0, 6, 12, 18)) d CROSS JOIN range(-1, 5) k(k) JOIN v_hours s ON s.sim = d.sim AND s.day0 + to_hours(s.h::bigint) = d.day0 + to_hours((k.k * 6)::bigint) AND s.h % 6 = 0 QUALIFY count(*) OVER (PARTITION BY d.sim, d.day0) = 6)"
 
 
-@query("SELECT 1 AS x")
+@query(f"SELECT y.sim, y.date, y.k, y.v FROM {_HEAT} y JOIN (SELECT sim, date FROM {_HEAT_DAYS} WHERE {_HASHED} < 60000000) USING (sim, date)")
 def heat_examples(v):
-    s = v.hours.filter("h % 3 = 0").select("sim", (F.col("day0").cast("timestamp") + F.make_dt_interval(hours=F.col("h"))).alias("ts"), "v")
-    x, y = examples.heat_examples(s.filter(F.hour("ts") % 6 == 0), s, ["sim"], 0.0, 1.0, 4)
+    """Label steps of the days of three fifths of the hash range that have all inputs and all labels."""
+    s = v.hours.select("sim", (F.col("day0").cast("timestamp") + F.make_dt_interval(hours=F.col("h"))).alias("ts"), "v")
+    x, y = examples.heat_examples(s, s, ["sim"], 0.0, 0.6, 4)
     return y.select("sim", F.col("date").cast("string").alias("date"), "k", rd("v"))
 
 
-del ORACLES["heat_examples"]
+@query("SELECT n.n_name AS member, CASE WHEN n.n_name = 'CHINA' THEN true END AS known, sum(length(c.c_name) + 1) AS bytes FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY 1, 2")
+def bundle_scan(v):
+    """An archive a region, made by tasks, with a member a nation that lists its customers; one nation's member carries a layer's name."""
+    import io
+    import tarfile
+
+    path = scratch(v.spark, "bundle")
+    names = v.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey", "n_name").join(v.table("customer").select("c_nationkey", "c_name"), "c_nationkey")
+
+    def pack(pdf):
+        import pandas as pd
+
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as tar:
+            for nation, part in pdf.groupby("n_name"):
+                data = "".join(x + "\n" for x in part["c_name"]).encode()
+                info = tarfile.TarInfo(f"{nation}/{'elevation' if nation == 'CHINA' else 'other'}.txt")
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+        return pd.DataFrame({"region": [int(pdf["n_regionkey"].iloc[0])], "content": [out.getvalue()]})
+
+    names.groupBy("n_regionkey").applyInPandas(pack, "region int, content binary").write.parquet(path)
+    found = readers.bundle_members(v.spark.read.parquet(path).select(F.col("region").cast("string").alias("path"), "content"))
+    return found.select(F.split("member", "/")[0].alias("member"), (F.col("layer") == "elevation").alias("known"), F.length("content").cast("long").alias("bytes"))
+
+
+@query(f"SELECT g.area, g.r, g.c, CASE WHEN k.area IS NOT NULL THEN floor(v.z) END AS z FROM v_grid g LEFT JOIN v_cells v ON v.area = g.area AND v.r = g.r AND v.c = g.c LEFT JOIN (SELECT DISTINCT area, r, c FROM ({_COVER}) WHERE ord % 2 = 0) k ON k.area = g.area AND k.r = g.r AND k.c = g.c")
+def export_elevation(v):
+    """Simulation inputs as files: the raster within the boundary, read back from the grid files."""
+    path = _exported(v)
+    _, back = readers.read_ascii_grid(v.spark, f"{path}/elevation/*/*")
+    return rc(back.select(_area().alias("area"), "row", "col", "z"))
+
+
+@query(f"SELECT DISTINCT a.area, a.r, a.c, a.ord FROM ({_COVER}) a JOIN ({_COVER}) b ON b.area = a.area AND b.r = a.r AND b.c = a.c WHERE b.ord % 2 = 0 AND a.ord % 3 = 0")
+def export_buildings(v):
+    """Simulation inputs as files: buildings cut to the boundary, read back."""
+    back = v.spark.read.parquet(f"{_exported(v)}/buildings")
+    return rc(back.select("area", "row", "col", "ord").distinct())
+
+
+def _exported(v) -> str:
+    path, p = scratch(v.spark, "export"), v.polygons
+    cells = grid.dense_grid(v.headers).join(v.cells.withColumn("z", F.floor("z").cast("double")), ["area", "row", "col"], "left")
+    writers.export_sim_inputs(cells, v.headers, p.filter("ord % 2 = 0"), p.filter("ord % 3 = 0"), p.filter("ord % 3 = 1"), path)
+    return path

@@ -143,7 +143,11 @@ MEMBERS = ("elevation", "boundaries", "buildings", "green_areas", "soil_classes"
 
 def read_bundle(spark: SparkSession, paths) -> DataFrame:
     """(path, member, layer, content) of tar archives; layer is null for unexpected names."""
-    blobs = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return bundle_members(spark.read.format("binaryFile").load(paths))
+
+
+def bundle_members(blobs: DataFrame) -> DataFrame:
+    """The same of any table (path, content)."""
 
     def run(frames):
         import tarfile
@@ -158,7 +162,7 @@ def read_bundle(spark: SparkSession, paths) -> DataFrame:
                             stem = m.name.rsplit("/", 1)[-1].split(".")[0]
                             yield pd.DataFrame({"path": [path], "member": [m.name], "layer": [stem if stem in MEMBERS else None], "content": [tar.extractfile(m).read()]})
 
-    return blobs.mapInPandas(run, "path string, member string, layer string, content binary")
+    return blobs.select("path", "content").mapInPandas(run, "path string, member string, layer string, content binary")
 
 
 def read_met(spark: SparkSession, path: str) -> DataFrame:
