@@ -1100,8 +1100,15 @@ def score(v):
 
 @query("SELECT o_orderkey AS id, k.k::int AS k FROM orders, range(3) k(k)")
 def explode_blob(v):
-    d = v.table("orders").select(F.col("o_orderkey").alias("id"))
-    return scoring.explode_blob(d, lambda r: [{"id": r["id"], "k": k} for k in range(3)], "id long, k int")
+    """Three rows of every order, by a table function over Arrow batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    def thrice(rows):
+        ids = rows.column("id").to_numpy()
+        yield pa.record_batch([pa.array(np.repeat(ids, 3)), pa.array(np.tile(np.arange(3, dtype=np.int32), len(ids)))], ["id", "k"])
+
+    return scoring.explode_blob(v.table("orders").select(F.col("o_orderkey").alias("id")), thrice, "id long, k int")
 
 
 @query("SELECT l_returnflag AS a, l_linenumber AS b, l_quantity AS z FROM lineitem")

@@ -21,7 +21,7 @@ def ascii_grid_roundtrip(v):
     path = scratch(v.spark, "ascii")
     cells = grid.dense_grid(v.headers).join(v.cells.withColumn("z", F.floor("z").cast("double")), ["area", "row", "col"], "left")
     writers.write_ascii_grid(cells, v.headers, path)
-    _, back = readers.read_ascii_grid(v.spark, f"{path}/*/*")
+    _, back = readers.read_ascii_grid(v.spark, f"{path}/area=*", folders=True)
     return rc(back.select(_area().alias("area"), "row", "col", "z"))
 
 
@@ -283,7 +283,7 @@ def bundle_scan(v):
 def export_elevation(v):
     """Simulation inputs as files: the raster within the boundary, read back from the grid files."""
     path = _exported(v)
-    _, back = readers.read_ascii_grid(v.spark, f"{path}/elevation/*/*")
+    _, back = readers.read_ascii_grid(v.spark, f"{path}/elevation/area=*", folders=True)
     return rc(back.select(_area().alias("area"), "row", "col", "z"))
 
 
@@ -294,6 +294,55 @@ def export_buildings(v):
     return rc(back.select("area", "row", "col", "ord").distinct())
 
 
+@query("SELECT area, r, c, z FROM v_cells WHERE r BETWEEN 10 AND 30 AND c BETWEEN 17 AND 40 AND area = 'N'")
+def window_scan(v):
+    """A window of one area, of cells kept along a space-filling curve: only the files whose keys meet it are opened."""
+    path = scratch(v.spark, "curve")
+    writers.write_cells_by_curve(v.cells, path, 24)
+    return rc(writers.read_window(v.spark, path, "N", 10, 17, 31, 41))
+
+
+@query("SELECT event_type AS sim, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1)::int AS d0, value::double AS value FROM events")
+def npy_source(v):
+    """An array file an event type, written by tasks, read as a data source in blocks of 1000 cells."""
+    import io
+
+    from geofeat.sources import arrays
+
+    path = scratch(v.spark, "npy")
+    shown = v.table("events").select("event_type", "event_id", F.col("value").cast("double").alias("value"))
+
+    def pack(pdf):
+        import numpy as np
+        import pandas as pd
+        import pyarrow.fs as pafs
+
+        out = io.BytesIO()
+        np.save(out, pdf.sort_values("event_id")["value"].to_numpy())
+        fs, root = pafs.FileSystem.from_uri(path)
+        fs.create_dir(root, recursive=True)
+        name = f"{root}/{pdf['event_type'].iloc[0]}.npy"
+        with fs.open_output_stream(name) as f:
+            f.write(out.getvalue())
+        return pd.DataFrame({"name": [name]})
+
+    shown.groupBy("event_type").applyInPandas(pack, "name string").count()
+    arrays.register(v.spark)
+    back = v.spark.read.format("npy").option("path", path).option("cells", 1000).load()
+    return back.select(F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("sim"), "d0", "value")
+
+
+@query("SELECT t, (dense_rank() OVER (PARTITION BY t ORDER BY r) - 1)::int AS south_north, (row_number() OVER (PARTITION BY t, r ORDER BY c) - 1)::int AS west_east, round(avg(label), 6) AS a, round(avg(prediction), 6) AS b FROM v_pred GROUP BY t, r, c")
+def snapshot_cells(v):
+    """Snapshots, a row a moment with nested arrays of two variables, as cells with a column a dimension."""
+    each = v.pred.groupBy("t", "row", "col").agg(F.round(F.avg("label"), 6).alias("a"), F.round(F.avg("prediction"), 6).alias("b"))
+    line = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("col", c))), lambda x: x[c])
+    rows = each.groupBy("t", "row").agg(line("a").alias("a"), line("b").alias("b"))
+    grid_ = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("row", c))), lambda x: x[c])
+    met = rows.groupBy("t").agg(grid_("a").alias("a"), grid_("b").alias("b"))
+    return readers.met_cells(met, ["a", "b"])
+
+
 def _exported(v) -> str:
     path, p = scratch(v.spark, "export"), v.polygons
     cells = grid.dense_grid(v.headers).join(v.cells.withColumn("z", F.floor("z").cast("double")), ["area", "row", "col"], "left")

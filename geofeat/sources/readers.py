@@ -18,21 +18,25 @@ def _whole(spark: SparkSession, paths) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def _split(spark: SparkSession, paths, keep: Column | None) -> DataFrame:
+def _split(spark: SparkSession, paths, keep: Column | None, folders: bool = False) -> DataFrame:
     """(path, block, at, line): kept lines with the byte range that they begin in, and a number that grows with their place within it."""
-    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    path, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    block = F.struct(F.col("_metadata.file_name").alias("file") if folders else F.lit("").alias("file"), start.alias("start"))
+    rows = spark.read.text(paths).select((F.regexp_extract(path, "^(.*)/[^/]*$", 1) if folders else path).alias("path"), block.alias("block"), F.col("value").alias("line"))
     rows = rows if keep is None else rows.filter(keep)
     return rows.withColumn("at", F.monotonically_increasing_id())
 
 
-def numbered_lines(spark: SparkSession, paths, keep: Column | None = None) -> DataFrame:
+def numbered_lines(spark: SparkSession, paths, keep: Column | None = None, folders: bool = False) -> DataFrame:
     """(path, n, line) of text files, n from 0 over the lines that ``keep`` (a condition on ``line``) takes, all by default.
 
+    With ``folders`` the files of a folder, in the order of their names, are one text, and ``path`` is the folder.
+
     The lines of each byte range are counted in one pass; running sums over a file's ranges give each range its first number, and a line's number is
     that plus its place within the range. No file, and no range, goes to one task whole. Should the files be cut otherwise in the second pass (they
     changed, or the session's split size did), a line falls outside its range and the job fails; numbers are never silently wrong.
     """
-    lines = _split(spark, paths, keep)
+    lines = _split(spark, paths, keep, folders)
     ranges = lines.groupBy("path", "block").agg(F.count("*").alias("m"), F.min("at").alias("lo"))
     before = F.coalesce(F.sum("m").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = ranges.select("path", "block", "m", "lo", before.alias("base"))
@@ -42,13 +46,14 @@ def numbered_lines(spark: SparkSession, paths, keep: Column | None = None) -> Da
     return both.select("path", n.alias("n"), "line")
 
 
-def read_ascii_grid(spark: SparkSession, paths, header_only: bool = False, nodata: float | None = None) -> tuple[DataFrame, DataFrame | None]:
+def read_ascii_grid(spark: SparkSession, paths, header_only: bool = False, nodata: float | None = None, folders: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """(headers, cells); header keys in any case and order, nodata -9999 where absent. Nodata cells are null, or ``nodata`` if given.
 
-    Blank lines don't count. Header lines are found by their keywords, the rows of cells by their number after them.
+    Blank lines don't count. Header lines are found by their keywords, the rows of cells by their number after them. With ``folders`` a grid is a
+    folder of parts, as ``write_ascii_grid`` makes them.
     """
     head = rf"(?i)^\s*({'|'.join(_HEAD)})\s+(\S+)\s*$"
-    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    text = _split(spark, paths, None, folders)
     keys = text.filter(F.col("line").rlike(head)).select("path", F.lower(F.regexp_extract("line", head, 1)).alias("k"), F.regexp_extract("line", head, 2).cast("double").alias("v"))
     value = lambda k: F.max(F.when(F.col("k") == k, F.col("v")))
     headers = keys.groupBy("path").agg(
@@ -57,7 +62,7 @@ def read_ascii_grid(spark: SparkSession, paths, header_only: bool = False, nodat
     )
     if header_only:
         return headers.drop("n_head"), None
-    lines = numbered_lines(spark, paths, F.trim("line") != "").join(headers.select("path", "row_count", "nodata_value", "n_head"), "path")
+    lines = numbered_lines(spark, paths, F.trim("line") != "", folders).join(headers.select("path", "row_count", "nodata_value", "n_head"), "path")
     row = (F.col("n") - F.col("n_head")).cast("int")
     body = lines.filter((row >= 0) & (row < F.col("row_count"))).select("path", "nodata_value", row.alias("row"), F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "z"))
     z = F.col("z").cast("double")
@@ -170,6 +175,21 @@ def read_met(spark: SparkSession, path: str) -> DataFrame:
     return met.withColumn("ts", scalar.parse_ts(F.col("Times"))).drop("Times") if "Times" in met.columns else met
 
 
+def met_cells(met: DataFrame, variables: list[str], dims: tuple[str, ...] = ("south_north", "west_east")) -> DataFrame:
+    """A snapshot's arrays as cells: the other columns, a column a dimension (the place in it, from 0), and a column a variable.
+
+    Each row holds one moment, each variable an array nested as deep as ``dims``. A null array, or part of one, gives no cells; variables of
+    other extents are null where they end.
+    """
+    other = [c for c in met.columns if c not in variables]
+    now = met.select(*other, F.arrays_zip(*variables).alias("cells"))
+    for k, dim in enumerate(dims):
+        now = now.select(*other, *dims[:k], F.posexplode("cells").alias(dim, "cells"))
+        if k + 1 < len(dims):
+            now = now.withColumn("cells", F.arrays_zip(*[F.col(f"cells.{v}").alias(v) for v in variables]))
+    return now.select(*other, *dims, *[F.col(f"cells.{v}").alias(v) for v in variables])
+
+
 def with_path_metadata(df: DataFrame, kind: str, name: str = "name") -> DataFrame:
     """Columns that names carry: ``timestep``, ``chunk`` or ``path``."""
     return df.withColumns({"timestep": scalar.timestep_parts, "chunk": scalar.chunk_parts, "path": scalar.path_parts}[kind](F.col(name)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,8 +41,16 @@ def ascii_rows(cells: DataFrame, headers: DataFrame, nodata: float = -9999.0) ->
 
 
 def write_ascii_grid(cells: DataFrame, headers: DataFrame, path: str, nodata: float = -9999.0) -> None:
+    """A folder an area of text parts, cut at ranges of rows: in the order of their names they are the grid file, the header first.
+
+    ``path`` also gets ``_parts``, a table (area, part, file, lines) of them, for those who put a file together.
+    """
     lines = ascii_rows(cells, headers, nodata)
-    lines.repartition("area").sortWithinPartitions("area", "n").select("area", "line").write.partitionBy("area").text(path)
+    lines.repartitionByRange("area", "n").sortWithinPartitions("area", "n").select("area", "line").write.partitionBy("area").text(path)
+    spark = cells.sparkSession
+    files = spark.read.text(path).groupBy("area", F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("lines"))
+    part = F.row_number().over(Window.partitionBy("area").orderBy("file")) - 1
+    files.select("area", part.alias("part"), "file", "lines").write.parquet(f"{path}/_parts")
 
 
 def write_headers(headers: DataFrame, path: str) -> None:
@@ -54,6 +62,64 @@ def write_cells(cells: DataFrame, path: str, by: tuple[str, ...] = ("study_area"
     cells.repartition(*by).sortWithinPartitions(*by, "row", "col").write.partitionBy(*by).parquet(path)
 
 
+def curve_key(row: Column, col: Column, bits: int = 31) -> Column:
+    """Place on the Z-order curve: the bits of row and column in turn. Cells that are near in the key lie near in the grid."""
+
+    def spread(x: Column) -> Column:
+        x = x.cast("long")
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+        return x
+
+    return F.shiftleft(spread(row), 1).bitwiseOR(spread(col))
+
+
+def curve_ranges(r0: int, c0: int, r1: int, c1: int, most: int = 64) -> list[tuple[int, int]]:
+    """Closed ranges of keys that cover the window of rows r0..r1-1 and columns c0..c1-1: squares of the curve, the largest cut first, up to ``most``."""
+    side = 1
+    while side < max(r1, c1):
+        side *= 2
+    squares, out = [(0, 0, side)] if r0 < r1 and c0 < c1 else [], []
+    while squares:
+        whole = [s for s in squares if r0 <= s[0] and s[0] + s[2] <= r1 and c0 <= s[1] and s[1] + s[2] <= c1]
+        out += whole
+        cut = [s for s in squares if s not in whole]
+        if len(out) + 4 * len(cut) > most or not cut:
+            out += cut
+            break
+        squares = [(r + i, c + j, n // 2) for r, c, n in cut for i in (0, n // 2) for j in (0, n // 2)]
+        squares = [s for s in squares if s[0] < r1 and s[0] + s[2] > r0 and s[1] < c1 and s[1] + s[2] > c0]
+    first = sorted((sum(((r >> k & 1) << 2 * k + 1) | ((c >> k & 1) << 2 * k) for k in range(32)), n * n) for r, c, n in out)
+    ranges: list[tuple[int, int]] = []
+    for at, n in first:
+        if ranges and ranges[-1][1] == at - 1:
+            ranges[-1] = (ranges[-1][0], at + n - 1)
+        else:
+            ranges.append((at, at + n - 1))
+    return ranges
+
+
+def write_cells_by_curve(cells: DataFrame, path: str, files: int) -> None:
+    """Cells (area, row, col, ..) in ``files`` files along the curve, however many chunks there are; ``_ranges`` lists each file's keys."""
+    keyed = cells.withColumn("key", curve_key(F.col("row"), F.col("col")))
+    keyed.repartitionByRange(files, "area", "key").sortWithinPartitions("area", "key").write.parquet(f"{path}/cells")
+    back = cells.sparkSession.read.parquet(f"{path}/cells")
+    ranges = back.groupBy("area", F.col("_metadata.file_path").alias("file")).agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("cells"))
+    ranges.write.parquet(f"{path}/_ranges")
+
+
+def read_window(spark: SparkSession, path: str, area: str, r0: int, c0: int, r1: int, c1: int) -> DataFrame:
+    """The cells of a window (rows r0..r1-1, columns c0..c1-1) of an area; only files whose keys meet the window's are opened."""
+    spans = curve_ranges(r0, c0, r1, c1)
+    meets = F.lit(False)
+    for lo, hi in spans:
+        meets = meets | ((F.col("lo") <= hi) & (F.col("hi") >= lo))
+    files = [r["file"] for r in spark.read.parquet(f"{path}/_ranges").filter((F.col("area") == area) & meets).select("file").collect()]
+    whole = spark.read.parquet(f"{path}/cells")
+    inside = (F.col("area") == area) & F.col("row").between(r0, r1 - 1) & F.col("col").between(c0, c1 - 1)
+    return (spark.read.schema(whole.schema).parquet(*files) if files else whole.limit(0)).filter(inside & F.col("key").between(spans[0][0] if spans else 0, spans[-1][1] if spans else -1)).drop("key")
+
+
 def prediction_lines(predictions: DataFrame) -> DataFrame:
     """(chunk, line) in chunk order: instance and nested prediction rows, of cells (chunk, row, col, depth)."""
     rows = predictions.groupBy("chunk", "row").agg(F.array_sort(F.collect_list(F.struct("col", "depth"))).alias("c"))
