@@ -446,11 +446,12 @@ def build_heat_labels(v):
     return weather.build_heat_labels(d).select("sim", F.col("we").alias("event_id"), F.col("RH2").alias("rh2"), F.col("T2").alias("t2"), (F.round("WSPD_WDIR10_SIN", 6) + 0.0).alias("s"))
 
 
-@query("SELECT sim, event_id, round(least(greatest(uu, 0), 100) / 100.0, 6) AS rh2 FROM v_met WHERE event_id BETWEEN 2 AND 7")
+@query("SELECT sim, event_id AS ts, (event_id % 10 - 2)::int AS r, (event_id // 10 % 9 - 2)::int AS c, round(least(greatest(uu, 0), 100) / 100.0, 6) AS rh2 FROM v_met WHERE event_id % 10 BETWEEN 2 AND 7 AND event_id // 10 % 9 BETWEEN 2 AND 6")
 def preprocess_labels(v):
-    d = v.met.select("sim", "ts", F.col("event_id").alias("sn"), F.lit(0).alias("we"), F.col("uu").alias("RH2"))
-    out = weather.preprocess_labels(d, ["RH2"], 6, 1, 10, 1)
-    return out.select("sim", (F.col("row") + 2).alias("event_id"), F.round("RH2", 6).alias("rh2"))
+    """All events on maps of 10 x 9 cells, cut to the middle 6 x 5."""
+    d = v.met.select("sim", F.col("event_id").alias("ts"), (F.col("event_id") % 10).alias("sn"), (F.floor(F.col("event_id") / 10) % 9).alias("we"), F.col("uu").alias("RH2"))
+    out = weather.preprocess_labels(d, ["RH2"], 6, 5, 10, 9)
+    return out.select("sim", "ts", F.col("row").cast("int").alias("r"), F.col("col").cast("int").alias("c"), F.round("RH2", 6).alias("rh2"))
 
 
 @query("SELECT var, sum(n)::bigint AS n, round(sum(v), 4) AS s FROM (SELECT 'PRES' AS var, count(*) AS n, sum((least(greatest(98000 + uu * 100, 98000), 121590) - 98000) / 23590.0) AS v FROM v_met UNION ALL SELECT 'RH', count(*), sum(uu / 100) FROM v_met UNION ALL SELECT 'HGT_M', count(*), sum(least(greatest(vv, 0), 5100) / 5100.0) FROM v_met UNION ALL SELECT 'LU_INDEX', count(*), sum(vv) FROM v_met UNION ALL SELECT 'SOLAR_TIME_SIN', count(*), sum((sin(((((hour(ts) + minute(ts) / 60.0 + lon / 15.0) % 24) + 24) % 24) * pi() / 12) + 1) / 2) FROM v_met) GROUP BY 1")
@@ -640,9 +641,9 @@ def attach_static(v):
     return examples.attach_static(s, s.groupBy("cell").agg(F.round(F.max("v"), 6).alias("static")), ["cell"]).select("t", "cell", rd("v"), "static")
 
 
-@query("SELECT s.cell, s.t, round(s.v, 6) AS v, r.amount FROM v_series s JOIN v_rain r ON r.t = s.t AND r.config = 'click'")
+@query("SELECT s.cell, r.config, s.t, round(s.v, 6) AS v, r.amount FROM v_series s JOIN v_rain r ON r.t = s.t")
 def attach_rainfall(v):
-    return examples.attach_rainfall(v.series, v.rain.filter("config = 'click'").select("t", "amount"), ["t"]).select("cell", "t", rd("v"), "amount")
+    return examples.attach_rainfall(v.series, v.rain, ["t"]).select("cell", "config", "t", rd("v"), "amount")
 
 
 @query("SELECT n_name AS sim, r_name AS date FROM nation, region")
@@ -802,10 +803,13 @@ def day_selection_stats(v):
     return metrics.day_selection_stats(d, ["sim"]).select("sim", rd("selected_percent"), "generated", "missing")
 
 
-@query("SELECT t, round(avg(prediction - label) FILTER (example = 'click'), 6) AS click_bias, round(avg(prediction - label) FILTER (example = 'view'), 6) AS view_bias FROM v_pred GROUP BY 1")
+_MODELS = ['click', 'error', 'purchase', 'signup', 'view']
+
+
+@query("SELECT t, " + ", ".join(f"round(avg(prediction - label) FILTER (example = '{m}'), 6) AS {m}_bias" for m in _MODELS) + " FROM v_pred GROUP BY 1")
 def compare_models(v):
-    d = metrics.compare_models(v.pred.withColumnRenamed("example", "model"), ["t"], ["click", "view"])
-    return d.select("t", rd("click_bias"), rd("view_bias"))
+    d = metrics.compare_models(v.pred.withColumnRenamed("example", "model"), ["t"], _MODELS)
+    return d.select("t", *[rd(f"{m}_bias") for m in _MODELS])
 
 
 @query("SELECT example AS chunk, t, r, c, round(prediction - label, 6) AS gap FROM v_pred WHERE example = (SELECT example FROM v_pred GROUP BY 1 ORDER BY avg(abs(prediction - label)) DESC, example LIMIT 1)")
@@ -942,9 +946,9 @@ def simulation_inventory(v):
     return catalog.simulation_inventory(v.label_chunks.select("sim").distinct(), v.label_chunks.select("sim", "x_index"))
 
 
-@query("SELECT n_name AS area, 200::int AS col_count, n_nationkey::double AS x_ll FROM nation")
+@query("SELECT c_name AS area, 200::int AS col_count, c_custkey::double AS x_ll FROM customer")
 def register_weather(v):
-    d = v.table("nation").select(F.col("n_name").alias("area"), F.col("n_nationkey").cast("double").alias("x_ll"), F.lit(0.0).alias("y_ll"), F.lit(500.0).alias("cell_size"))
+    d = v.table("customer").select(F.col("c_name").alias("area"), F.col("c_custkey").cast("double").alias("x_ll"), F.lit(0.0).alias("y_ll"), F.lit(500.0).alias("cell_size"))
     return catalog.register_weather(d).select("area", "col_count", "x_ll")
 
 

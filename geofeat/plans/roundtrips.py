@@ -110,12 +110,12 @@ def materialize_heat(v):
     return rc(back.join(static, ["sim", "row", "col", "var"]).select("sim", "date", "row", "col", rd("label")))
 
 
-@query("SELECT n_name AS name FROM nation WHERE n_nationkey % 2 = 0")
+@query("SELECT c_name AS name FROM customer")
 def guarded_write(v):
+    """Suppliers are written first; customers take their place."""
     path = scratch(v.spark, "guard")
-    n = v.table("nation").select(F.col("n_name").alias("name"), "n_nationkey")
-    writers.guarded_write(n, path)
-    writers.guarded_write(n.filter("n_nationkey % 2 = 0"), path, overwrite=True)
+    writers.guarded_write(v.table("supplier").select(F.col("s_name").alias("name")), path)
+    writers.guarded_write(v.table("customer").select(F.col("c_name").alias("name")), path, overwrite=True)
     return v.spark.read.parquet(path).select("name")
 
 
