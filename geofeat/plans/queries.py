@@ -108,10 +108,12 @@ def normalize_nodata(v):
     return rc(scalar.normalize_nodata(v.cells.fillna(-9999.0, ["z"]), -9999.0))
 
 
-_COVER = "SELECT g.area, g.r, g.c, p.ord, p.mask FROM v_grid g JOIN v_rects p ON g.area = p.area AND g.c + 0.5 >= p.x0 AND g.c + 0.5 < p.x1 AND 63.5 - g.r > p.y0 AND 63.5 - g.r <= p.y1"
+# Cells of rectangles by counting, without a join.
+_COVER = """SELECT area, r::int AS r, unnest(range(greatest(ceil(x0 - 0.5), 0)::bigint, least(ceil(x1 - 0.5), 64)::bigint))::int AS c, ord, mask
+    FROM (SELECT *, unnest(range(greatest(ceil(63.5 - y1), 0)::bigint, least(ceil(63.5 - y0), 64)::bigint)) AS r FROM v_rects)"""
 
 
-@query(f"SELECT g.area, g.r, g.c, coalesce(m.mask, 0) AS mask FROM v_grid g LEFT JOIN (SELECT area, r, c, arg_max(mask, ord) AS mask FROM ({_COVER}) GROUP BY 1, 2, 3) m USING (area, r, c)")
+@query(f"SELECT area, r, c, arg_max(mask, ord) AS mask FROM (SELECT area, r, c, ord, mask FROM ({_COVER}) UNION ALL SELECT area, r, c, -1, 0 FROM v_grid) GROUP BY 1, 2, 3")
 def rasterize(v):
     return rc(geometry.rasterize(v.polygons, v.headers))
 
