@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geofeat.operators import ranks
 from geofeat.operators.grid import fill_dense
 
 
@@ -196,11 +197,6 @@ def ring_distance(x: Column, y: Column, xs: Column, ys: Column) -> Column:
     return F.when(F.size(crossed) % 2 == 1, F.lit(0.0)).otherwise(F.array_min(F.transform(edges, gap)))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A round's rows, worked out once: in the shared checkpoint folder where there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def nearest_polygon(cells: DataFrame, polygons: DataFrame, headers: DataFrame, tile: int = 16) -> DataFrame:
     """(area, row, col, mask, dist): the polygon least far from each cell's centre; ties go to the first.
 
@@ -230,11 +226,11 @@ def nearest_polygon(cells: DataFrame, polygons: DataFrame, headers: DataFrame, t
         dist = ring_distance(F.col("x"), F.col("y"), F.col("xs"), F.col("ys"))
         best = met.groupBy("area", "row", "col").agg(F.min(F.struct(dist.alias("dist"), "ord", "mask")).alias("best"), F.first("unit").alias("unit"))
         last = scale > span + size / tile + 1
-        sure = _cut(best.filter(F.lit(last) | (F.col("best.dist") <= F.col("unit") * scale)).select("area", "row", "col", "best.mask", "best.dist"))
+        sure = ranks.written(best.filter(F.lit(last) | (F.col("best.dist") <= F.col("unit") * scale)).select("area", "row", "col", "best.mask", "best.dist"), "nearest")
         done = sure if done is None else done.unionByName(sure)
         if last:
             return done
-        todo = _cut(todo.join(sure.select("area", "row", "col"), ["area", "row", "col"], "left_anti"))
+        todo = ranks.written(todo.join(sure.select("area", "row", "col"), ["area", "row", "col"], "left_anti"), "nearest")
         if todo.isEmpty():
             return done
         scale *= 2
