@@ -90,8 +90,9 @@ def cell_polygon(cells: DataFrame, headers: DataFrame) -> DataFrame:
     return cells.join(headers, "area").select(*cells.columns, F.array(x0, x1, x1, x0, x0).alias("xs"), F.array(y0, y0, y1, y1, y0).alias("ys"))
 
 
-def dedupe_polygons(polygons: DataFrame) -> DataFrame:
-    return polygons.dropDuplicates(["area", "mask", "xs", "ys"])
+def dedupe_polygons(polygons: DataFrame, by: tuple[str, ...] = ("area", "mask", "xs", "ys")) -> DataFrame:
+    """One polygon of each ring and mask; with ``ord`` in ``by``, only rows that repeat one polygon go and equal rings of several stay."""
+    return polygons.dropDuplicates(list(by))
 
 
 def explode_features(features: DataFrame) -> DataFrame:

@@ -289,3 +289,19 @@ def test_center_crop(spark):
     assert same(matrix(grid.center_crop(cells(spark, z), 3, 3, 5, 7), "z"), z[1:4, 2:5])
     with pytest.raises(ValueError):
         grid.center_crop(cells(spark, z), 6, 3, 5, 7)
+
+
+def test_dedupe_polygons_by_ring_or_by_polygon(spark):
+    """Polygons 1 and 2 share ring and mask; each comes twice."""
+    d = layer(spark, [(box(0, 0, 2, 2), 1), (box(0, 0, 2, 2), 1), (box(0, 0, 2, 2), 3)])
+    twice = d.union(d)
+    assert geometry.dedupe_polygons(twice).count() == 2
+    assert geometry.dedupe_polygons(twice, ("area", "ord", "mask", "xs", "ys")).count() == 3
+
+
+def test_dedupe_polygons_query_counts_equal_rings(spark, tmp_path):
+    """Suppliers 0 and 840 have the same rectangle and mask: the query counts both, as its SQL does."""
+    from geofeat.plans.queries import QUERIES
+
+    spark.createDataFrame([(0, 0), (840, 0), (1, 2)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert QUERIES["dedupe_polygons"](spark, str(tmp_path)).head().asDict() == {"n": 3, "m": 5}
