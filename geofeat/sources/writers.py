@@ -62,6 +62,12 @@ def write_cells(cells: DataFrame, path: str, by: tuple[str, ...] = ("study_area"
     cells.repartition(*by).sortWithinPartitions(*by, "row", "col").write.partitionBy(*by).parquet(path)
 
 
+def write_layer(cells: DataFrame, path: str) -> None:
+    """Cells of an area in files by ranges of rows, however many an area has."""
+    keys = ["area", *[c for c in ("row", "col", "ord", "part") if c in cells.columns]]
+    cells.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("area").parquet(path)
+
+
 def curve_key(row: Column, col: Column, bits: int = 31) -> Column:
     """Place on the Z-order curve: the bits of row and column in turn. Cells that are near in the key lie near in the grid."""
 
@@ -160,12 +166,19 @@ def write_depth_csv(long: DataFrame, path: str) -> None:
 
 
 def export_sim_inputs(elevation: DataFrame, headers: DataFrame, boundary: DataFrame, buildings: DataFrame, green: DataFrame, path: str, soil: DataFrame | None = None, excluded: tuple[int, ...] = ()) -> None:
-    """City simulation inputs: elevation within the boundary, buildings and green areas cut to it, soil as green where present."""
+    """City simulation inputs: elevation within the boundary, buildings and green areas cut to it, soil as green where present.
+
+    A layer's cell comes once for each of its polygons; which parts of the boundary hold the cell is told by the table ``boundary`` (area, row, col,
+    part), whose join with a layer is what ``geometry.intersect_cells`` gives. The pairs are not written out: where polygons lie upon one another
+    their number grows with the square of the polygons.
+    """
     from geofeat.operators import features, geometry, grid
 
-    inside = geometry.covered(boundary, headers)
+    write_layer(geometry.polygon_cells(boundary, headers).select("area", "row", "col", F.col("ord").alias("part")), f"{path}/boundary")
+    parts = boundary.sparkSession.read.schema("row int, col int, part long, area string").parquet(f"{path}/boundary")
+    inside = parts.select("area", "row", "col").distinct()
     write_ascii_grid(grid.mask_outside(elevation, inside), headers, f"{path}/elevation")
     for name, layer in (("buildings", buildings), ("green_areas", green)):
-        write_cells(geometry.intersect_cells(layer, boundary, headers), f"{path}/{name}", ("area",))
+        write_layer(geometry.polygon_cells(layer, headers).join(inside, ["area", "row", "col"], "left_semi"), f"{path}/{name}")
     if soil is not None:
-        write_cells(features.soil_as_green(green, soil, headers, list(excluded)), f"{path}/spatial_green_areas", ("area",))
+        write_layer(features.soil_as_green(green, soil, headers, list(excluded)), f"{path}/spatial_green_areas")
