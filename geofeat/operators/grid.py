@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from geofeat.operators import ranks
 
 HEADER = "area string, col_count int, row_count int, x_ll double, y_ll double, cell_size double"
 
@@ -49,7 +52,7 @@ def missing_cells(cells: DataFrame, headers: DataFrame) -> DataFrame:
 def within(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """The cells that lie on their area's grid, with its ``row_count`` and ``col_count``."""
     sizes = headers.select("area", "row_count", "col_count")
-    return cells.join(sizes, "area").filter("row >= 0 and row < row_count and col >= 0 and col < col_count")
+    return cells.join(F.broadcast(sizes), "area").filter("row >= 0 and row < row_count and col >= 0 and col < col_count")
 
 
 def fill_dense(cells: DataFrame, headers: DataFrame, value: str, default) -> DataFrame:
@@ -120,12 +123,24 @@ def rasterize_points(points: DataFrame, headers: DataFrame) -> DataFrame:
     """Depth points on cells, 0 elsewhere; of several points of a cell the last one in order counts."""
     from geofeat.functions.scalar import xy_to_cell
 
-    h = headers
     row, col = xy_to_cell(F.col("x"), F.col("y"), F.col("x_ll"), F.col("y_ll"), F.col("row_count"), F.col("cell_size"))
     # A point marks the corner of its cell; its row counts from the top.
-    hit = points.join(h, "area").select("area", row.alias("row"), col.alias("col"), "depth", "ord")
-    last = hit.groupBy("area", "row", "col").agg(F.max_by("depth", "ord").alias("depth"))
-    return fill_dense(last, headers, "depth", 0.0)
+    hit = points.join(F.broadcast(headers), "area").select("area", row.alias("row"), col.alias("col"), "depth", "ord")
+    return fill_dense(last_points(hit, ["area", "row", "col"]), headers, "depth", 0.0)
+
+
+def last_points(hit: DataFrame, by: list[str]) -> DataFrame:
+    """(by, depth) of the greatest ``ord`` of each group.
+
+    Where ``ord`` is a struct, its first field's maximum is found first, by a plain aggregation of one number a group; only the points that
+    reach it are compared, and sorted, by the whole ``ord``.
+    """
+    kind = hit.schema["ord"].dataType
+    if isinstance(kind, StructType):
+        lead = f"ord.{kind.fieldNames()[0]}"
+        top = ranks.written(hit.groupBy(*by).agg(F.max(lead).alias("__top")), "top")
+        hit = hit.join(top, by).filter(F.col(lead).eqNullSafe(F.col("__top")))
+    return hit.groupBy(*by).agg(F.max_by("depth", "ord").alias("depth"))
 
 
 def elevation_layers(cells: DataFrame, boundary: DataFrame | None = None) -> DataFrame:
