@@ -26,7 +26,7 @@ def polygon_cells(polygons: DataFrame, headers: DataFrame) -> DataFrame:
     h = headers.select("area", "col_count", "row_count", "x_ll", "y_ll", "cell_size")
     after = lambda v, i: F.element_at(v, F.when(i < F.size("xs"), i + 1).otherwise(1))
     pairs = F.transform(F.sequence(F.lit(1), F.size("xs")), lambda i: F.struct(F.element_at("xs", i).alias("x1"), F.element_at("ys", i).alias("y1"), after("xs", i).alias("x2"), after("ys", i).alias("y2")))
-    edges = polygons.filter(F.size("xs") > 2).join(h, "area").select("area", "ord", "mask", "col_count", "row_count", "x_ll", "y_ll", "cell_size", F.inline(pairs)).filter("y1 <> y2")
+    edges = polygons.filter(F.size("xs") > 2).join(F.broadcast(h), "area").select("area", "ord", "mask", "col_count", "row_count", "x_ll", "y_ll", "cell_size", F.inline(pairs)).filter("y1 <> y2")
     line = lambda y: F.floor(F.col("row_count") - 0.5 - (y - F.col("y_ll")) / F.col("cell_size"))
     lo = F.greatest(line(F.greatest("y1", "y2")) + 1, F.lit(0))
     hi = F.least(line(F.least("y1", "y2")), F.col("row_count") - 1)
@@ -203,12 +203,14 @@ def nearest_polygon(cells: DataFrame, polygons: DataFrame, headers: DataFrame, t
 
     Polygons are put on tiles of ``tile`` cells. A cell looks at its own tile and the eight around it; a best distance of no more than a
     tile's side is final. Tiles are twice as large in each further round, so that a cell looks at nine tiles whatever the distance,
-    and only cells without a polygon near by go on. A polygon on several of the nine tiles is measured at the first one.
+    and only cells without a polygon near by go on. A polygon on several of the nine tiles is measured at the first one. Of polygons with one
+    ring only the first can be the answer, so each ring is measured once.
     """
     h = headers.select("area", "col_count", "row_count", "x_ll", "y_ll", "cell_size")
     x0, y0, x1, y1 = bbox()
     unit = F.col("cell_size") * tile
-    boxes = polygons.join(h, "area").select("area", "ord", "mask", "xs", "ys", *[((v - F.col(b)) / unit).alias(n) for n, v, b in (("i0", x0, "x_ll"), ("i1", x1, "x_ll"), ("j0", y0, "y_ll"), ("j1", y1, "y_ll"))])
+    rings = polygons.groupBy("area", "xs", "ys").agg(F.min(F.struct("ord", "mask")).alias("first")).select("area", "first.ord", "first.mask", "xs", "ys")
+    boxes = ranks.written(rings, "rings").join(F.broadcast(h), "area").select("area", "ord", "mask", "xs", "ys", *[((v - F.col(b)) / unit).alias(n) for n, v, b in (("i0", x0, "x_ll"), ("i1", x1, "x_ll"), ("j0", y0, "y_ll"), ("j1", y1, "y_ll"))])
     span = boxes.agg(F.max(F.greatest(*[F.abs(c) for c in ("i0", "i1", "j0", "j1")]))).head()[0]
     if span is None:
         return cells.select("area", "row", "col").limit(0).select("*", F.lit(0).alias("mask"), F.lit(0.0).alias("dist"))
