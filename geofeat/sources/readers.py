@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geofeat.functions import scalar
+from geofeat.operators import ranks
 from geofeat.operators.examples import _fail
 
 # The header keywords of grid files.
@@ -39,7 +40,8 @@ def numbered_lines(spark: SparkSession, paths, keep: Column | None = None, folde
     lines = _split(spark, paths, keep, folders)
     ranges = lines.groupBy("path", "block").agg(F.count("*").alias("m"), F.min("at").alias("lo"))
     before = F.coalesce(F.sum("m").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.select("path", "block", "m", "lo", before.alias("base"))
+    # A row a byte range; written, so that its true size is known and lines are not shuffled to meet it.
+    ranges = ranks.written(ranges.select("path", "block", "m", "lo", before.alias("base")), "ranges")
     both = lines.join(ranges, ["path", "block"], "left").withColumn("inner", F.col("at") - F.col("lo"))
     moved = F.raise_error(F.concat(F.lit("file was cut otherwise: "), F.col("path"))).cast("long")
     n = F.when(F.coalesce((F.col("inner") >= 0) & (F.col("inner") < F.col("m")), F.lit(False)), F.col("base") + F.col("inner")).otherwise(moved)
