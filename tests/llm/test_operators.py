@@ -397,6 +397,18 @@ def test_mixer_is_a_distribution():
         m.use(m.learned())
 
 
+def test_all_training_texts_teach(spark):
+    """Every byte of the training texts is learned from, over one block or several; held-out ones teach nothing."""
+    rows = [(k, f"text {k} " + "ab cd " * (k % 5), k % 4 == 0) for k in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    told = spark.sparkContext.broadcast(lm_score.Mixer(np.zeros((lm_score.CONTEXTS, 1 << 12, 16), np.uint16)))
+    many = sum(len(t.split()) + len("".join(t.split())) + 1 for _, t, held in rows if not held)
+    for lesson_bytes in (1 << 20, 100):
+        sums = lm_score._lessons(d, told, lesson_bytes)
+        _, seen, _ = np.split(sums, np.cumsum([told.value.weights.size, told.value.seen.size]))
+        assert seen.reshape(8, -1).sum(1).tolist() == [many] * 8
+
+
 def test_mixer_learns_what_helps():
     """Online learning raises the score of the texts it saw; lessons of two blocks add up to their mean, whatever their order."""
     rng = np.random.default_rng(1)
@@ -521,6 +533,16 @@ def test_html_extraction_counts_over_the_shards_of_a_host(spark):
     assert dict(whole)[5] == "own5 words5" and dict(whole)[41] == "text1"
 
 
+def test_html_extraction_gives_all_columns_alike_however_a_host_is_dealt(spark):
+    menu = "<div>One two three four five six seven eight nine ten</div>"
+    rows = [(k, f"http://{'marked' if k < 20 else 'mixed'}.example/{k}", f"<article><p>text{k} one two three four five six seven eight</p></article>{menu}") for k in range(30)]
+    rows += [(30 + k, f"http://mixed.example/p{k}", f"<p>own{k}</p>{menu}") for k in range(10)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    all_columns = lambda **k: sorted(tuple(r) for r in html_text.extract(d, **k).collect())
+    whole = all_columns()
+    assert whole == all_columns(shard_pages=2) and {r[0]: r[-1] for r in whole} == {k: 0 if k < 30 else 10 for k in range(40)}
+
+
 def test_html_extraction_of_empty_and_clashing_tables(spark):
     d = spark.createDataFrame([(k, "http://h.example/x", "<p>a b", k, "x", "y") for k in range(5)], "page_id long, url string, html string, shard int, host string, packed string")
     assert html_text.extract(d.filter("false")).collect() == []
