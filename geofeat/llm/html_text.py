@@ -5,7 +5,7 @@ size is many groups) the token streams of all blocks are concatenated and their
 doubling: suffixes of one rank begin with one substring of that many tokens. Substrings on ``min_pages`` distinct pages of the host or
 more are repeated. Where a host is many shards and has pages without a marked article, each shard gives its distinct substrings (as
 64-bit hashes) with their pages; Spark sums these by host, and the repeated ones come back to the shards that hold them. On hosts of
-many shards whose pages all mark their article, nothing is to be cut: there ``n_repeated`` counts within a shard.
+many shards whose pages all mark their article, nothing is to be cut. No result hangs on how a host was dealt into shards.
 
 What becomes of a block: regions that markup names as something else than text (menus, footers, adverts, forms, comments ...)
 never count. Where a page marks its article (``article``, ``main``), the article's blocks are the text: repetition does not take from
@@ -192,21 +192,22 @@ def numbered(pages: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def main_text(regions: list[str], pages: list[list[str]], covers: list[np.ndarray]) -> list[tuple[str, int, int, int]]:
-    """(text, blocks, tokens, repeated tokens) of each page, from its blocks' regions and texts and which of its tokens repeat."""
+    """(text, blocks, tokens, tokens cut as repeated) of each page, from its blocks' regions and texts and which of its tokens repeat."""
     out = []
     for region, page, cover in zip(regions, pages, covers):
-        kept, at = [], 0
+        kept, at, cut = [], 0, 0
         for kind, block in zip(region, page):
             tokens = block.split(" ")
             mine = cover[at : at + len(tokens)]
             at += len(tokens)
             if kind == "u" and "a" not in region:
                 block = " ".join(t for t, c in zip(tokens, mine.tolist()) if not c)
+                cut += int(mine.sum())
             elif kind != "a":
                 continue
             if block:
                 kept.append(block)
-        out.append(("\n\n".join(kept), len(kept), len(cover), int(cover.sum())))
+        out.append(("\n\n".join(kept), len(kept), len(cover), cut))
     return out
 
 
@@ -232,7 +233,7 @@ def _flagged(df: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, shard_pages: int = 512, min_tokens: int = 8, min_pages: int = 3) -> DataFrame:
-    """Per page: page_id, url, text, n_chars, n_blocks, n_tokens, n_repeated (of all its tokens)."""
+    """Per page: page_id, url, text, n_chars, n_blocks, n_tokens, n_repeated (tokens that were cut from the page as repeated; none where it marks its article)."""
     pages = require(pages, "page_id", "url", "html")
     kind = dict(pages.dtypes)["page_id"]
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
