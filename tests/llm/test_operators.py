@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -452,6 +453,27 @@ def test_caches_against_a_plain_loop():
         assert 10 ** got_end[t] == pytest.approx(sum(x * w for x, w in zip(p, trust)) / sum(trust))
 
 
+def test_blocks_are_scored_in_parts():
+    """Units score what their bytes do one by one; a block's memory is little beside its text, whichever words it holds."""
+    rng = np.random.default_rng(5)
+    vocabulary = np.array(["".join(chr(97 + int(c)) for c in rng.integers(0, 26, n)) for n in rng.integers(1, 12, 40_000)] + ["x" * 600, "a\0", "a"])
+    texts = [" ".join(rng.choice(vocabulary, 6000)).encode() for _ in range(192)] + [b"", b" ", vocabulary[0].encode()]
+    pieces = []
+    for a in range(0, len(texts), 24):
+        part = texts[a : a + 24]
+        pieces.append((np.frombuffer(b"".join(part), np.uint8), np.cumsum([0] + [len(t) for t in part]), rng.integers(0, 2, len(part)) == 1))
+    m = lm_score.Mixer(lm_score.coded(rng.integers(0, 5, (lm_score.CONTEXTS << 12, 16))).reshape(lm_score.CONTEXTS, -1, 16))
+    tracemalloc.start()
+    got = m.units(pieces)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * sum(map(len, texts))
+    for (folded, off, own), scores in list(zip(pieces, got, strict=True))[-2:]:
+        text, doc, unit, start = lm_score.running_text(folded, off)
+        plain = m.log10(text, lm_score.contexts_of(*lm_score.histories(text, doc, unit, start)), own[doc])
+        assert scores == pytest.approx(np.add.reduceat(plain, start, dtype=np.float64), rel=1e-4)
+
+
 def test_lm_score_hangs_on_training_texts_and_the_text_alone(spark):
     """Other held-out texts, blocks and slices change no score."""
     rng = random.Random(12)
