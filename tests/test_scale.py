@@ -4,11 +4,13 @@ import json
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geofeat.operators import grid, metrics
+from geofeat.operators import examples, grid, metrics
+from geofeat.plans import queries
 from geofeat.sources import readers
 from geofeat.streaming import arrivals
 
@@ -253,3 +255,48 @@ def test_nearest_polygon_measures_a_ring_once(spark, monkeypatch):
     got = {(r["row"], r["col"]): r["mask"] for r in geometry.nearest_polygon(cells, layer(spark, shapes), header(spark, 8, 8)).collect()}
     assert got == {(7, 0): 9, (0, 7): 4}
     assert [df.count() for name, df in seen if name == "rings"] == [2]
+
+
+def test_all_pairs_of_areas_by_tiles(spark):
+    rng = random.Random(8)
+    names = ["a", "b/c", "b%2Fc", "big", "big", "big", None, "only one side"]
+    sims = [(rng.randrange(150), rng.choice(names[:-1]), {"k": 1}) for _ in range(400)]  # some rows are equal
+    chunks = [(rng.choice([*names[:-2], None, "none here"]), rng.randrange(60), None if k % 9 else "x") for k in range(300)]
+    a, b = spark.createDataFrame(sims, "sim long, study_area string, m map<string, int>"), spark.createDataFrame(chunks, "study_area string, chunk int, note string")
+    plain = lambda x: x and x.replace("%2F", "/")
+    want = sorted(((s, area, c, n) for s, area, _ in sims for other, c, n in chunks if area and plain(area) == plain(other)), key=str)
+    assert len(want) > 10_000
+    got = examples.chunk_metadata(a, b, check=False)
+    assert got.columns == ["sim", "study_area", "m", "chunk", "note"]
+    assert sorted((tuple(r) for r in got.drop("m").collect()), key=str) == want
+    keyed = [df.withColumn("key", F.url_decode("study_area")) for df in (a, b.select("study_area", "chunk", "note"))]
+    cut = examples.all_pairs(keyed[0], keyed[1].drop("study_area"), "key", (16, 8), 1024)
+    assert cut.rdd.getNumPartitions() > 10
+    assert sorted((tuple(r) for r in cut.drop("key", "m").collect()), key=str) == want
+    assert examples.chunk_metadata(a.limit(0), b, check=False).count() == examples.chunk_metadata(a, b.limit(0), check=False).count() == 0
+    with pytest.raises(ValueError, match="without chunks"):
+        examples.chunk_metadata(a.fillna("only one side", ["study_area"]), b)
+
+
+def test_pairs_of_areas_take_a_fraction_of_a_byte(spark, tmp_path):
+    """Two million pairs of 100 areas whose rows come mixed: each area's stand together and pack well."""
+    area = F.concat(F.lit("area"), F.pmod(F.xxhash64("id"), F.lit(100)))
+    sims, chunks = spark.range(10_000).select(F.col("id").alias("sim"), area.alias("study_area")), spark.range(20_000).select(F.col("id").alias("chunk"), area.alias("study_area"))
+    examples.chunk_metadata(sims, chunks, check=False).select("sim", "chunk").write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).count()
+    assert 1_900_000 < rows < 2_100_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.8 * rows
+
+
+def test_chunk_metadata_query_takes_keys_as_its_sql_does(spark, tmp_path):
+    """Nulls meet nothing, and a nation's key is taken as it is."""
+    orders = [(97 + k, None if k == 0 else 5 + 25 * k) for k in range(3)] + [(98, 30), (3, -20), (None, 5)]
+    customers = [(97, None), (98, 5), (1, 30), (194, 5), (3, -20), (None, 5)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    got = queries.QUERIES["chunk_metadata"](spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("orders", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["chunk_metadata"]).fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) > 2
